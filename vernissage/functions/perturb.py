@@ -24,29 +24,40 @@ def _between(u: Column, lo: float, hi: float) -> Column:
     return F.lit(lo) + F.lit(hi - lo) * u
 
 
+def _each(vec: Column, params: dict[str, Column], fn: Callable[[Column, Column], Column]) -> Column:
+    """Apply ``fn(x, params)`` to every component, with the parameters worked out once per row."""
+    row = F.struct(*[c.alias(name) for name, c in params.items()])
+    return F.zip_with(vec, F.array_repeat(row, F.size(vec)), fn)
+
+
 def unchanged(vec: Column, draw: Draw) -> Column:
     return vec
 
 
 def brightness(vec: Column, draw: Draw) -> Column:
     """Gamma curve, exponent 0.35 to 2.0, sign kept."""
-    gamma = _between(draw("gamma"), 0.35, 2.0)
-    return F.transform(vec, lambda x: F.signum(x) * F.pow(F.abs(x), gamma))
+    params = {"gamma": _between(draw("gamma"), 0.35, 2.0)}
+    return _each(vec, params, lambda x, p: F.signum(x) * F.pow(F.abs(x), p["gamma"]))
 
 
 def contrast(vec: Column, draw: Draw) -> Column:
     """Gain 0.5 to 1.6 and offset -50/255 to 50/255, clipped to [-1, 1]."""
-    gain = _between(draw("gain"), 0.5, 1.6)
-    offset = (F.floor(draw("offset") * 101) - 50).cast("double") / 255.0
-    return F.transform(vec, lambda x: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), gain * x + offset)))
+    params = {
+        "gain": _between(draw("gain"), 0.5, 1.6),
+        "offset": (F.floor(draw("offset") * 101) - 50).cast("double") / 255.0,
+    }
+    low, high = F.lit(-1.0), F.lit(1.0)
+    return _each(vec, params, lambda x, p: F.greatest(low, F.least(high, p["gain"] * x + p["offset"])))
 
 
 def aged(vec: Column, draw: Draw) -> Column:
     """Gain 0.5 to 1.1, then pulled towards the mean by 0.6 to 0.9."""
-    gain = _between(draw("fade"), 0.5, 1.1)
-    keep = _between(draw("squeeze"), 0.6, 0.9)
-    mean = gain * F.aggregate(vec, F.lit(0.0), lambda s, x: s + x) / F.size(vec)
-    return F.transform(vec, lambda x: (gain * x - mean) * keep + mean)
+    params = {
+        "gain": _between(draw("fade"), 0.5, 1.1),
+        "keep": _between(draw("squeeze"), 0.6, 0.9),
+        "mean": F.aggregate(vec, F.lit(0.0), lambda s, x: s + x) / F.size(vec),
+    }
+    return _each(vec, params, lambda x, p: p["gain"] * ((x - p["mean"]) * p["keep"] + p["mean"]))
 
 
 REAL: dict[str, Perturbation] = {"aged": aged, "brightness": brightness, "contrast": contrast}

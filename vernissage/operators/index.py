@@ -20,6 +20,7 @@ from vernissage.schema import UNKNOWN_LABEL, SearchConfig
 from vernissage.session import materialize
 
 MAX_CELLS = 65_536
+MAX_CENTER_BYTES = 256 << 20
 FILE_ROWS = 1_000_000
 
 
@@ -49,14 +50,13 @@ def train_kmeans(vectors: DataFrame, cells: int, seed: int = 42, rounds: int = 2
 
 def _center_matrix(centroids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     rows = centroids.orderBy("cell").limit(MAX_CELLS + 1).toArrow()
-    if rows.num_rows > MAX_CELLS:
-        raise ValueError(f"an index has at most {MAX_CELLS} cells")
+    if rows.num_rows > MAX_CELLS or rows.nbytes > MAX_CENTER_BYTES:
+        raise ValueError(f"an index has at most {MAX_CELLS} cells and {MAX_CENTER_BYTES} bytes of centroids")
     return rows.column("cell").to_numpy(), matrix(rows.column("vec"))
 
 
-def _ranked_cells(centroids: DataFrame, probes: int):
+def _ranked_cells(numbers: np.ndarray, centers: np.ndarray, probes: int):
     """A function from vectors to their closest cells, best first, lowest number on ties."""
-    numbers, centers = _center_matrix(centroids)
 
     @F.arrow_udf("array<int>")
     def ranked(vec: pa.Array) -> pa.Array:
@@ -72,7 +72,7 @@ def _ranked_cells(centroids: DataFrame, probes: int):
 
 def assign_cells(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
     """Add the closest ``cell`` and the bit signature ``sig``."""
-    ranked = _ranked_cells(centroids, 1)
+    ranked = _ranked_cells(*_center_matrix(centroids), 1)
     return vectors.withColumn("cell", F.element_at(ranked("vec"), 1)).withColumn("sig", signature("vec"))
 
 
@@ -118,13 +118,14 @@ def search_cells(index: CellIndex, queries: DataFrame, config: SearchConfig = Se
     on to many. What stays below it is ``Unknown``.
     """
     deep = max(config.nprobe_fast, config.nprobe_deep)
-    ranked = _ranked_cells(index.centroids, deep)
+    numbers, centers = _center_matrix(index.centroids)
+    ranked = _ranked_cells(numbers, centers, deep)
     placed = materialize(queries.select("qid", F.col("vec").alias("key")).withColumn("cells", ranked("key")))
     rows = index.postings.select("id", F.col("vec").alias("key"), "cell")
 
     def one_pass(asked: DataFrame, probes: int) -> DataFrame:
         probed = asked.select("qid", "key", F.explode(F.slice("cells", 1, probes)).alias("cell"))
-        return nearest(probed, rows).select("qid", "id", "score")
+        return nearest(probed, rows, width=centers.shape[1]).select("qid", "id", "score")
 
     first = materialize(placed.select("qid").join(one_pass(placed, config.nprobe_fast), "qid", "left"))
     sure = first.filter(F.col("score") >= config.confidence_threshold)

@@ -102,7 +102,7 @@ def fuzzy_candidates(names: DataFrame, authority: DataFrame, threshold: int) ->
     )
     edits = f"int(({slack} * (length(sorted) + length(other))) div 200)"
     return (
-        skewed_join(probes, index, "seg", F.col("sorted"))
+        skewed_join(probes, index, "seg", F.col("sorted"), right_spread=F.col("other"))
         .filter(F.expr(f"abs(length(sorted) - length(other)) <= {edits}"))
         .filter(F.expr(f"levenshtein(sorted, other, {edits}) >= 0"))
         .select("sorted", "other")

@@ -4,23 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from vernissage.session import has_at_most
+from vernissage.session import has_at_most, materialize
 
 SMALL_ROWS = 100_000
-SALTS = 32
 HOT_ROWS = 1_000_000
+MOST_HOT_KEYS = 5_000
 _BINS = 2048
 
 
-def hot_keys(df: DataFrame, key: str, rows: int = HOT_ROWS) -> DataFrame:
-    """Keys held by more than ``rows`` rows; at most ``total / rows`` of them exist."""
-    return (
-        df.filter(F.col(key).isNotNull())
-        .groupBy(key)
-        .agg(F.count("*").alias("_n"))
-        .filter(F.col("_n") > rows)
-        .select(F.col(key).alias("_hot"))
-    )
+def _hot_keys(df: DataFrame, key: str, hot_rows: int, name: str) -> DataFrame:
+    """Keys with very many rows and the number of parts to cut them into; at most ``MOST_HOT_KEYS``."""
+    counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    bar = max(hot_rows, df.count() // MOST_HOT_KEYS)
+    return counts.filter(F.col("_n") > bar).select(key, F.ceil(F.col("_n") / hot_rows).cast("int").alias(name))
 
 
 def skewed_join(
@@ -29,29 +25,41 @@ def skewed_join(
     key: str,
     spread: Column,
     how: str = "inner",
-    salts: int = SALTS,
+    right_spread: Column | None = None,
     hot_rows: int = HOT_ROWS,
     small_rows: int = SMALL_ROWS,
 ) -> DataFrame:
-    """Equi-join for a left side whose keys may be very uneven (``inner`` or ``left``).
+    """Equi-join for sides whose keys may be very uneven (``inner`` or ``left``).
 
-    A small right side joins as is: the planner broadcasts it when its size
-    allows, and the left side is not moved. Beyond that, rows of hot keys are
-    spread over ``salts`` sub-keys by a hash of ``spread`` (any column that
-    differs between rows of one key), and only the matching right rows are
-    repeated. ``right`` should be a stored table, since it is counted first.
+    A small right side joins as is: the planner broadcasts it when its measured
+    size allows, and the left side is not moved. Beyond that, the rows of a hot
+    key are cut into parts of about ``hot_rows`` by a hash of ``spread`` (any
+    columns that differ between rows of one key), and each part meets a copy of
+    the matching right rows. With ``right_spread`` (inner joins only) hot right
+    keys are cut as well, and every left part meets every right part.
     """
     if has_at_most(right, small_rows):
         return left.join(right, key, how)
-    hot = [r["_hot"] for r in hot_keys(left, key, hot_rows).collect()]
-    if not hot:
+    hot = _hot_keys(left, key, hot_rows, "_l")
+    both = right_spread is not None and how == "inner"
+    hot = hot.join(_hot_keys(right, key, hot_rows, "_r"), key, "full") if both else hot.withColumn("_r", F.lit(1))
+    hot = materialize(hot.select(key, F.coalesce("_l", F.lit(1)).alias("_l"), F.coalesce("_r", F.lit(1)).alias("_r")))
+    if hot.isEmpty():
         return left.join(right, key, how)
-    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
-    salted = left.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(spread), F.lit(salts))).otherwise(F.lit(0)))
-    every = F.sequence(F.lit(0), F.lit(salts - 1))
-    copies = right.withColumn("_salt", F.explode(F.when(is_hot, every).otherwise(F.array(F.lit(0)))))
-    copies = copies.withColumn("_salt", F.col("_salt").cast("long"))
-    return salted.withColumn("_salt", F.col("_salt").cast("long")).join(copies, [key, "_salt"], how).drop("_salt")
+
+    def cut(df: DataFrame, by: Column | None, own: str, other: str) -> DataFrame:
+        # the hot keys are few by construction, so a broadcast is safe
+        parts = df.join(F.broadcast(hot), key, "left").withColumns(
+            {"_l": F.coalesce("_l", F.lit(1)), "_r": F.coalesce("_r", F.lit(1))}
+        )
+        mine = F.lit(0) if by is None else F.pmod(F.xxhash64(by), F.col(own)).cast("int")
+        parts = parts.withColumn(f"{own}_at", mine)
+        every = F.sequence(F.lit(0), F.col(other) - 1)
+        return parts.withColumn(f"{other}_at", F.explode(every)).drop("_l", "_r")
+
+    cut_left = cut(left, spread, "_l", "_r")
+    cut_right = cut(right, right_spread if both else None, "_r", "_l")
+    return cut_left.join(cut_right, [key, "_l_at", "_r_at"], how).drop("_l_at", "_r_at")
 
 
 def first_n(df: DataFrame, n: int | None, key: str, *ties: str, in_memory: int = SMALL_ROWS) -> DataFrame:

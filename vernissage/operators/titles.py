@@ -48,7 +48,7 @@ def _one_way(short: DataFrame, long: DataFrame, slack: int, strict: bool) -> Dat
     size = "length(a) < length(b)" if strict else "length(a) <= length(b)"
     # a pair may share many pieces: keep it at the first shared one only, so no later distinct is needed
     first = "array_position(transform(parts, s -> instr(b, s) > 0), true) = at + 1"
-    return skewed_join(pieces, windows, "piece", F.col("a")).filter(size).filter(first).select("a", "b")
+    return skewed_join(pieces, windows, "piece", F.col("a"), right_spread=F.col("b")).filter(size).filter(first).select("a", "b")
 
 
 def match_title_forms(left: DataFrame, right: DataFrame, threshold: int = TITLE_THRESHOLD) -> DataFrame:

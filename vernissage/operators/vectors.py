@@ -134,7 +134,7 @@ def _tiled(queries: DataFrame, rows: DataFrame, kernel: Kernel, k: int) -> DataF
     Exact copies are dropped first and rows are dealt by id and content, so one
     id with very many rows cannot fill a tile.
     """
-    queries, rows = queries.distinct(), materialize(rows.distinct())
+    queries, rows = materialize(queries.distinct()), materialize(rows.distinct())
 
     def tiles(df: DataFrame, size: int) -> DataFrame:
         return df.groupBy("cell").agg(F.ceil(F.count("*") / size).cast("int").alias("tiles"))
@@ -144,7 +144,7 @@ def _tiled(queries: DataFrame, rows: DataFrame, kernel: Kernel, k: int) -> DataF
 
     def dealt(df: DataFrame, name: str, own: str, other: str) -> DataFrame:
         mine = F.pmod(F.xxhash64(name, "key"), F.col(own))
-        theirs = F.explode(F.sequence(F.lit(0), F.col(other) - 1)).cast("long")
+        theirs = F.explode(F.sequence(F.lit(0).cast("long"), F.col(other).cast("long") - 1))
         return df.join(grid, "cell").withColumn("mine", mine).withColumn("theirs", theirs).drop("qt", "rt")
 
     left = dealt(queries, "qid", "qt", "rt").withColumnsRenamed({"mine": "a", "theirs": "b"})
@@ -162,27 +162,34 @@ def nearest(
     k: int = 1,
     kernel: Kernel = cosine,
     probe_bytes: int = PROBE_BYTES,
+    width: int | None = None,
 ) -> DataFrame:
     """The k best rows per query as (qid, id, score, rank).
 
     ``queries`` has ``qid`` and ``key``, ``rows`` has ``id`` and ``key``: a vector
     for :func:`cosine`, a signature for :func:`hamming`. With a ``cell`` column on
     both, a query meets only rows of its cells. Ties go to the lowest id.
+    ``width`` is the number of components, looked up if not given.
     """
     celled = "cell" in queries.columns
     columns = ["id", "key", "cell"] if celled else ["id", "key"]
-    q = materialize(queries.filter(F.col("key").isNotNull()).select(["qid", *columns[1:]]))
+    q = queries.filter(F.col("key").isNotNull()).select(["qid", *columns[1:]])
     r = rows.filter(F.col("key").isNotNull()).select(columns)
     if not celled:
         q, r = q.withColumn("cell", F.lit(0)), r.withColumn("cell", F.lit(0))
-    first = q.select("key").first()
-    if first is None:
+    if width is None:
+        first = q.select("key").first()
+        if first is None:
+            return q.sparkSession.createDataFrame([], _HITS + ", rank int")
+        width = len(first["key"]) if isinstance(first["key"], list) else 1
+    most = probe_bytes // (8 * width + 64)  # 64 bytes stand for the id and its cells
+    table = q.limit(most + 1).toArrow()
+    if not table.num_rows:
         return q.sparkSession.createDataFrame([], _HITS + ", rank int")
-    width = len(first["key"]) if isinstance(first["key"], list) else 1
-    # the distinct queries are what travels; 64 bytes stand for the id and its cells
-    if q.count() * (8 * width + 64) <= probe_bytes:
-        table = q.toArrow()
-        names, at, number = np.unique(table.column("qid").to_numpy(), return_index=True, return_inverse=True)
+    if table.num_rows <= most:
+        names, at, number = np.unique(
+            table.column("qid").to_numpy().astype(object), return_index=True, return_inverse=True
+        )
         by_cell = None
         if celled:
             cells = table.column("cell").to_numpy()

@@ -249,13 +249,13 @@ SELECT to_json(list(name ORDER BY name))::VARCHAR AS value FROM kept"""
 SQL["known_ids"] = r"""SELECT DISTINCT regexp_replace(list_last(string_split(regexp_replace(url, '[?#].*$', ''), '/')), '\.jpg$', '') AS id FROM pages"""
 SQL["asset_store"] = """SELECT doc_id::VARCHAR AS id, floor((('0x' || substr(md5('0|bucket|' || doc_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE) * 16)::INT AS bucket,
   strlen(text)::INT AS bytes, md5(text) AS digest FROM documents"""
-SQL["asset_fetch"] = """SELECT p_partkey::VARCHAR AS id, strlen(text)::INT AS bytes, md5(text) AS digest
+SQL["asset_fetch"] = """SELECT p_partkey::VARCHAR AS id, coalesce(strlen(text), -1)::INT AS bytes, md5(text) AS digest
 FROM (SELECT DISTINCT p_partkey FROM part) LEFT JOIN documents ON doc_id = p_partkey"""
 SQL["metadata_roundtrip"] = f"WITH {HISTORY} SELECT {META} FROM history"
 SQL["full_rebuild"] = f"WITH {MATCHED} SELECT {META} FROM metadata"
 SQL["authority_filter"] = SQL["incremental_ingest"] = SQL["stream_ingest"] = SQL["full_rebuild"]
 SQL["incremental_limit"] = f"""WITH {MATCHED},
-fresh AS (SELECT {META} FROM metadata WHERE genre <> 'ECONOMY' ORDER BY idx LIMIT 1000)
+fresh AS (SELECT {META} FROM metadata WHERE genre <> 'ECONOMY' ORDER BY idx LIMIT 200)
 SELECT {META} FROM metadata WHERE genre = 'ECONOMY' UNION ALL SELECT {META} FROM fresh"""
 SQL["standard_schema"] = f"""WITH {CATALOG}, {NAMED}
 SELECT 'wikiart_' || idx AS visual_id, coalesce(nullif(title, ''), 'Unknown Title') AS title, {title_case('raw')} AS artist,

@@ -84,7 +84,8 @@ def asset_store(spark, sf):
 def asset_fetch(spark, sf):
     wanted = b.table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("id"))
     found = assets.fetch_assets(wanted, _stored_documents(spark, sf))
-    return found.select("id", F.octet_length("content").alias("bytes"), F.md5("content").alias("digest"))
+    size = F.coalesce(F.octet_length("content"), F.lit(-1))
+    return found.select("id", size.alias("bytes"), F.md5("content").alias("digest"))
 
 
 @query
@@ -114,7 +115,7 @@ def incremental_ingest(spark, sf):
 
 @query
 def incremental_limit(spark, sf):
-    return _after_update(spark, sf, IngestConfig())
+    return _after_update(spark, sf, IngestConfig(limit=200))
 
 
 @query

@@ -49,11 +49,11 @@ def format_diagnostics(metadata: DataFrame | None, index: CellIndex | None, n: i
         s = index_stats(index).first()
         lines += [
             f"  Feature vectors:     {s.n_features:,}",
-            f"  IVF clusters:        {s.nlist:,}",
+            f"  Cells:               {s.nlist:,}",
             f"  Index built:         {s.is_built}",
         ]
     else:
-        lines.append("  Vault:               not loaded")
+        lines.append("  Index:               not loaded")
     lines.append(bar)
     if n and row and row.paintings:
         lines.append(format_top_artists(top_artists(metadata, n)))
