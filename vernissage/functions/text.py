@@ -5,6 +5,7 @@ Every function takes and returns a ``Column``; null is treated as ``''``.
 
 from __future__ import annotations
 
+import string
 import unicodedata
 from functools import lru_cache
 
@@ -12,9 +13,15 @@ from pyspark.sql import Column, functions as F
 
 # The articles dropped from titles, and the characters that count as whitespace.
 ARTICLES = ("the", "a", "an")
-SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# Characters below 256 are listed one by one and the rest sits behind one range test,
+# because the regex engine looks single characters up in a table.
+_WIDE_SPACE = r"[\u1680-\u3000&&[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]"
+_SPACE_NOT_BLANK = r"\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0" + _WIDE_SPACE
+SPACE = " " + _SPACE_NOT_BLANK
+_ASCII_WORD = string.ascii_letters + string.digits + "_"
 CASED = r"\p{IsUppercase}\p{IsLowercase}\p{Lt}"
 
+_RARE = r"[^\x00-\xa7\xa9-\xbb\xbf-\u0131\u0134-\u013e\u0141-\u0148\u014a-\u01c3\u2010-\u2023\u20a0-\u20a7\u20a9-\u20ff]"
 _HANGUL_FIRST, _HANGUL_LAST = 0xAC00, 0xD7A3
 _JAMO_L = "".join(chr(0x1100 + i) for i in range(19))
 _JAMO_V = "".join(chr(0x1161 + i) for i in range(21))
@@ -94,8 +101,9 @@ def strip_diacritics(c: Column | str) -> Column:
     """
     c = _text(c)
     source, target, _ = _decompositions()
+    # common Latin text is told apart by a small class before the large one is tried
     spread = F.when(
-        c.rlike(_longer_class()),
+        c.rlike(_RARE) & c.rlike(_longer_class()),
         F.array_join(F.transform(F.split(c, ""), _expand_char), ""),
     ).otherwise(c)
     return F.when(c.rlike(r"[^\x00-\x7f]"), F.translate(spread, source, target)).otherwise(c)
@@ -108,17 +116,18 @@ def strip_parentheticals(c: Column | str) -> Column:
 
 def replace_delimiters(c: Column | str) -> Column:
     """``&`` becomes `` and ``; hyphen, underscore and slash become spaces."""
-    return F.translate(F.replace(_text(c), F.lit("&"), F.lit(" and ")), "-_/", "   ")
+    return F.regexp_replace(F.replace(_text(c), F.lit("&"), F.lit(" and ")), "[-_/]", " ")
 
 
 def remove_punctuation(c: Column | str) -> Column:
     """Keep letters, digits, underscore and whitespace of any script."""
-    return F.regexp_replace(_text(c), rf"[^\p{{L}}\p{{N}}_{SPACE}]", "")
+    return F.regexp_replace(_text(c), rf"[^{_ASCII_WORD}{SPACE}\p{{L}}\p{{N}}]+", "")
 
 
 def collapse_whitespace(c: Column | str) -> Column:
     """Whitespace runs become one space; the ends are trimmed."""
-    return F.trim(F.regexp_replace(_text(c), f"[{SPACE}]+", " "))
+    # single spaces are already right and are not matched
+    return F.trim(F.regexp_replace(_text(c), f" [{SPACE}]+|[{_SPACE_NOT_BLANK}][{SPACE}]*", " "))
 
 
 def _drop_article(c: Column | str, pattern: str) -> Column:

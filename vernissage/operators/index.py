@@ -144,7 +144,11 @@ def search_cells(index: CellIndex, queries: DataFrame, config: SearchConfig = Se
 
 def index_stats(index: CellIndex) -> DataFrame:
     """One row: n_images, n_features, nlist, is_built."""
+    none = F.lit(0).cast("long")
     per_cell = index.postings.groupBy("cell").agg(F.count("*").alias("n"))
-    sizes = per_cell.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_features"), F.count("*").alias("nlist"), F.lit(1).alias("k"))
-    images = index.postings.select("id").distinct().agg(F.count("*").alias("n_images"), F.lit(1).alias("k"))
-    return images.join(sizes, "k").select("n_images", "n_features", "nlist", (F.col("n_features") > 0).alias("is_built"))
+    sizes = per_cell.agg(none.alias("n_images"), F.sum("n").alias("n_features"), F.count("*").alias("nlist"))
+    images = index.postings.select("id").distinct().agg(
+        F.count("*").alias("n_images"), none.alias("n_features"), none.alias("nlist")
+    )
+    figures = [F.coalesce(F.max(c), none).alias(c) for c in ("n_images", "n_features", "nlist")]
+    return sizes.unionByName(images).agg(*figures).withColumn("is_built", F.col("n_features") > 0)

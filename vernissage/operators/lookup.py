@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vernissage.operators.skew import skewed_join
+from vernissage.operators.skew import SMALL_ROWS, skewed_join
 from vernissage.schema import RESULT_COLUMNS, UNKNOWN_ARTIST, UNKNOWN_ID, UNKNOWN_LABEL
-from vernissage.session import materialize
+from vernissage.session import has_at_most, materialize
 
 
 def dedupe_last(df: DataFrame, key: str = "id", order: str = "ord") -> DataFrame:
@@ -25,13 +25,15 @@ def find_matches(hits: DataFrame, metadata: DataFrame, order: str = "ord", laten
     queries is spread over several tasks.
     """
     stored = materialize(hits)
-    asked = materialize(stored.filter(F.col("label") != UNKNOWN_LABEL).select(F.col("label").alias("id")).distinct())
+    asked = stored.filter(F.col("label") != UNKNOWN_LABEL).select(F.col("label").alias("id")).distinct()
     columns = ["id", "title", "artist", "url", "genre", "style", "date"]
-    records = materialize(
-        dedupe_last(metadata.select(*columns, order).join(asked, "id"), order=order)
-        .select(F.col("id").alias("label"), *columns[1:], F.lit(True).alias("_found"))
+    records = dedupe_last(metadata.select(*columns, order).join(asked, "id", "left_semi"), order=order).select(
+        F.col("id").alias("label"), *columns[1:], F.lit(True).alias("_found")
     )
-    joined = skewed_join(stored, records, "label", F.col("qid"), how="left")
+    if has_at_most(stored, SMALL_ROWS):  # then there are no more records than that either
+        joined = stored.join(records, "label", "left")
+    else:
+        joined = skewed_join(stored, materialize(records), "label", F.col("qid"), how="left")
     known = F.coalesce(F.col("_found"), F.lit(False))
 
     def pick(column: str, unknown: str) -> Column:
@@ -63,13 +65,15 @@ def resolve_returned(detail: DataFrame, sample: DataFrame, store: DataFrame) ->
     rows = materialize(detail.select("id", "label"))
     own = sample.select("id", F.col("content").alias("_own"))
     seen = sample.select(F.col("id").alias("label"), F.col("content").alias("_sampled"))
-    wanted = materialize(
-        rows.filter((F.col("label") != UNKNOWN_LABEL) & (F.col("label") != F.col("id"))).select("label").distinct()
-        .join(seen, "label", "left_anti")
-    )
-    fetched = materialize(store.select(F.col("id").alias("label"), F.col("content").alias("_fetched")).join(wanted, "label"))
-    joined = skewed_join(rows.join(own, "id", "left"), materialize(seen), "label", F.col("id"), how="left")
-    joined = skewed_join(joined, fetched, "label", F.col("id"), how="left")
+    wanted = rows.filter((F.col("label") != UNKNOWN_LABEL) & (F.col("label") != F.col("id"))).select("label").distinct()
+    wanted = wanted.join(sample.select(F.col("id").alias("label")), "label", "left_anti")
+    fetched = store.select(F.col("id").alias("label"), F.col("content").alias("_fetched")).join(wanted, "label", "left_semi")
+    joined = rows.join(own, "id", "left")
+    if has_at_most(rows, SMALL_ROWS):
+        joined = joined.join(seen, "label", "left").join(fetched, "label", "left")
+    else:
+        joined = skewed_join(joined, materialize(seen), "label", F.col("id"), how="left")
+        joined = skewed_join(joined, materialize(fetched), "label", F.col("id"), how="left")
     same = F.col("label") == F.col("id")
     origin = (
         F.when(same, "same")
