@@ -15,6 +15,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from vernissage.operators.sampling import sample_n
 from vernissage.operators.vectors import cosine, matrix, nearest, signature
 from vernissage.schema import UNKNOWN_LABEL, SearchConfig
 from vernissage.session import materialize
@@ -39,10 +40,15 @@ def train_seeded(vectors: DataFrame, cells: int) -> DataFrame:
     return listed.select(F.posexplode("all").alias("cell", "v")).select("cell", F.col("v.vec").alias("vec"))
 
 
-def train_kmeans(vectors: DataFrame, cells: int, seed: int = 42, rounds: int = 20) -> DataFrame:
-    """Spherical k-means centroids."""
+def train_kmeans(vectors: DataFrame, cells: int, seed: int = 42, rounds: int = 20, per_cell: int = 256) -> DataFrame:
+    """Spherical k-means centroids.
+
+    Training needs no more than ``per_cell`` vectors per cell, taken by a hash of
+    the id; every vector is assigned to a cell afterwards.
+    """
     spark = vectors.sparkSession
-    rows = vectors.select(array_to_vector("vec").alias("features"))
+    chosen = materialize(sample_n(vectors.select("id", "vec"), per_cell * cells, seed))
+    rows = chosen.select(array_to_vector("vec").alias("features"))
     model = KMeans(k=cells, seed=seed, maxIter=rounds, distanceMeasure="cosine").fit(rows)
     centers = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
     return spark.createDataFrame(centers, "cell int, vec array<double>")

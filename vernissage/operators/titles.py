@@ -39,6 +39,18 @@ def _substrings(c: str) -> str:
     )
 
 
+def _enough_pairs(slack: int) -> str:
+    """Whether enough neighbouring characters of ``a`` also stand side by side in ``b`` (SQL).
+
+    A match leaves at most ``4 * slack * m / (200 + slack)`` of the ``m - 1``
+    neighbour pairs of the shorter title damaged: two for each character it
+    loses, one for each that is put in. Everything else occurs in ``b``.
+    """
+    pairs = "transform(sequence(1, greatest(1, length(a) - 1)), p -> if(instr(b, substring(a, p, 2)) > 0, 1, 0))"
+    shared = f"aggregate({pairs}, 0, (n, x) -> n + x)"
+    return f"length(a) < 2 or {shared} >= length(a) - 1 - int((4 * {slack} * length(a)) div {200 + slack})"
+
+
 def _one_way(short: DataFrame, long: DataFrame, slack: int, strict: bool) -> DataFrame:
     """Candidate (a, b) with ``a`` from ``short`` no longer than ``b`` from ``long``."""
     pieces = short.select(F.col("norm").alias("a"), F.expr(_pieces("norm", slack)).alias("parts")).select(
@@ -48,7 +60,7 @@ def _one_way(short: DataFrame, long: DataFrame, slack: int, strict: bool) -> Dat
     size = "length(a) < length(b)" if strict else "length(a) <= length(b)"
     # a pair may share many pieces: keep it at the first shared one only, so no later distinct is needed
     first = "array_position(transform(parts, s -> instr(b, s) > 0), true) = at + 1"
-    return skewed_join(pieces, windows, "piece", F.col("a"), right_spread=F.col("b")).filter(size).filter(first).select("a", "b")
+    return skewed_join(pieces, windows, "piece", F.col("a"), right_spread=F.col("b")).filter(size).filter(first).filter(_enough_pairs(slack)).select("a", "b")
 
 
 def match_title_forms(left: DataFrame, right: DataFrame, threshold: int = TITLE_THRESHOLD) -> DataFrame:

@@ -7,9 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from vernissage.operators.matching import authority_filter
-from vernissage.operators.skew import first_n
+from vernissage.operators.skew import SMALL_ROWS, first_n
 from vernissage.schema import INGEST_THRESHOLD
-from vernissage.session import materialize
+from vernissage.session import has_at_most, materialize
 from vernissage.sources.catalog import load_metadata, standard_schema, to_metadata, visual_id, write_metadata
 
 
@@ -31,7 +31,11 @@ def new_items(
     items = catalog
     if known is not None:
         items = items.withColumn("_id", visual_id())
-        items = items.join(known.select(F.col("id").alias("_id")).distinct(), "_id", "left_anti").drop("_id")
+        seen = known.select(F.col("id").alias("_id"))
+        if has_at_most(items, SMALL_ROWS):
+            # a small delivery goes to the stored ids, so that these are scanned but not shuffled
+            seen = seen.join(F.broadcast(items.select("_id")), "_id", "left_semi")
+        items = items.join(seen.distinct(), "_id", "left_anti").drop("_id")
     return first_n(authority_filter(items, authority, config.threshold), config.limit, "idx")
 
 

@@ -192,7 +192,7 @@ LATENCY = "latency AS (SELECT 'wikiart_' || event_id AS id, value AS latency_ms
 
 def index(training="vectors"):
     return f"""cells AS (SELECT row_number() OVER (ORDER BY ord) - 1 AS cell, vec FROM {training}
-  QUALIFY cell < greatest(16, floor(sqrt((SELECT count(*) FROM vectors))))),
+  QUALIFY cell < least(65536, greatest(16, floor(sqrt((SELECT count(*) FROM vectors)))))),
 postings AS (SELECT v.id, v.vec, c.cell FROM vectors v CROSS JOIN cells c
   QUALIFY row_number() OVER (PARTITION BY v.id ORDER BY {cosine('v.vec', 'c.vec')} DESC, c.cell) = 1)"""
 

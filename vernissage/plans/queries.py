@@ -277,7 +277,7 @@ def mutual_nn(spark, sf):
 
 def _cells(vectors: DataFrame) -> int:
     """The number of cells grows with the square root of the data."""
-    return max(16, int(vectors.count() ** 0.5))
+    return min(ix.MAX_CELLS, max(16, int(vectors.count() ** 0.5)))
 
 
 def _index(spark, sf, vectors: DataFrame | None = None) -> tuple[str, ix.CellIndex]:
