@@ -15,7 +15,7 @@ from pyspark.sql import Column, functions as F
 from vernissage.functions.text import sorted_tokens
 
 _WORD = 63
-_LANES = 1 << 20
+_LANES = 1 << 16
 _END_A, _END_B = np.uint32(0xFFFFFFFE), np.uint32(0xFFFFFFFF)
 
 
@@ -68,19 +68,23 @@ def _in_chunks(short: list[str], long: list[str], kernel, big) -> np.ndarray:
         while stop < len(order) and (stop + 1 - start) * sizes[order[stop]] <= _LANES:
             stop += 1
         pick = order[start:stop]
-        scores[pick] = kernel([short[i] for i in pick], [long[i] for i in pick])
+        scores[pick] = kernel(*_prepare([short[i] for i in pick], [long[i] for i in pick]))
         start = stop
     return scores
 
 
-def _ratio_kernel(short: list[str], long: list[str]) -> np.ndarray:
+def _prepare(short: list[str], long: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Position masks and both lengths of every pair."""
     a, m = _codes(short, _END_A)
     b, n = _codes(long, _END_B)
-    masks = _position_masks(a, b)
+    return _position_masks(a, b), m, n
+
+
+def _whole(masks: np.ndarray, m: np.ndarray, n: np.ndarray) -> np.ndarray:
     full = (np.uint64(1) << m.astype(np.uint64)) - np.uint64(1)
     state = full.copy()
-    for j in range(b.shape[1]):
-        u = state & masks[:, j]
+    for step in np.ascontiguousarray(masks.T):
+        u = state & step
         state = ((state + u) | (state - u)) & full
     lcs = m - np.bitwise_count(state)
     return np.where((m > 0) & (n > 0), _score(lcs, m + n), 0)
@@ -90,18 +94,14 @@ def _ratio_big(short: str, long: str) -> int:
     return int(_score(np.array(_big_lcs(short, long)), np.array(len(short) + len(long))))
 
 
-def _partial_kernel(short: list[str], long: list[str]) -> np.ndarray:
-    a, m = _codes(short, _END_A)
-    b, n = _codes(long, _END_B)
-    masks = _position_masks(a, b)
-    width = b.shape[1]
+def _windowed(masks: np.ndarray, m: np.ndarray, n: np.ndarray) -> np.ndarray:
+    width = masks.shape[1]
     full = ((np.uint64(1) << m.astype(np.uint64)) - np.uint64(1))[:, None]
     state = np.repeat(full, width, axis=1)
-    for t in range(min(a.shape[1], width)):  # one lane per start, one step per window offset
-        here = np.where((t < m)[:, None], masks[:, t:], np.uint64(0))
+    for t in range(min(int(m.max(initial=0)), width)):  # one lane per start, one step per window offset
         lane = state[:, : width - t]
-        u = lane & here
-        state[:, : width - t] = ((lane + u) | (lane - u)) & full
+        u = lane & masks[:, t:] & np.where(t < m, full[:, 0], np.uint64(0))[:, None]
+        lane[:] = ((lane + u) | (lane - u)) & full
     starts = np.arange(width)
     window = np.minimum(m[:, None], np.maximum(n[:, None] - starts, 0))
     lcs = m[:, None] - np.bitwise_count(state)
@@ -116,24 +116,28 @@ def _partial_big(short: str, long: str) -> int:
 
 def _ordered(a: pa.Array, b: pa.Array) -> tuple[list[str], list[str]]:
     pairs = [(x or "", y or "") for x, y in zip(a.to_pylist(), b.to_pylist())]
-    short = [x if len(x) <= len(y) else y for x, y in pairs]
-    long = [y if len(x) <= len(y) else x for x, y in pairs]
-    return short, long
+    pairs = [(x, y) if len(x) <= len(y) else (y, x) for x, y in pairs]
+    return [x for x, _ in pairs], [y for _, y in pairs]
+
+
+def _both(masks: np.ndarray, m: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return np.maximum(_whole(masks, m, n), _windowed(masks, m, n))
+
+
+def _both_big(short: str, long: str) -> int:
+    return max(_ratio_big(short, long), _partial_big(short, long))
 
 
 def ratio_batch(a: pa.Array, b: pa.Array) -> pa.Array:
-    return pa.array(_in_chunks(*_ordered(a, b), _ratio_kernel, _ratio_big), pa.int32())
+    return pa.array(_in_chunks(*_ordered(a, b), _whole, _ratio_big), pa.int32())
 
 
 def partial_batch(a: pa.Array, b: pa.Array) -> pa.Array:
-    return pa.array(_in_chunks(*_ordered(a, b), _partial_kernel, _partial_big), pa.int32())
+    return pa.array(_in_chunks(*_ordered(a, b), _windowed, _partial_big), pa.int32())
 
 
 def sequence_batch(a: pa.Array, b: pa.Array) -> pa.Array:
-    short, long = _ordered(a, b)
-    full = _in_chunks(short, long, _ratio_kernel, _ratio_big)
-    part = _in_chunks(short, long, _partial_kernel, _partial_big)
-    return pa.array(np.maximum(full, part), pa.int32())
+    return pa.array(_in_chunks(*_ordered(a, b), _both, _both_big), pa.int32())
 
 
 def _udf(batch):

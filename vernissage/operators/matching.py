@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from vernissage.functions import similarity, text
 from vernissage.operators.skew import skewed_join
 from vernissage.schema import ARTIST_THRESHOLD, INGEST_THRESHOLD, UNKNOWN_ARTIST
-from vernissage.session import materialize
+from vernissage.session import materialize, wide
 
 TIER_EXACT, TIER_TOKENS, TIER_FUZZY = 1, 2, 3
 
@@ -95,7 +95,8 @@ def fuzzy_candidates(names: DataFrame, authority: DataFrame, threshold: int) ->
     JVM, so only near misses and matches go on to be scored.
     """
     slack = _slack(threshold)
-    probes = names.select("sorted").distinct().withColumn("seg", F.explode(_probe_segments("sorted", slack)))
+    forms = wide(names.select("sorted"), "sorted").distinct()
+    probes = forms.withColumn("seg", F.explode(_probe_segments("sorted", slack)))
     index = (
         authority.select(F.col("sorted").alias("other")).distinct()
         .withColumn("seg", F.explode(_index_segments("other", slack)))

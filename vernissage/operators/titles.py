@@ -14,7 +14,7 @@ from vernissage.functions import similarity, text
 from vernissage.operators.matching import _slack
 from vernissage.operators.skew import skewed_join
 from vernissage.schema import TITLE_THRESHOLD
-from vernissage.session import materialize
+from vernissage.session import materialize, wide
 
 _PIECE = 4
 
@@ -39,28 +39,50 @@ def _substrings(c: str) -> str:
     )
 
 
-def _enough_pairs(slack: int) -> str:
-    """Whether enough neighbouring characters of ``a`` also stand side by side in ``b`` (SQL).
+_MASKS = 4
 
-    A match leaves at most ``4 * slack * m / (200 + slack)`` of the ``m - 1``
-    neighbour pairs of the shorter title damaged: two for each character it
-    loses, one for each that is put in. Everything else occurs in ``b``.
+
+def _with_masks(forms: DataFrame) -> DataFrame:
+    """Add ``m0..m3``: which of 252 hash buckets hold a pair of neighbouring characters of ``norm``."""
+    bits = 63 * _MASKS
+    pairs = "transform(sequence(1, length(norm) - 1), p -> int(pmod(xxhash64(substring(norm, p, 2)), {})))".format(bits)
+    slots = forms.withColumn("_b", F.when(F.length("norm") > 1, F.array_distinct(F.expr(pairs))).otherwise(F.array().cast("array<int>")))
+    masks = {
+        f"m{i}": F.expr(
+            f"aggregate(filter(_b, b -> b div 63 = {i}), 0L, (s, b) -> s | shiftleft(1L, int(b - {63 * i})))"
+        )
+        for i in range(_MASKS)
+    }
+    return slots.withColumns(masks).drop("_b")
+
+
+def _near(slack: int) -> str:
+    """Whether enough neighbour pairs of ``a`` also occur in ``b`` (SQL, bit operations only).
+
+    A match damages at most ``4 * slack * m / (200 + slack)`` of the pairs of the
+    shorter title: two for each character it loses, one for each that is put in.
+    Every other pair stands in ``b``, so no more buckets than that can be missing.
     """
-    pairs = "transform(sequence(1, greatest(1, length(a) - 1)), p -> if(instr(b, substring(a, p, 2)) > 0, 1, 0))"
-    shared = f"aggregate({pairs}, 0, (n, x) -> n + x)"
-    return f"length(a) < 2 or {shared} >= length(a) - 1 - int((4 * {slack} * length(a)) div {200 + slack})"
+    missing = " + ".join(f"bit_count(m{i} & ~w{i})" for i in range(_MASKS))
+    return f"{missing} <= int((4 * {slack} * length(a)) div {200 + slack})"
 
 
 def _one_way(short: DataFrame, long: DataFrame, slack: int, strict: bool) -> DataFrame:
     """Candidate (a, b) with ``a`` from ``short`` no longer than ``b`` from ``long``."""
-    pieces = short.select(F.col("norm").alias("a"), F.expr(_pieces("norm", slack)).alias("parts")).select(
-        "a", "parts", F.posexplode("parts").alias("at", "piece")
+    own = [f"m{i}" for i in range(_MASKS)]
+    pieces = wide(short, "norm").select(F.col("norm").alias("a"), F.expr(_pieces("norm", slack)).alias("parts"), *own)
+    pieces = pieces.select("a", "parts", *own, F.posexplode("parts").alias("at", "piece")).withColumn(
+        "earlier", F.expr("slice(parts, 1, at)")
+    ).drop("parts", "at")
+    other = [F.col(m).alias(f"w{i}") for i, m in enumerate(own)]
+    windows = materialize(
+        wide(long, "norm").select(F.col("norm").alias("b"), *other, F.explode(F.expr(_substrings("norm"))).alias("piece"))
     )
-    windows = materialize(long.select(F.col("norm").alias("b"), F.explode(F.expr(_substrings("norm"))).alias("piece")))
     size = "length(a) < length(b)" if strict else "length(a) <= length(b)"
     # a pair may share many pieces: keep it at the first shared one only, so no later distinct is needed
-    first = "array_position(transform(parts, s -> instr(b, s) > 0), true) = at + 1"
-    return skewed_join(pieces, windows, "piece", F.col("a"), right_spread=F.col("b")).filter(size).filter(first).filter(_enough_pairs(slack)).select("a", "b")
+    first = "not exists(earlier, s -> contains(b, s))"
+    near = skewed_join(pieces, windows, "piece", F.col("a"), right_spread=F.col("b")).filter(size).filter(_near(slack))
+    return near.filter(first).select("a", "b")
 
 
 def match_title_forms(left: DataFrame, right: DataFrame, threshold: int = TITLE_THRESHOLD) -> DataFrame:
@@ -69,8 +91,9 @@ def match_title_forms(left: DataFrame, right: DataFrame, threshold: int = TITLE_
     if 2 * slack >= 200 - slack:
         raise ValueError("title thresholds below 68 leave no piece certain to survive")
     equal = left.join(right, "norm").select(F.col("norm").alias("a"), F.col("norm").alias("b"), F.lit(100).alias("score"))
-    forth = _one_way(left, right, slack, strict=False)
-    back = _one_way(right, left, slack, strict=True).select(F.col("b").alias("a"), F.col("a").alias("b"))
+    lefts, rights = materialize(_with_masks(left)), materialize(_with_masks(right))
+    forth = _one_way(lefts, rights, slack, strict=False)
+    back = _one_way(rights, lefts, slack, strict=True).select(F.col("b").alias("a"), F.col("a").alias("b"))
     fuzzy = (
         forth.unionByName(back)
         .filter("a != b")

@@ -59,3 +59,13 @@ def materialize(df: DataFrame) -> DataFrame:
 def has_at_most(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has no more than ``rows`` rows, reading no further than needed."""
     return df.limit(rows + 1).count() <= rows
+
+
+def wide(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread ``df`` by ``keys`` over all cores before work that is heavy for its number of bytes.
+
+    A fixed number of partitions keeps adaptive execution from merging them again.
+    """
+    spark = df.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(parts, *keys)
