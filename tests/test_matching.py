@@ -1,8 +1,11 @@
 """Name and title matching: literal cases, and no loss against brute force."""
 
 import random
+import subprocess
+import sys
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from vernissage.functions import similarity
@@ -163,3 +166,14 @@ def test_empty_authority_lets_all_pass(spark):
     none = spark.createDataFrame([], "name string")
     rows = matching.authority_filter(items, none).orderBy("idx").collect()
     assert [r.canonical for r in rows] == ["John French Sloan", "Unknown", "Unknown"]
+
+
+def test_scores_run_where_the_package_is_not_installed(tmp_path):
+    payload = tmp_path / "fn.pickle"
+    payload.write_bytes(cloudpickle.dumps(similarity.sequence_batch))
+    code = (
+        "import pickle, pyarrow as pa, importlib.util as u; assert u.find_spec('vernissage') is None;"
+        f"fn = pickle.load(open({str(payload)!r}, 'rb')); print(fn(pa.array(['abc']), pa.array(['xabc']))[0])"
+    )
+    out = subprocess.run([sys.executable, "-I", "-c", code], cwd=tmp_path, capture_output=True, text=True)
+    assert out.stdout.strip() == "100", out.stderr

@@ -42,6 +42,6 @@ def sample_rank(df: DataFrame, n: int, seed: int = 42, key: str = "id") -> DataF
     return ranked.drop("_lead", "_digest")
 
 
-def take(df: DataFrame, n: int, *order: str) -> DataFrame:
-    """The first ``n`` rows in ``order``; -1 means all."""
-    return df if n < 0 else df.orderBy(*order).limit(n)
+def take(df: DataFrame, n: int, key: str, *ties: str) -> DataFrame:
+    """The first ``n`` rows by numeric ``key`` (then ``ties``); -1 means all."""
+    return first_n(df, n, key, *ties)

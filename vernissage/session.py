@@ -64,8 +64,11 @@ def has_at_most(df: DataFrame, rows: int) -> bool:
 def wide(df: DataFrame, *keys: str) -> DataFrame:
     """Spread ``df`` by ``keys`` over all cores before work that is heavy for its number of bytes.
 
-    A fixed number of partitions keeps adaptive execution from merging them again.
+    A fixed number of partitions keeps adaptive execution from merging them again:
+    one per core for a small input, else at least as many as a shuffle has.
     """
     spark = df.sparkSession
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = spark.sparkContext.defaultParallelism
+    if not has_at_most(df, 1_000_000):
+        parts = max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return df.repartition(parts, *keys)
