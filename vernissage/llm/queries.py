@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from vernissage.llm.common import table
 from vernissage.llm.exact_dedup import exact_dedup
 from vernissage.llm.line_dedup import line_dedup
+from vernissage.llm.simhash import simhash_groups
 
 
 def op1_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
@@ -18,5 +19,9 @@ def op7_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = [op1_exact_dedup, op7_line_dedup]
+def op8_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash_groups(table(spark, sf, "documents"))
+
+
+QUERIES = [op1_exact_dedup, op7_line_dedup, op8_simhash_near_dedup]
 REGISTRY = {f.__name__: f for f in QUERIES}
