@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vernissage.llm.common import table
 from vernissage.llm.exact_dedup import exact_dedup
 from vernissage.llm.line_dedup import line_dedup
+from vernissage.llm.packing import pack
 from vernissage.llm.simhash import simhash_groups
 
 
@@ -14,6 +16,10 @@ def op1_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup(table(spark, sf, "documents"), carry=["doc_id"])
 
 
+def op2_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return pack(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op7_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     found = line_dedup(table(spark, sf, "documents"), carry=["doc_id"])
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -23,5 +29,5 @@ def op8_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return simhash_groups(table(spark, sf, "documents"))
 
 
-QUERIES = [op1_exact_dedup, op7_line_dedup, op8_simhash_near_dedup]
+QUERIES = [op1_exact_dedup, op2_best_fit_packing, op7_line_dedup, op8_simhash_near_dedup]
 REGISTRY = {f.__name__: f for f in QUERIES}
