@@ -6,6 +6,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -32,14 +33,14 @@ def _byte_letters() -> list[str]:
 
 
 def word_encoder(vocabulary: str) -> Callable[[str], bytes]:
-    """An encoder by a ``tokenizers`` file with word ends: text to its ids as little-endian 32-bit integers.
+    """An encoder by the content of a ``tokenizers`` file with word ends: text to its ids as little-endian 32-bit integers.
 
     White space separates tokens, so each chunk between white space is encoded once and remembered; within a chunk the
     tokenizer's own model merges each match of its pattern.
     """
     from tokenizers import Tokenizer
 
-    tokenizer, letters = Tokenizer.from_file(vocabulary), _byte_letters()
+    tokenizer, letters = Tokenizer.from_str(vocabulary), _byte_letters()
     model, before, normal = tokenizer.model, tokenizer.pre_tokenizer, tokenizer.normalizer.normalize_str
     pattern = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_WHITE}\p{{L}}\p{{N}}]+")
     space = re.compile(f"[{_WHITE}]+")
@@ -85,9 +86,10 @@ def word_encoder(vocabulary: str) -> Callable[[str], bytes]:
 def pieces(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, capacity: int, end_id: int) -> DataFrame:
     """The pieces of every document: ``id, piece, start, length, ids_crc32``; only longer documents are cut."""
     kind = docs.select(named(id_col)).schema[0].dataType.simpleString()
+    content = Path(vocabulary).read_text()  # travels with the job: executors need no such file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = word_encoder(vocabulary), np.array([end_id], "<u4").tobytes()
+        encode, end = word_encoder(content), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows, piece, start, length, crc = [], [], [], [], []
             for i, text in enumerate(batch.column(1)):

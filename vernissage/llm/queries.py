@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from vernissage.llm.byte_bpe import encode
 from vernissage.llm.common import table
 from vernissage.llm.exact_dedup import exact_dedup
 from vernissage.llm.line_dedup import line_dedup
@@ -20,6 +21,15 @@ def op2_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    found = encode(table(spark, sf, "documents"), ranks, public_tokenizers.PATTERN, with_text=True)
+    return found.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op7_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     found = line_dedup(table(spark, sf, "documents"), carry=["doc_id"])
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -29,5 +39,5 @@ def op8_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return simhash_groups(table(spark, sf, "documents"))
 
 
-QUERIES = [op1_exact_dedup, op2_best_fit_packing, op7_line_dedup, op8_simhash_near_dedup]
+QUERIES = [op1_exact_dedup, op2_best_fit_packing, op3_byte_bpe, op7_line_dedup, op8_simhash_near_dedup]
 REGISTRY = {f.__name__: f for f in QUERIES}
