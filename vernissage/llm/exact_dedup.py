@@ -27,7 +27,7 @@ def _better(size: Column, key: Column) -> Column:
 
 
 def exact_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, hot_rows: int = 2000
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, hot_rows: int = 500
 ) -> DataFrame:
     """Mark the copies among ``docs``: the ``carry`` columns (default all) with ``RESULTS``, one row per input row.
 
@@ -52,10 +52,8 @@ def exact_dedup(
     bar = max(hot_rows, docs.count() // MOST_HOT)
     hot = rows.groupBy("hash").agg(F.count("*").alias("n")).filter(F.col("n") > bar)
     hot = materialize(hot.select("hash", F.ceil(F.col("n") / hot_rows).cast("int").alias("parts")))
-    totals = None
-    if hot.isEmpty():
-        rows = rows.withColumn("part", F.lit(0))
-    else:
+    totals, keys = None, ["lead", "hash"]
+    if not hot.isEmpty():
         marked = rows.join(F.broadcast(hot), "hash", "left")
         totals = materialize(
             marked.filter("parts is not null").groupBy("norm")
@@ -64,11 +62,12 @@ def exact_dedup(
         )
         cut = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
         rows = marked.withColumn("part", F.coalesce(cut, F.lit(0))).drop("parts")
+        keys.append("part")
 
-    group = Window.partitionBy("lead", "hash", "norm", "part")
+    group = Window.partitionBy(*keys, "norm")
     order = group.orderBy(F.desc("size"), F.asc_nulls_last("id"))
     found = (
-        rows.repartitionByRange("lead", "hash", "part")
+        rows.repartitionByRange(*keys)
         .select(
             "row", "id", "size", "norm", F.row_number().over(order).alias("rank"),
             F.first(_better(F.col("size"), F.col("id"))).over(order).alias("best"), F.count("*").over(group).alias("total"),
