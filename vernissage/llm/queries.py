@@ -9,6 +9,7 @@ from vernissage.llm.byte_bpe import encode
 from vernissage.llm.common import table
 from vernissage.llm.exact_dedup import exact_dedup
 from vernissage.llm.line_dedup import line_dedup
+from vernissage.llm.neighbours import nearest_neighbours
 from vernissage.llm.packing import pack
 from vernissage.llm.simhash import simhash_groups
 from vernissage.llm.substring_dedup import repeated_passages
@@ -35,6 +36,11 @@ def op4_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return repeated_passages(table(spark, sf, "documents"))
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "embeddings")
+    return nearest_neighbours(rows, rows.filter(F.col("vec_id") % 50 == 0))
+
+
 def op7_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     found = line_dedup(table(spark, sf, "documents"), carry=["doc_id"])
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -44,5 +50,5 @@ def op8_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return simhash_groups(table(spark, sf, "documents"))
 
 
-QUERIES = [op1_exact_dedup, op2_best_fit_packing, op3_byte_bpe, op4_substring_dedup, op7_line_dedup, op8_simhash_near_dedup]
+QUERIES = [op1_exact_dedup, op2_best_fit_packing, op3_byte_bpe, op4_substring_dedup, op5_nearest_neighbours, op7_line_dedup, op8_simhash_near_dedup]
 REGISTRY = {f.__name__: f for f in QUERIES}
