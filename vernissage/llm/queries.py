@@ -13,6 +13,7 @@ from vernissage.llm.neighbours import nearest_neighbours
 from vernissage.llm.packing import pack
 from vernissage.llm.simhash import simhash_groups
 from vernissage.llm.substring_dedup import repeated_passages
+from vernissage.llm.toxicity import fit_toxicity, score_toxicity
 
 
 def op1_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
@@ -41,6 +42,12 @@ def op5_nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return nearest_neighbours(rows, rows.filter(F.col("vec_id") % 50 == 0))
 
 
+def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs, held_out = table(spark, sf, "documents"), F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = fit_toxicity(docs, table(spark, sf, "labels").filter(~held_out))
+    return score_toxicity(docs, model, carry=["doc_id"]).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op7_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     found = line_dedup(table(spark, sf, "documents"), carry=["doc_id"])
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -50,5 +57,5 @@ def op8_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return simhash_groups(table(spark, sf, "documents"))
 
 
-QUERIES = [op1_exact_dedup, op2_best_fit_packing, op3_byte_bpe, op4_substring_dedup, op5_nearest_neighbours, op7_line_dedup, op8_simhash_near_dedup]
+QUERIES = [op1_exact_dedup, op2_best_fit_packing, op3_byte_bpe, op4_substring_dedup, op5_nearest_neighbours, op6_toxicity, op7_line_dedup, op8_simhash_near_dedup]
 REGISTRY = {f.__name__: f for f in QUERIES}
