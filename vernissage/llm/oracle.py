@@ -28,4 +28,12 @@ SQL = {
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE hit) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT hit), '')) AS kept_sha256
         FROM m GROUP BY doc_id""",
+    "op9_licence_scan": """
+        SELECT doc_id, len(string_split(coalesce(text, ''), chr(10))) AS n_paragraphs,
+               concat_ws(',',
+                 CASE WHEN contains(text, 'Licensed under the Apache License, Version 2.0') THEN 'Apache-2.0' END,
+                 CASE WHEN contains(text, 'Licensed under CC BY-NC 4.0') THEN 'CC-BY-NC' END,
+                 CASE WHEN contains(text, 'licensed under the GNU General Public License, version 3') THEN 'GPL' END,
+                 CASE WHEN contains(text, 'Released under the MIT License') THEN 'MIT' END) AS licences
+        FROM documents""",
 }

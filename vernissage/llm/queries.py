@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from vernissage.llm.byte_bpe import encode
 from vernissage.llm.common import table
 from vernissage.llm.exact_dedup import exact_dedup
+from vernissage.llm.language import fit_text_model, identify, page_parts
+from vernissage.llm.licences import fit_licences, scan_licences
 from vernissage.llm.line_dedup import line_dedup
 from vernissage.llm.neighbours import nearest_neighbours
 from vernissage.llm.packing import pack
@@ -57,5 +59,27 @@ def op8_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return simhash_groups(table(spark, sf, "documents"))
 
 
-QUERIES = [op1_exact_dedup, op2_best_fit_packing, op3_byte_bpe, op4_substring_dedup, op5_nearest_neighbours, op6_toxicity, op7_line_dedup, op8_simhash_near_dedup]
+def op9_licence_scan(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    found = scan_licences(docs, fit_licences(docs), carry=["doc_id"])
+    return found.select("doc_id", "n_paragraphs", F.array_join("licences", ",").alias("licences"))
+
+
+def op10_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents, whose source stands for the host, and pages; the other identifier is null in either."""
+    docs, pages = table(spark, sf, "documents"), table(spark, sf, "pages")
+    train = F.crc32(F.col("doc_id").cast("string")) % 5 != 0
+    model = fit_text_model(docs.filter(train))
+    found = identify(docs, model, F.col("text"), host=F.col("source"), carry=["doc_id"])
+    parts = page_parts(F.col("html"), F.col("url"))
+    web = identify(pages, model, carry=["page_id"], **parts)
+    columns = ["doc_id", "page_id", "language", "confidence", "rejected"]
+    nothing = F.lit(None).cast("bigint")
+    return found.withColumn("page_id", nothing).select(columns).unionByName(web.withColumn("doc_id", nothing).select(columns))
+
+
+QUERIES = [
+    op1_exact_dedup, op2_best_fit_packing, op3_byte_bpe, op4_substring_dedup, op5_nearest_neighbours, op6_toxicity,
+    op7_line_dedup, op8_simhash_near_dedup, op9_licence_scan, op10_language_id,
+]
 REGISTRY = {f.__name__: f for f in QUERIES}
