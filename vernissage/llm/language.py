@@ -42,7 +42,7 @@ def _cells(data: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     a, b, c = x[:-2], x[1:-1], x[2:]
     cell = ((a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA77) + c * np.uint32(0xC2B2AE3D)) >> np.uint32(16)).astype(np.int64)
-    cell[((a == 0x20).astype(np.int8) + (b == 0x20) + (c == 0x20)) > 1] = _CELLS
+    cell[(a == 0x20) & (b == 0x20) & (c == 0x20)] = _CELLS
     return cell
 
 
@@ -76,6 +76,8 @@ def fit_text_model(docs: DataFrame, text_col: str = "text", label_col: str = "la
     shares = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     found = {r["label"]: np.array(r["cells"], np.int64).reshape(-1, 2) for r in counted.toLocalIterator()}
     languages = sorted(shares)
+    if not languages:
+        return TextModel([], np.zeros((0, _CELLS + 1), np.float32), [])
     scores = np.full((len(languages), _CELLS + 1), _CELL)
     for i, language in enumerate(languages):
         cells = found.get(language, np.zeros((0, 2), np.int64))
@@ -121,7 +123,7 @@ def _counts(rows: DataFrame, key: str, n: int, name: str) -> DataFrame:
 
 def identify(
     docs: DataFrame, model: TextModel, text: Column, declared: Column | None = None, suffix: Column | None = None,
-    host: Column | None = None, domain: Column | None = None, carry: list[str] | None = None, least: float = 0.5,
+    host: Column | None = None, domain: Column | None = None, carry: list[str] | None = None, least: float = 0.35,
 ) -> DataFrame:
     """The ``carry`` columns (default all) with ``language``, ``confidence`` and whether the row is ``rejected``.
 

@@ -25,7 +25,7 @@ _SHARED = 4.0
 _SINGLE = 4.0
 #: Ratios above these count as strong evidence, which the calibration sees apart from the mean.
 _STRONG = (1.0, 2.5)
-FEATURES = ["mean", "size", *[f"strong{i}" for i in range(len(_STRONG))]]
+FEATURES = ["mean", "size", "peak", *[f"strong{i}" for i in range(len(_STRONG))]]
 
 
 @dataclass(frozen=True)
@@ -35,7 +35,7 @@ class ToxicityModel:
     words: dict[str, float]
     pairs: dict[tuple[str, str], float]
     unknown: float
-    weights: tuple[float, ...] = (0.0, 1.0, 0.0, 0.0, 0.0)
+    weights: tuple[float, ...] = (0.0, 1.0, 0.0, 0.0, 0.0, 0.0)
 
 
 def words_of(text: str) -> list[str]:
@@ -119,8 +119,9 @@ def _fit_language_models(rows: DataFrame, most_entries: int) -> ToxicityModel:
 def _ratios(rows: DataFrame, model: ToxicityModel, columns: list[str]) -> DataFrame:
     """``columns`` with ``FEATURES`` of ``text``.
 
-    ``mean`` is the log-likelihood ratio per distinct pair of words, ``size`` the logarithm of their number, and
-    ``strong*`` that of the summed ratios above each bar, so that a few strong expressions count in a long text as well.
+    ``mean`` is the log-likelihood ratio per distinct pair of words, ``size`` the logarithm of their number, ``peak``
+    the largest ratio, and ``strong*`` the logarithm of the summed ratios above each bar, so that a few strong expressions
+    count in a long text as well.
     """
     shared = rows.sparkSession.sparkContext.broadcast((model.words, model.pairs, model.unknown))
 
@@ -133,7 +134,8 @@ def _ratios(rows: DataFrame, model: ToxicityModel, columns: list[str]) -> DataFr
                 kinds = list(set(zip(["", *tokens], tokens)))  # a pair counts once: repeats say no more
                 ratios = np.array([words.get(word, unknown) for _, word in kinds]) + np.array(list(map(pairs.get, kinds, repeat(0.0))))
                 strong = [ratios[ratios > bar].sum() for bar in _STRONG]
-                found.append([ratios.mean() if kinds else 0.0, *np.log1p([len(kinds), *strong])])
+                mean, peak = (ratios.mean(), ratios.max()) if kinds else (0.0, 0.0)
+                found.append([mean, np.log1p(len(kinds)), peak, *np.log1p(strong)])
             columns_found = np.array(found, float).reshape(-1, len(FEATURES)).T
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *map(pa.array, columns_found)], [*columns, *FEATURES])
 
