@@ -162,17 +162,25 @@ def test_top_artists_by_count_then_name(spark):
     assert [tuple(r) for r in table.orderBy("rank").collect()] == [(1, "Rembrandt", 2), (2, "Klimt", 1), (3, "Monet", 1)]
 
 
-def test_top_n_and_text(spark):
+def test_top_n(spark):
     many = _paintings(spark, *[f"Artist {i}" for i in range(10)])
-    assert report.top_artists(many, 3).count() == 3
-    assert "TOP 3 ARTISTS" in report.format_diagnostics(many, None, 3)
-    assert "TOP" not in report.format_diagnostics(many, None, 0)
-    text = report.format_diagnostics(_paintings(spark, "Rembrandt", "Monet", None), None)
-    assert "TOP 2 ARTISTS BY PAINTING COUNT" in text and "Rembrandt" in text
-    assert "Paintings ingested:  3" in text and "Unique artists:      2" in text
-
-
-def test_no_metadata(spark):
-    for nothing in (None, _paintings(spark)):
-        text = report.format_diagnostics(nothing, None)
-        assert "Metadata:            not loaded" in text and "TOP" not in text
+    assert report.top_artists(many, 3).count() == 3 and report.top_artists(many, 0).isEmpty()
+    assert tuple(report.diagnostics(_paintings(spark, "Rembrandt", "Monet", None)).first()) == (3, 2)
+
+
+def test_percentile_of_the_null_group(spark):
+    rows = spark.createDataFrame([(None, 5.0), (None, 7.0), ("a", 1.0)], "k string, v double")
+    got = {r.k: (r.avg_ms, r.p95_ms) for r in ev.latency_summary(rows, "k", "v").collect()}
+    assert got == {None: (6.0, pytest.approx(6.9)), "a": (1.0, 1.0)}
+
+
+def test_perturbations_of_the_given_registry(spark):
+    items = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [2.0, 1.0])], "id string, vec array<double>")
+    flip = {"flip": lambda vec, draw: F.transform(vec, lambda x: -x)}
+    for name in ("all", "random", ["flip"]):
+        queries = ev.eval_queries(items, name, flip)
+        assert sorted(r.vec for r in queries.collect()) == [[-2.0, -1.0], [-1.0, -2.0]]
+    with pytest.raises(KeyError):
+        ev.eval_queries(items, "affine")
+    with pytest.raises(Exception, match="unknown perturbation"):
+        pt.perturb(items, F.lit("affine")).collect()

@@ -107,6 +107,17 @@ def test_replayed_batch_changes_nothing(spark):
     assert _rows(stream.load_ingested(spark, root)) == once
 
 
+def test_a_new_checkpoint_loses_nothing(spark):
+    known, root = _names(spark, "Claude Monet"), scratch_dir(spark)
+    for k in range(2):
+        _many(spark, 12 * k, 12 * k + 12).write.parquet(f"{root}/in{k}")
+        source = spark.readStream.schema(spark.read.parquet(f"{root}/in{k}").schema).parquet(f"{root}/in{k}")
+        stream.start_ingest(source, known, f"{root}/out", f"{root}/progress{k}").awaitTermination()
+    ids = [r.id for r in stream.load_ingested(spark, f"{root}/out").collect()]
+    stream.ingest_batch(_many(spark, 0, 24), 0, known, f"{root}/all")
+    assert sorted(ids) == sorted(r.id for r in stream.load_ingested(spark, f"{root}/all").collect()) and ids
+
+
 def test_stream_limit_counts_over_batches(spark):
     known, root = _names(spark, "Claude Monet"), scratch_dir(spark)
     assert stream.ingest_batch(_many(spark, 0, 12), 0, known, root, IngestConfig(limit=8)) == 6
@@ -121,7 +132,7 @@ def test_stream_feeds_the_index(spark):
     )
     centroids = spark.createDataFrame([(0, [1.0, 0.0]), (1, [-1.0, 0.0])], "cell int, vec array<double>")
     stream.ingest_batch(_many(spark, 0, 24), 0, known, root, vectors=vectors, centroids=centroids)
-    postings = spark.read.schema("id string, vec array<double>, sig bigint, batch int, cell int").parquet(f"{root}/postings")
+    postings = spark.read.schema("id string, vec array<double>, sig array<bigint>, run string, batch int, cell int").parquet(f"{root}/postings")
     meta = {r.id for r in stream.load_ingested(spark, root).collect()}
     assert {r.id for r in postings.collect()} == meta and meta
     assert {r.cell for r in postings.filter("id = 'wikiart_0'").collect()} == {1}
@@ -178,3 +189,10 @@ def test_images_are_not_read_for_metadata(spark, tmp_path):
     out = cat.to_metadata(cat.standard_schema(cat.open_catalog(spark, path).withColumn("canonical", F.col("artist"))))
     plan = spark._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "formatted")
     assert "ReadSchema" in plan and "image" not in plan[plan.index("ReadSchema"):].split("\n")[0]
+
+
+@pytest.mark.parametrize("text", ['["A", "B"', '{"A": 1}', ""])
+def test_damaged_authority_list_is_an_error(spark, tmp_path, text):
+    (tmp_path / "bad.json").write_text(text or " ")
+    with pytest.raises(Exception):
+        auth.load_authority(spark, str(tmp_path / "bad.json")).collect()

@@ -59,11 +59,31 @@ def test_nearest_of_nothing(spark):
     assert vx.nearest(none, rows).count() == 0
 
 
+@pytest.mark.parametrize("probe_bytes", [vx.PROBE_BYTES, 0])
+def test_repeated_ids_and_queries_have_one_meaning(spark, probe_bytes):
+    rows = _frame(spark, ["a", "a", "a", "b", "c"], [[1, 0], [1, 0], [0.9, 0.1], [0, 1], [1, 1]], "id", "key")
+    asked = _frame(spark, ["q", "q", "r"], [[1, 0], [0, 1], [1, 0.01]], "qid", "key")
+    got = sorted((r.qid, r.rank, r.id) for r in vx.nearest(asked, rows, k=2, probe_bytes=probe_bytes).collect())
+    assert got == [("q", 1, "a"), ("q", 2, "b"), ("r", 1, "a"), ("r", 2, "c")]
+
+
+def test_queries_without_a_vector_are_unknown(spark, built):
+    asked = spark.createDataFrame([("x", None), ("z", [0.0] * 64)], "qid string, vec array<double>")
+    got = {r.qid: (r.label, r.fallback_used) for r in ix.search_cells(ix.load_index(spark, built), asked).collect()}
+    assert got == {"x": ("Unknown", True), "z": ("Unknown", True)}
+
+
+def test_training_leaves_out_zero_vectors(spark, data):
+    ids, stored, _, _ = data
+    zero = _frame(spark, ["zero"], [np.zeros(len(stored[0]))])
+    assert ix.train_kmeans(_frame(spark, ids, stored).unionByName(zero), 4).count() == 4
+
+
 def test_signature_bits(spark, data):
     ids, stored, _, _ = data
     got = {r.id: r.s for r in _frame(spark, ids, stored).select("id", vx.signature("vec").alias("s")).collect()}
     for i, row in zip(ids, stored):
-        assert got[i] == sum(1 << j for j in range(63) if row[j] > 0)
+        assert got[i] == [sum(1 << j for j in range(32) if at + j < len(row) and row[at + j] > 0) for at in range(0, len(row), 32)]
 
 
 @pytest.mark.parametrize("probe_bytes", [vx.PROBE_BYTES, 0])
@@ -72,7 +92,7 @@ def test_mutual_nearest(spark, probe_bytes, monkeypatch):
     rng = np.random.default_rng(2)
     a = {f"a{i:02d}": int(x) for i, x in enumerate(rng.integers(0, 2**20, 40))}
     b = {f"b{i:02d}": int(x) for i, x in enumerate(rng.integers(0, 2**20, 50))}
-    df = lambda d: spark.createDataFrame(list(d.items()), "id string, sig bigint")
+    df = lambda d: spark.createDataFrame([(k, [v & 1023, v >> 10]) for k, v in d.items()], "id string, sig array<bigint>")
     got = {tuple(r) for r in vx.mutual_nearest(df(a), df(b), 6).collect()}
     dist = lambda x, y: (a[x] ^ b[y]).bit_count()
     fwd = {x: min(b, key=lambda y: (dist(x, y), y)) for x in a}

@@ -68,31 +68,46 @@ def pick(u: Column, names: list[str]) -> Column:
     return F.element_at(F.array(*[F.lit(n) for n in names]), F.floor(u * len(names)).cast("int") + 1)
 
 
-def any_real(vec: Column, draw: Draw) -> Column:
-    """One of the real perturbations, chosen per row."""
-    chosen = pick(draw("choice"), list(REAL))
-    out = vec
-    for name, fn in REAL.items():
-        out = F.when(chosen == name, fn(vec, draw)).otherwise(out)
-    return out
+def any_of(perturbations: dict[str, Perturbation]) -> Perturbation:
+    """One of the perturbations, chosen per row."""
 
+    def run(vec: Column, draw: Draw) -> Column:
+        out = vec
+        chosen = pick(draw("choice"), list(perturbations)) if perturbations else F.lit("")
+        for name, fn in perturbations.items():
+            out = F.when(chosen == name, fn(vec, draw)).otherwise(out)
+        return out
 
-TRANSFORMS: dict[str, Perturbation] = {"none": unchanged, **REAL, "random": any_real}
+    return run
 
 
-def resolve(transform: str | list[str]) -> list[str]:
-    """``all`` means every entry but ``none`` and ``random``."""
+TRANSFORMS: dict[str, Perturbation] = {"none": unchanged, **REAL, "random": any_of(REAL)}
+
+
+def registered(registry: dict[str, Perturbation] | None = None) -> dict[str, Perturbation]:
+    """The given perturbations, or the built-in ones; ``random`` draws from those given unless it is one of them."""
+    if registry is None:
+        return TRANSFORMS
+    return {"random": any_of({n: f for n, f in registry.items() if n not in ("none", "random")}), **registry}
+
+
+def resolve(transform: str | list[str], registry: dict[str, Perturbation] | None = None) -> list[str]:
+    """The names to run; ``all`` means every entry but ``none`` and ``random``, and an unknown name is an error."""
+    known = registered(registry)
     if transform == "all":
-        return [n for n in TRANSFORMS if n not in ("none", "random")]
-    return [transform] if isinstance(transform, str) else list(transform)
+        return [n for n in known if n not in ("none", "random")]
+    names = [transform] if isinstance(transform, str) else list(transform)
+    if unknown := [n for n in names if n not in known]:
+        raise KeyError(f"unknown perturbations: {', '.join(unknown)}")
+    return names
 
 
 def perturb(
     df: DataFrame, transform: Column, registry: dict[str, Perturbation] | None = None, seed: int = 42
 ) -> DataFrame:
-    """Replace ``vec`` by the perturbation named in ``transform``, drawing by ``id``."""
-    out = F.col("vec")
-    for name, fn in (registry or TRANSFORMS).items():
+    """Replace ``vec`` by the perturbation named in ``transform``, drawing by ``id``; a name that is not known fails the job."""
+    out = F.raise_error(F.concat(F.lit("unknown perturbation: "), F.coalesce(transform, F.lit("null")))).cast(df.schema["vec"].dataType)
+    for name, fn in registered(registry).items():
         def draw(purpose: str, name: str = name) -> Column:
             return hash_unit(seed, f"{name}|{purpose}", F.col("id"))
 

@@ -40,14 +40,15 @@ def train_seeded(vectors: DataFrame, cells: int) -> DataFrame:
     return listed.select(F.posexplode("all").alias("cell", "v")).select("cell", F.col("v.vec").alias("vec"))
 
 
-def train_kmeans(vectors: DataFrame, cells: int, seed: int = 42, rounds: int = 20, per_cell: int = 256) -> DataFrame:
-    """Spherical k-means centroids.
+def train_kmeans(vectors: DataFrame, cells: int, seed: int = 42, rounds: int = 20, per_cell: int | None = None) -> DataFrame:
+    """Spherical k-means centroids of all vectors; zero vectors have no direction and are left out.
 
-    Training needs no more than ``per_cell`` vectors per cell, taken by a hash of
-    the id; every vector is assigned to a cell afterwards.
+    With ``per_cell`` training takes no more than so many vectors per cell, by a
+    hash of the id; every vector is assigned to a cell afterwards.
     """
     spark = vectors.sparkSession
-    chosen = materialize(sample_n(vectors.select("id", "vec"), per_cell * cells, seed))
+    chosen = vectors.select("id", "vec").filter(F.exists("vec", lambda x: x != 0))
+    chosen = materialize(sample_n(chosen, per_cell * cells, seed) if per_cell else chosen)
     rows = chosen.select(array_to_vector("vec").alias("features"))
     model = KMeans(k=cells, seed=seed, maxIter=rounds, distanceMeasure="cosine").fit(rows)
     centers = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
@@ -113,7 +114,7 @@ def append_index(vectors: DataFrame, path: str) -> None:
 
 def load_index(spark: SparkSession, path: str) -> CellIndex:
     """Open a stored index."""
-    postings = spark.read.schema("id string, vec array<double>, sig bigint, cell int").parquet(f"{path}/postings")
+    postings = spark.read.schema("id string, vec array<double>, sig array<bigint>, cell int").parquet(f"{path}/postings")
     return CellIndex(spark.read.parquet(f"{path}/centroids"), postings)
 
 
@@ -121,12 +122,16 @@ def search_cells(index: CellIndex, queries: DataFrame, config: SearchConfig = Se
     """Two-pass search: (qid, label, confidence, fallback_used) for every query (``qid``, ``vec``).
 
     The first pass probes few cells; queries below the confidence threshold go
-    on to many. What stays below it is ``Unknown``.
+    on to many. What stays below it is ``Unknown``, and so is a query without a vector.
     """
     deep = max(config.nprobe_fast, config.nprobe_deep)
     numbers, centers = _center_matrix(index.centroids)
     ranked = _ranked_cells(numbers, centers, deep)
-    placed = materialize(queries.select("qid", F.col("vec").alias("key")).withColumn("cells", ranked("key")))
+    asked = materialize(queries.select("qid", F.col("vec").alias("key")))
+    placed = materialize(asked.filter("key is not null").withColumn("cells", ranked("key")))
+    nothing = asked.filter("key is null").select(
+        "qid", F.lit(UNKNOWN_LABEL).alias("label"), F.lit(0.0).alias("confidence"), F.lit(True).alias("fallback_used")
+    )
     rows = index.postings.select("id", F.col("vec").alias("key"), "cell")
 
     def one_pass(asked: DataFrame, probes: int) -> DataFrame:
@@ -145,7 +150,7 @@ def search_cells(index: CellIndex, queries: DataFrame, config: SearchConfig = Se
             F.coalesce("score", F.lit(0.0)).alias("confidence"),
             F.lit(True).alias("fallback_used"),
         )
-    )
+    ).unionByName(nothing)
 
 
 def index_stats(index: CellIndex) -> DataFrame:

@@ -7,6 +7,13 @@ from pyspark.sql import DataFrame, Window, functions as F
 ACCURACY = 10_000
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """A join on ``keys`` in which null equals null; the keys are those of ``left``."""
+    other = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    return left.join(other, same, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def exact_percentile(df: DataFrame, by: list[str], value: str, q: float, name: str) -> DataFrame:
     """Linear-interpolation percentile of ``value`` per group, one row per group.
 
@@ -27,13 +34,13 @@ def exact_percentile(df: DataFrame, by: list[str], value: str, q: float, name: s
     )
     # equal values are merged first, so one very frequent value is one row from here on
     counted = rows.groupBy(*by, "_v").agg(F.count("*").alias("_c"))
-    joined = counted.join(bounds, by)
+    joined = null_safe_join(counted, bounds, by, "inner")
     below = joined.filter("_v < _lo").groupBy(*by).agg(F.sum("_c").alias("_below"))
     ordered = Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     running = (
         joined.filter("_v >= _lo and _v <= _hi")
         .withColumn("_to", F.sum("_c").over(ordered))
-        .join(below, by, "left")
+        .transform(lambda df: null_safe_join(df, below, by, "left"))
         .withColumn("_to", F.col("_to") + F.coalesce("_below", F.lit(0)))
     )
     # _to = number of values up to and including this one: rank r (from 0) is the first with _to > r

@@ -63,7 +63,7 @@ def skewed_join(
 
 
 def first_n(df: DataFrame, n: int | None, key: str, *ties: str, in_memory: int = SMALL_ROWS) -> DataFrame:
-    """The ``n`` rows with the smallest numeric ``key`` (then ``ties``); all rows for -1 or None.
+    """The ``n`` rows with the smallest numeric ``key`` (then ``ties``), null keys last; all rows for -1 or None.
 
     Up to ``in_memory`` rows this is one top-n. Beyond it, counts over equal-width
     bins of the key find the bin where row ``n`` falls, narrowing until the rest
@@ -76,8 +76,9 @@ def first_n(df: DataFrame, n: int | None, key: str, *ties: str, in_memory: int =
     inside = F.col(key).isNotNull()
     while left > in_memory:
         edge = df.filter(inside).agg(F.min(key), F.max(key), F.count("*")).first()
-        if edge[2] <= left:
-            return df.filter(below | inside)
+        if edge[2] <= left:  # only in the first round: afterwards a bin holds more than is left
+            nulls = df.filter(F.col(key).isNull())
+            return df.filter(inside).unionByName(nulls.orderBy(*ties).limit(left - edge[2]) if ties else nulls.limit(left - edge[2]))
         lo, hi = float(edge[0]), float(edge[1])
         if lo >= hi:
             break
@@ -90,7 +91,8 @@ def first_n(df: DataFrame, n: int | None, key: str, *ties: str, in_memory: int =
             left -= rows
         below = below | (inside & (bin_ < b))
         inside = inside & (bin_ == b)
-    rest = df.filter(inside).orderBy(key, *ties).limit(left)
+    rest = df if lo is None else df.filter(inside)
+    rest = rest.orderBy(F.asc_nulls_last(key), *ties).limit(left)
     return df.filter(below).unionByName(rest)
 
 

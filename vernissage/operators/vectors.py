@@ -19,6 +19,7 @@ from vernissage.session import materialize
 PROBE_BYTES = 64 << 20
 TILE_QUERIES = 1024
 TILE_ROWS = 8192
+SIGNATURE_BITS = 32
 _HITS = "qid string, id string, score double"
 
 Kernel = Callable[[np.ndarray, np.ndarray], np.ndarray]
@@ -45,23 +46,30 @@ def cosine(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 def hamming(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Minus the number of differing bits of 63-bit signatures."""
-    return -np.bitwise_count(queries ^ rows.T).astype(np.float64)
+    """Minus the number of differing bits of signatures, summed over their words."""
+    differ = np.zeros((len(queries), len(rows)))
+    for word in range(queries.shape[1]):
+        differ += np.bitwise_count(queries[:, word, None] ^ rows[None, :, word])
+    return -differ
 
 
 def signature(vec: Column | str) -> Column:
-    """Signs of the first 63 components as the bits of a bigint."""
+    """Signs of all components as bits: an array with one bigint for every ``SIGNATURE_BITS`` of them."""
     vec = F.col(vec) if isinstance(vec, str) else vec
-    head = F.slice(vec, 1, 63)
-    bits = F.transform(head, lambda x, i: F.when(x > 0, F.expr("1L")).otherwise(F.expr("0L")))
-    # highest component first, so that component i ends up at bit i
-    return F.aggregate(F.reverse(bits), F.expr("0L"), lambda acc, b: acc * 2 + b)
+    bits = F.transform(vec, lambda x: F.when(x > 0, F.expr("1L")).otherwise(F.expr("0L")))
+    starts = F.sequence(F.lit(1), F.greatest(F.size(vec), F.lit(1)), F.lit(SIGNATURE_BITS))
+    # highest component first, so that component i ends up at bit i of its word
+    word = lambda at: F.aggregate(F.reverse(F.slice(bits, at, SIGNATURE_BITS)), F.expr("0L"), lambda acc, b: acc * 2 + b)
+    return F.transform(starts, word)
 
 
 def _best(q: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int):
-    """The k best (highest score, then lowest id) entries of every query."""
+    """The k best (highest score, then lowest id) different ids of every query."""
     rank = np.unique(ids, return_inverse=True)[1] if len(ids) else np.zeros(0, dtype=np.int64)
     order = np.lexsort((rank, -score, q))
+    if len(order):  # an id counts once, with its best score
+        pair = q[order].astype(np.int64) * (rank.max() + 1) + rank[order]
+        order = order[np.sort(np.unique(pair, return_index=True)[1])]
     q, ids, score = q[order], ids[order], score[order]
     first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.zeros(0, dtype=np.int64)
     place = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)]))
@@ -72,11 +80,13 @@ def _best(q: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int):
 def _block(queries: np.ndarray, which: np.ndarray, rows: np.ndarray, ids: np.ndarray, kernel: Kernel, k: int):
     """Best k stored rows for each query of one block against another."""
     parts = []
+    # an id may be listed several times: look so much further that k different ones are certain
+    most = k * int(np.unique(ids, return_counts=True)[1].max()) if len(ids) else k
     for start in range(0, len(which), TILE_QUERIES):
         at = which[start : start + TILE_QUERIES]
         scores = kernel(queries[at], rows)
-        if scores.shape[1] > k:
-            floor = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+        if scores.shape[1] > most:
+            floor = np.partition(scores, scores.shape[1] - most, axis=1)[:, scores.shape[1] - most]
             qi, ri = np.nonzero(scores >= floor[:, None])  # ties kept, settled by id in _best
         else:
             qi, ri = np.nonzero(np.ones_like(scores, dtype=bool))
@@ -169,7 +179,9 @@ def nearest(
     ``queries`` has ``qid`` and ``key``, ``rows`` has ``id`` and ``key``: a vector
     for :func:`cosine`, a signature for :func:`hamming`. With a ``cell`` column on
     both, a query meets only rows of its cells. Ties go to the lowest id.
-    ``width`` is the number of components, looked up if not given.
+    ``width`` is the number of components, looked up if not given. An id that is
+    listed several times counts once, with its best score; so does a query that
+    is asked with several vectors. Null keys take no part.
     """
     celled = "cell" in queries.columns
     columns = ["id", "key", "cell"] if celled else ["id", "key"]
@@ -187,15 +199,12 @@ def nearest(
     if not table.num_rows:
         return q.sparkSession.createDataFrame([], _HITS + ", rank int")
     if table.num_rows <= most:
-        names, at, number = np.unique(
-            table.column("qid").to_numpy().astype(object), return_index=True, return_inverse=True
-        )
-        by_cell = None
+        names, by_cell = table.column("qid").to_numpy().astype(object), None
         if celled:
             cells = table.column("cell").to_numpy()
-            by_cell = {int(c): np.unique(number[cells == c]) for c in np.unique(cells)}
+            by_cell = {int(c): np.flatnonzero(cells == c) for c in np.unique(cells)}
             r = r.filter(F.col("cell").isin(list(by_cell)))  # prunes the stored partitions
-        hits = r.mapInArrow(_scan(names, matrix(table.column("key"))[at], by_cell, kernel, k), _HITS)
+        hits = r.mapInArrow(_scan(names, matrix(table.column("key")), by_cell, kernel, k), _HITS)
     else:
         hits = _tiled(q, r, kernel, k)
     if k == 1:
@@ -205,6 +214,7 @@ def nearest(
             "qid", F.col("best.id").alias("id"), (F.lit(0.0) - F.col("best.neg")).alias("score"), F.lit(1).alias("rank")
         )
     place = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
+    hits = hits.groupBy("qid", "id").agg(F.max("score").alias("score"))
     return hits.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k)
 
 

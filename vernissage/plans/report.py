@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from vernissage.operators.index import CellIndex, index_stats
-
 
 def diagnostics(metadata: DataFrame) -> DataFrame:
     """One row: paintings and distinct artists (missing artists are not counted)."""
@@ -22,39 +20,3 @@ def top_artists(metadata: DataFrame, n: int | None = 100) -> DataFrame:
     # the window sees at most n rows
     place = F.row_number().over(Window.orderBy(F.desc("paintings"), "artist"))
     return top.select(place.alias("rank"), "artist", "paintings")
-
-
-def format_top_artists(table: DataFrame) -> str:
-    """The ranked table as text."""
-    rows = table.orderBy("rank").collect()
-    bar = "=" * 44
-    digits = len(str(len(rows)))
-    width = max([len("Artist")] + [len(r.artist) for r in rows])
-    lines = [bar, f"  TOP {len(rows)} ARTISTS BY PAINTING COUNT", bar, f"  {'#':>{digits}}  {'Artist':<{width}}  Paintings"]
-    lines.append(f"  {'-' * digits}  {'-' * width}  ---------")
-    lines += [f"  {r['rank']:>{digits}}  {r.artist:<{width}}  {r.paintings:>9,}" for r in rows]
-    return "\n".join(lines + [bar])
-
-
-def format_diagnostics(metadata: DataFrame | None, index: CellIndex | None, n: int | None = 100) -> str:
-    """Counts, index figures and the top artists as text."""
-    bar = "=" * 44
-    lines = [bar, "  ENGINE DIAGNOSTICS", bar]
-    row = diagnostics(metadata).first() if metadata is not None else None
-    if row and row.paintings:
-        lines += [f"  Paintings ingested:  {row.paintings:,}", f"  Unique artists:      {row.artists:,}"]
-    else:
-        lines.append("  Metadata:            not loaded")
-    if index is not None:
-        s = index_stats(index).first()
-        lines += [
-            f"  Feature vectors:     {s.n_features:,}",
-            f"  Cells:               {s.nlist:,}",
-            f"  Index built:         {s.is_built}",
-        ]
-    else:
-        lines.append("  Index:               not loaded")
-    lines.append(bar)
-    if n and row and row.paintings:
-        lines.append(format_top_artists(top_artists(metadata, n)))
-    return "\n".join(lines)

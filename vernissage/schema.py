@@ -40,7 +40,7 @@ class SearchConfig:
     """Search parameters; the defaults suit unit-length vectors in a few dozen cells.
 
     ``confidence_threshold`` is a cosine, ``max_hamming`` counts differing bits
-    of a 63-bit signature.
+    of a signature of 64 components.
     """
 
     nprobe_fast: int = 2

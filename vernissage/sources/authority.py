@@ -8,20 +8,26 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vernissage.schema import AUTHORITY_SCHEMA
-from vernissage.session import has_at_most
 
 log = logging.getLogger(__name__)
-LIST_ROWS = 100_000
 
 
 def load_authority(spark: SparkSession, path: str) -> DataFrame:
-    """Distinct names of a JSON array; empty, with a warning, if the file is absent."""
+    """Distinct names of a JSON array; empty, with a warning, if the file is absent.
+
+    A file that holds anything but an array of texts is an error: an empty list
+    would let every artist pass.
+    """
     try:
         text = spark.read.text(path, wholetext=True)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         log.warning("no authority list at %s: every artist passes", path)
         return spark.createDataFrame([], AUTHORITY_SCHEMA)
-    return text.select(F.explode(F.from_json("value", "array<string>")).alias("name")).distinct()
+    names = F.from_json("value", "array<string>", {"mode": "FAILFAST"})
+    broken = F.raise_error(F.lit(f"no JSON array of names in {path}")).cast("array<string>")
+    return text.select(F.explode(F.coalesce(names, broken)).alias("name")).distinct()
 
 
 def top_names(ranked: DataFrame, n: int = 1000) -> DataFrame:
@@ -37,10 +43,8 @@ def top_names(ranked: DataFrame, n: int = 1000) -> DataFrame:
 def authority_json(names: DataFrame) -> DataFrame:
     """The names as one sorted JSON array (column ``value``).
 
-    A JSON array is one value, so the list must be bounded.
+    A JSON array is one value: the list is as long as the caller's limit on it.
     """
-    if not has_at_most(names, LIST_ROWS):
-        raise ValueError(f"an authority list has at most {LIST_ROWS} names")
     return names.agg(F.to_json(F.array_sort(F.collect_list("name"))).alias("value"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -13,18 +15,25 @@ from vernissage.session import materialize
 from vernissage.sources.catalog import standard_schema, to_metadata
 
 
-def _stored(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    """Ids written by other batches; a replayed batch must not see its own earlier try."""
+def _read(spark: SparkSession, schema, path: str) -> DataFrame | None:
+    """A table, or nothing if it has not been written yet; any other trouble is an error."""
     try:
-        rows = spark.read.schema("id string, batch bigint").parquet(path)
-    except AnalysisException:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
-    return rows.filter(F.col("batch") != batch_id).select("id")
 
 
-def _write_batch(rows: DataFrame, path: str, batch_id: int, by: list[str]) -> None:
-    # one folder per batch, overwritten on replay, so a crash between two writes leaves no duplicates
-    rows.write.mode("overwrite").partitionBy(*by).parquet(f"{path}/batch={batch_id}")
+def _stored(spark: SparkSession, path: str, run: str, batch_id: int) -> DataFrame | None:
+    """Ids written by other batches; a replayed batch must not see its own earlier try."""
+    rows = _read(spark, "id string, run string, batch bigint", path)
+    return rows if rows is None else rows.filter((F.col("run") != run) | (F.col("batch") != batch_id)).select("id")
+
+
+def _write_batch(rows: DataFrame, path: str, run: str, batch_id: int, by: list[str]) -> None:
+    # one folder per batch of a run, overwritten on replay, so a crash between two writes leaves no duplicates
+    rows.write.mode("overwrite").partitionBy(*by).parquet(f"{path}/run={run}/batch={batch_id}")
 
 
 def ingest_batch(
@@ -35,14 +44,16 @@ def ingest_batch(
     config: IngestConfig = IngestConfig(limit=-1),
     vectors: DataFrame | None = None,
     centroids: DataFrame | None = None,
+    run: str = "direct",
 ) -> int:
     """Store the unseen items of one micro-batch; returns how many were added.
 
-    The limit counts rows over all batches. With ``vectors`` (``id``, ``vec``) and
+    ``run`` names the stream that counts the batches: batches of another run are
+    never overwritten. The limit counts rows over all batches. With ``vectors`` (``id``, ``vec``) and
     trained ``centroids`` the new items' vectors join the index as well.
     """
     spark = items.sparkSession
-    known = _stored(spark, f"{path}/metadata", batch_id)
+    known = _stored(spark, f"{path}/metadata", run, batch_id)
     left = config.limit
     if left >= 0 and known is not None:
         left = max(0, left - known.count())
@@ -51,10 +62,10 @@ def ingest_batch(
     added = delta.count()
     if not added:
         return 0
-    _write_batch(delta, f"{path}/metadata", batch_id, [])
+    _write_batch(delta, f"{path}/metadata", run, batch_id, [])
     if vectors is not None and centroids is not None:
         mine = vectors.join(delta.select("id"), "id", "left_semi")
-        _write_batch(assign_cells(mine, centroids).select("id", "vec", "sig", "cell"), f"{path}/postings", batch_id, ["cell"])
+        _write_batch(assign_cells(mine, centroids).select("id", "vec", "sig", "cell"), f"{path}/postings", run, batch_id, ["cell"])
     return added
 
 
@@ -74,7 +85,9 @@ def start_ingest(
     """
 
     def on_batch(items: DataFrame, batch_id: int) -> None:
-        ingest_batch(items, batch_id, authority, path, config, vectors, centroids)
+        # the checkpoint names the run: the same after a restart, another one with a new checkpoint
+        run = json.loads(items.sparkSession.read.text(f"{checkpoint}/metadata").first()["value"])["id"]
+        ingest_batch(items, batch_id, authority, path, config, vectors, centroids, run)
 
     return (
         source.writeStream.foreachBatch(on_batch)
@@ -86,7 +99,5 @@ def start_ingest(
 
 def load_ingested(spark: SparkSession, path: str) -> DataFrame:
     """The metadata written so far."""
-    try:
-        return spark.read.schema(META_SCHEMA).parquet(f"{path}/metadata").select(META_SCHEMA.names)
-    except AnalysisException:
-        return spark.createDataFrame([], META_SCHEMA)
+    rows = _read(spark, META_SCHEMA, f"{path}/metadata")
+    return spark.createDataFrame([], META_SCHEMA) if rows is None else rows.select(META_SCHEMA.names)
