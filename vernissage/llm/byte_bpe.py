@@ -15,7 +15,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from vernissage.llm.common import named, whole
+from vernissage.llm.common import named, tidy, whole
 from vernissage.session import materialize
 
 #: What the pattern takes as white space (\s).
@@ -27,7 +27,7 @@ _RUNS = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
 _LONG = 256
 _BUCKETS = 1 << 17
 _HOLE = 0xFFFFFFFF
-_REMEMBERED = 300_000
+_REMEMBERED = 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -47,7 +47,7 @@ def _rank_map(pairs: dict[tuple[int, int], int]) -> Callable[[Column, Column], C
     buckets: list[list[int]] = [[] for _ in range(_BUCKETS)]
     for (a, b), rank in pairs.items():
         buckets[(a * 50261 + b) % _BUCKETS].append((a << 40) + (b << 20) + rank)
-    literal = F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), T.ArrayType(T.ArrayType(T.LongType())))
+    literal = _literal(buckets)
 
     def look(a: Column, b: Column) -> Column:
         a, b = a.cast("bigint"), b.cast("bigint")
@@ -58,24 +58,47 @@ def _rank_map(pairs: dict[tuple[int, int], int]) -> Callable[[Column, Column], C
     return look
 
 
-def fold_merges(word: Column, look: Callable[[Column, Column], Column]) -> Column:
-    """Merge the ids of a word's bytes: at each step the leftmost pair of the lowest rank, until none may merge."""
+def _literal(values: list) -> Column:
+    """A literal array, nested as ``values`` are; written as JSON, which Spark reads once when it plans."""
+    kind = T.LongType() if isinstance(values[0], list) else T.IntegerType()
+    kind = T.ArrayType(T.ArrayType(kind)) if isinstance(values[0], list) else T.ArrayType(kind)
+    return F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), kind)
+
+
+def merge_fold(ranks: dict[bytes, int], pairs: dict[tuple[int, int], int]) -> Callable[[Column], Column]:
+    """From a word's bytes (an array of numbers) to its ids: folds merges of the leftmost pair of the lowest rank.
+
+    The fold keeps the rank of every neighbouring pair; a merge looks up the two pairs that it makes.
+    """
+    look, single = _rank_map(pairs), [ranks[bytes([b])] for b in range(256)]
+    first = _literal([pairs.get((x, y)) for x in single for y in single])
+    letters, none = _literal(single), F.array().cast("array<int>")
 
     def step(state: Column, _: Column) -> Column:
-        ids = state["ids"]
-        found = F.transform(ids, lambda x, i: look(x, F.get(ids, i + 1)))
+        ids, left = state["ids"], state["ranks"]
+
+        def merged(pair: Column) -> Column:
+            low, at = pair["low"], pair["at"]
+            before = F.when(at > 1, F.array(look(F.get(ids, at - 2), low))).otherwise(none)
+            after = F.when(at < F.size(left), F.array(look(low, F.get(ids, at + 1)))).otherwise(none)
+            return F.struct(
+                F.concat(F.slice(ids, F.lit(1), at - 1), F.array(low), F.slice(ids, at + 2, F.size(ids))).alias("ids"),
+                F.concat(F.slice(left, F.lit(1), F.greatest(at - 2, F.lit(0))), before, after, F.slice(left, at + 2, F.size(left))).alias("ranks"),
+            )
 
-        def merged(ranks: Column) -> Column:
-            low = F.array_min(ranks)
-            at = F.array_position(ranks, low).cast("int")
-            new = F.concat(F.slice(ids, F.lit(1), at - 1), F.array(low), F.slice(ids, at + 2, F.size(ids)))
-            return F.struct(F.when(low.isNull(), ids).otherwise(new).alias("ids"), low.isNull().alias("done"))
+        low = F.array_min(left)
+        pair = F.struct(low.alias("low"), F.array_position(left, low).cast("int").alias("at"))
+        return F.when(low.isNull(), state).otherwise(F.transform(F.array(pair), merged)[0])
 
-        return F.when(state["done"], state).otherwise(F.transform(F.array(found), merged)[0])
+    def fold(word: Column) -> Column:
+        start = F.struct(
+            F.transform(word, lambda b: F.get(letters, b)).alias("ids"),
+            F.slice(F.transform(word, lambda b, i: F.get(first, b * 256 + F.get(word, i + 1))), 1, F.size(word) - 1).alias("ranks"),
+        )
+        folded = F.aggregate(F.sequence(F.lit(1), F.size(word) - 1), start, step, lambda state: state["ids"])
+        return F.when(F.size(word) < 2, F.transform(word, lambda b: F.get(letters, b))).otherwise(folded)
 
-    start = F.struct(word.alias("ids"), F.lit(False).alias("done"))
-    steps = F.sequence(F.lit(1), F.size(word) - 1)
-    return F.when(F.size(word) < 2, word).otherwise(F.aggregate(steps, start, step, lambda state: state["ids"]))
+    return fold
 
 
 def merge_long(ids: list[int], pairs: dict[tuple[int, int], int]) -> list[int]:
@@ -113,6 +136,7 @@ def cut(text: str) -> list[str]:
 def count_words(docs: DataFrame, pattern: str) -> DataFrame:
     """``word, n``: the matches of ``pattern`` in all texts (``text``), counted within tasks before the shuffle."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, pieces = regex.compile(pattern).findall, Counter()
 
@@ -149,7 +173,7 @@ def frequent_words(counts: DataFrame, most: int, most_bytes: int = 64) -> DataFr
 
 def encode(
     docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
-    dictionary: int = 1_000_000, with_text: bool = False,
+    dictionary: int = 600_000, with_text: bool = False,
 ) -> DataFrame:
     """``id_col, ids`` for every row: the ids of the whole text as little-endian 32-bit integers in one binary.
 
@@ -163,63 +187,76 @@ def encode(
     """
     ranks = read_ranks(ranks_path)
     pairs = merge_pairs(ranks)
-    look, single = _rank_map(pairs), [ranks[bytes([b])] for b in range(256)]
+    fold, single = merge_fold(ranks, pairs), [ranks[bytes([b])] for b in range(256)]
     tokens = sorted(ranks, key=ranks.get)
     kind = docs.select(named(id_col)).schema[0].dataType.simpleString()
     rows = docs.select(named(id_col).alias("id"), whole(text_col).alias("text"))
 
+    @tidy
     def as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            states = [[single[b] for b in word.as_py().encode()] for word in batch.column(0)]
+            states = [list(word.as_py().encode()) for word in batch.column(0)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(states, pa.list_(pa.int32()))], ["word", "state"])
 
     words = frequent_words(materialize(count_words(rows, pattern)), dictionary)
-    words = words.mapInArrow(as_bytes, "word string, state array<int>").select("word", fold_merges(F.col("state"), look).alias("ids"))
+    words = words.mapInArrow(as_bytes, "word string, state array<int>").select("word", fold(F.col("state")).alias("ids"))
     known = materialize(words).toArrow()
     lengths = known["ids"].combine_chunks().value_lengths().to_numpy() if len(known) else np.zeros(0, np.int32)
     flat = known["ids"].combine_chunks().flatten().to_numpy().astype("<u4").tobytes() if len(known) else b""
-    shared = docs.sparkSession.sparkContext.broadcast(("\0".join(known["word"].to_pylist()), lengths.astype("<u2").tobytes(), flat))
-
+    table = ("\0".join(known["word"].to_pylist()), lengths.astype("<u2").tobytes(), flat)
+    shared = docs.sparkSession.sparkContext.broadcast({"table": table})
+    del known, table, flat
+
+    def dictionary_of(held: dict) -> tuple[dict[str, bytes], dict[str, bytes]]:
+        """The words' ids and the pieces met so far, built once in a worker's life in place of the packed table."""
+        if "words" not in held:
+            names, sizes, ids = held.pop("table")
+            ends = 4 * np.cumsum(np.frombuffer(sizes, "<u2"), dtype=np.int64)
+            words, at = {}, 0
+            for name, end in zip(names.split("\0") if len(ends) else [], ends.tolist()):
+                words[name], at = ids[at:end], end
+            held |= {"words": words, "pieces": {}}
+        return held["words"], held["pieces"]
+
+    @tidy
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, sizes, ids = shared.value
-        ends = 4 * np.cumsum(np.frombuffer(sizes, "<u2"), dtype=np.int64)
-        ids_of, at = {}, 0
-        for name, end in zip(names.split("\0") if len(ends) else [], ends.tolist()):
-            ids_of[name], at = ids[at:end], end
+        ids_of, pieces = dictionary_of(shared.value)
         find, hole = regex.compile(pattern).findall, np.array([_HOLE], "<u4").tobytes()
         rare: list[list[int]] = []
 
-        class Pieces(dict):
-            def __missing__(self, piece: str) -> bytes:
-                whole_piece, parts = True, []
-                for word in find(piece):
-                    found = ids_of.get(word)
-                    if found is None:
-                        state = [single[b] for b in word.encode()]
-                        if len(state) > _LONG:
-                            found = np.array(merge_long(state, pairs), "<u4").tobytes()
-                        else:
-                            rare.append(state)
-                            whole_piece, found = False, hole
-                    parts.append(found)
-                joined = b"".join(parts)
-                if whole_piece:
-                    self[piece] = joined
-                return joined
-
-        pieces = Pieces()
+        def piece_ids(piece: str) -> bytes:
+            found = pieces.get(piece)
+            if found is not None:
+                return found
+            whole_piece, parts = True, []
+            for word in find(piece):
+                found = ids_of.get(word)
+                if found is None:
+                    data = word.encode()
+                    if len(data) > _LONG:
+                        found = np.array(merge_long([single[b] for b in data], pairs), "<u4").tobytes()
+                    else:
+                        rare.append(list(data))
+                        whole_piece, found = False, hole
+                parts.append(found)
+            joined = b"".join(parts)
+            if whole_piece:
+                pieces[piece] = joined
+            return joined
+
         for batch in batches:
             encoded, states = [], []
             for text in batch.column(1):
                 if len(pieces) > _REMEMBERED:
                     pieces.clear()
-                encoded.append(b"".join(map(pieces.__getitem__, cut(text.as_py()))))
+                encoded.append(b"".join([piece_ids(piece) for piece in cut(text.as_py())]))
                 states.append(rare.copy())
                 rare.clear()
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(encoded, pa.binary()), pa.array(states, pa.list_(pa.list_(pa.int32())))], ["id", "ids", "rare"]
             )
 
+    @tidy
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             full, texts = [], []
@@ -240,7 +277,7 @@ def encode(
             yield pa.RecordBatch.from_arrays(columns, ["id", "ids", "decoded"][: len(columns)])
 
     found = rows.mapInArrow(look_up, f"id {kind}, ids binary, rare array<array<int>>")
-    found = found.withColumn("rare", F.transform("rare", lambda word: fold_merges(word, look)))
+    found = found.withColumn("rare", F.transform("rare", fold))
     found = found.mapInArrow(fill, f"id {kind}, ids binary" + ", decoded binary" * with_text)
     return found.withColumnRenamed("id", id_col)
 
@@ -251,6 +288,7 @@ def decode(rows: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: st
     tokens = sorted(ranks, key=ranks.get)
     kind = rows.select(named(id_col)).schema[0].dataType.simpleString()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [b"".join([tokens[i] for i in np.frombuffer(ids.as_py() or b"", "<u4").tolist()]) for ids in batch.column(1)]
