@@ -12,6 +12,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -173,7 +174,7 @@ def frequent_words(counts: DataFrame, most: int, most_bytes: int = 64) -> DataFr
 
 def encode(
     docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
-    dictionary: int = 600_000, with_text: bool = False,
+    dictionary: int = 750_000, with_text: bool = False,
 ) -> DataFrame:
     """``id_col, ids`` for every row: the ids of the whole text as little-endian 32-bit integers in one binary.
 
@@ -201,20 +202,20 @@ def encode(
     words = frequent_words(materialize(count_words(rows, pattern)), dictionary)
     words = words.mapInArrow(as_bytes, "word string, state array<int>").select("word", fold(F.col("state")).alias("ids"))
     known = materialize(words).toArrow()
-    lengths = known["ids"].combine_chunks().value_lengths().to_numpy() if len(known) else np.zeros(0, np.int32)
-    flat = known["ids"].combine_chunks().flatten().to_numpy().astype("<u4").tobytes() if len(known) else b""
-    table = ("\0".join(known["word"].to_pylist()), lengths.astype("<u2").tobytes(), flat)
+    names, ids = known["word"].combine_chunks(), known["ids"].combine_chunks()
+    sizes = [pc.binary_length(names).to_numpy(), ids.value_lengths().to_numpy()] if len(known) else [np.zeros(0), np.zeros(0)]
+    table = (b"".join(names.cast(pa.binary()).to_pylist()), ids.flatten().to_numpy().astype("<u4").tobytes(), *[x.astype("<u2").tobytes() for x in sizes])
     shared = docs.sparkSession.sparkContext.broadcast({"table": table})
-    del known, table, flat
+    del known, names, ids, table
 
     def dictionary_of(held: dict) -> tuple[dict[str, bytes], dict[str, bytes]]:
         """The words' ids and the pieces met so far, built once in a worker's life in place of the packed table."""
         if "words" not in held:
-            names, sizes, ids = held.pop("table")
-            ends = 4 * np.cumsum(np.frombuffer(sizes, "<u2"), dtype=np.int64)
-            words, at = {}, 0
-            for name, end in zip(names.split("\0") if len(ends) else [], ends.tolist()):
-                words[name], at = ids[at:end], end
+            names, ids, *sizes = held.pop("table")
+            ends = [np.cumsum(np.frombuffer(s, "<u2"), dtype=np.int64) * size for s, size in zip(sizes, (1, 4))]
+            words, a, b = {}, 0, 0
+            for c, d in zip(*[e.tolist() for e in ends]):
+                words[names[a:c].decode()], a, b = ids[b:d], c, d
             held |= {"words": words, "pieces": {}}
         return held["words"], held["pieces"]
 
@@ -224,10 +225,7 @@ def encode(
         find, hole = regex.compile(pattern).findall, np.array([_HOLE], "<u4").tobytes()
         rare: list[list[int]] = []
 
-        def piece_ids(piece: str) -> bytes:
-            found = pieces.get(piece)
-            if found is not None:
-                return found
+        def new_piece(piece: str) -> bytes:
             whole_piece, parts = True, []
             for word in find(piece):
                 found = ids_of.get(word)
@@ -240,16 +238,18 @@ def encode(
                         whole_piece, found = False, hole
                 parts.append(found)
             joined = b"".join(parts)
-            if whole_piece:
+            if whole_piece and len(pieces) < _REMEMBERED:
                 pieces[piece] = joined
             return joined
 
         for batch in batches:
             encoded, states = [], []
             for text in batch.column(1):
-                if len(pieces) > _REMEMBERED:
-                    pieces.clear()
-                encoded.append(b"".join([piece_ids(piece) for piece in cut(text.as_py())]))
+                parts = cut(text.as_py())
+                found = list(map(pieces.get, parts))
+                if None in found:
+                    found = [new_piece(part) if ids is None else ids for part, ids in zip(parts, found)]
+                encoded.append(b"".join(found))
                 states.append(rare.copy())
                 rare.clear()
             yield pa.RecordBatch.from_arrays(
