@@ -9,13 +9,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vernissage.llm.common import carried, named, slices, whole
+from vernissage.llm.common import carried, named, slices, tidy, whole
 from vernissage.session import materialize
 
 RESULTS = ["language", "confidence", "rejected"]
 #: Byte triples are hashed into so many cells; one more cell takes triples without letters.
 _CELLS = 1 << 16
-_BATCH = 2 << 20
+_BATCH = 1 << 20
 #: Triples overlap, so each counts for a part of an independent observation.
 _TEMPER = 0.2
 #: Pseudo-counts: of a cell, of the parent's share in a prior, and of a declared or suffix language before any count.
@@ -57,6 +57,7 @@ def fit_text_model(docs: DataFrame, text_col: str = "text", label_col: str = "la
     alone gives a model without languages.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
         for batch in slices(batches, _BATCH):
@@ -93,6 +94,7 @@ def _text_scores(rows: DataFrame, model: TextModel) -> DataFrame:
     names, kinds = rows.columns[:-1], dict(rows.dtypes)
     shared = rows.sparkSession.sparkContext.broadcast(model.scores)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = shared.value
         for batch in slices(batches, _BATCH):

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from vernissage.llm.common import carried, named, whole
+from vernissage.llm.common import carried, named, tidy, whole
 
 RESULTS = ["n_paragraphs", "licences", "spans"]
 # Licence families and wordings of their short notices.
@@ -177,6 +177,7 @@ def scan_licences(
             yield family, float(max(part[best], chance[best]))
             words = [*words[:start], "", *words[stop:]]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from vernissage.llm.common import named
+from vernissage.llm.common import named, tidy
 from vernissage.session import materialize
 
 #: Unit components times this, rounded: dot products of such vectors are exact in double precision.
@@ -53,6 +53,7 @@ def prepare(rows: DataFrame, id_col: str, vector_col: str, copies: int) -> DataF
         rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("id"))).filter(F.col("nth") <= copies)
     kept = rows.groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias(_COPIES))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             codes = np.rint(_unit(_matrix(batch.column(1), np.float64)) * _SCALE).astype("<i2") if batch.num_rows else []
@@ -82,6 +83,7 @@ def _compared(groups: DataFrame, k: int) -> DataFrame:
     Only pairs with a new member count, and only those nearer than the member's present bar.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [[], [], []]
@@ -121,6 +123,7 @@ def _leaves(points: DataFrame, trees: int, leaf: int, seed: int) -> DataFrame:
     levels = max(0, int(np.ceil(np.log2(max(1, size[0]) / leaf))))
     planes = np.random.default_rng(seed).standard_normal((trees, max(1, levels), (size[1] or 0) // 2))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = 1 << np.arange(planes.shape[1], dtype=np.int64)
         for batch in batches:

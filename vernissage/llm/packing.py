@@ -14,7 +14,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from vernissage.llm.common import named, whole
+from vernissage.llm.common import named, tidy, whole
 from vernissage.session import materialize
 
 #: What the tokenizer's pattern takes as white space (\s).
@@ -22,7 +22,7 @@ _WHITE = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
 #: White space of Python that is none of the tokenizer's.
 _ODD = re.compile("[\x1c-\x1f]")
 #: Distinct chunks that a task remembers before it starts again.
-_REMEMBERED = 1_000_000
+_REMEMBERED = 250_000
 
 
 def _byte_letters() -> list[str]:
@@ -88,6 +88,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, capacit
     kind = docs.select(named(id_col)).schema[0].dataType.simpleString()
     content = Path(vocabulary).read_text()  # travels with the job: executors need no such file
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = word_encoder(content), np.array([end_id], "<u4").tobytes()
         for batch in batches:

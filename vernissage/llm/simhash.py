@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from vernissage.llm.common import carried, named, whole
+from vernissage.llm.common import carried, named, tidy, whole
 from vernissage.llm.components import connected_components, roots
 from vernissage.session import materialize
 
@@ -42,6 +42,7 @@ def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     """``id, fp`` of every row; the unsigned fingerprint is held in a bigint."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
@@ -121,6 +122,7 @@ def links(prints: DataFrame, radius: int, tile_rows: int) -> DataFrame:
         ((F.col("to.d") == 0) & (F.col("cell") == F.col("other"))).alias("same"),
     )
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for left, right in zip(batch.column(0), batch.column(1)):

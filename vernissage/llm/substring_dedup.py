@@ -9,7 +9,7 @@ import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, Window, functions as F
 
-from vernissage.llm.common import carried, named, slices, whole
+from vernissage.llm.common import carried, named, slices, tidy, whole
 from vernissage.llm.components import connected_components, roots
 from vernissage.session import materialize
 
@@ -22,7 +22,7 @@ _SHINGLE = 5
 BANDS = 3
 _FILTER_BITS = 1 << 27
 _BLOCK = 512
-_BYTES = 1 << 21
+_BYTES = 1 << 20
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -144,6 +144,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 def _keys(rows: DataFrame) -> DataFrame:
     """``key`` of every band value that paragraphs of two or more documents share."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, _BYTES):
             found = Paragraphs(batch.column(1))
@@ -168,6 +169,7 @@ def _shared_paragraphs(rows: DataFrame, bits: bytes) -> DataFrame:
     """The paragraphs with a key in the filter: place, identity, band keys and distinct shingles."""
     kind, shared = dict(rows.dtypes)["id"], rows.sparkSession.sparkContext.broadcast(bits)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.frombuffer(shared.value, np.uint8)
         for batch in slices(batches, _BYTES):
@@ -223,6 +225,7 @@ def _near_links(nodes: DataFrame, similarity: float) -> DataFrame:
         left = np.flatnonzero(root != np.arange(len(h1)))
         return h1[left], h1[root[left]]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
@@ -318,6 +321,7 @@ def drop_repeats(
         F.xxhash64(named(id_col), text).alias("doc"), text.alias("text"),
     ).join(materialize(spans), "doc", "left")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from vernissage.llm.common import carried, named, whole
+from vernissage.llm.common import carried, named, tidy, whole
 from vernissage.session import materialize
 
 RESULTS = ["score", "predicted"]
@@ -45,6 +45,7 @@ def words_of(text: str) -> list[str]:
 def _counted(rows: DataFrame) -> DataFrame:
     """``first, second, n0, n1``: in how many texts of either class each pair of words follows (``text``, ``label``)."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: tuple[Counter, Counter] = (Counter(), Counter())
 
@@ -125,6 +126,7 @@ def _ratios(rows: DataFrame, model: ToxicityModel, columns: list[str]) -> DataFr
     """
     shared = rows.sparkSession.sparkContext.broadcast((model.words, model.pairs, model.unknown))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, pairs, unknown = shared.value
         for batch in batches:
@@ -160,7 +162,7 @@ def _calibrate(features: np.ndarray, labels: np.ndarray, steps: int = 50) -> tup
 
 def fit_toxicity(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    most_documents: int = 10_000, most_entries: int = 300_000,
+    most_documents: int = 10_000, most_entries: int = 150_000,
 ) -> ToxicityModel | float:
     """A model from labelled documents; the share of toxic labels if one class has none.
 
