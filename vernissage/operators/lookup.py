@@ -10,7 +10,7 @@ from vernissage.session import has_at_most, materialize
 
 
 def dedupe_last(df: DataFrame, key: str = "id", order: str = "ord") -> DataFrame:
-    """The row with the highest ``order`` per key: one aggregation, no sort."""
+    """The row with the highest ``order`` per key, by one aggregation that combines before its shuffle."""
     columns = df.columns
     last = F.max_by(F.struct(*columns), F.col(order)).alias("last")
     return df.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(last).select("last.*")

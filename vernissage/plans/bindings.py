@@ -39,7 +39,7 @@ def catalog(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def authority(spark: SparkSession, sf: str) -> DataFrame:
-    """About three quarters of the distinct part names."""
+    """About eleven sixteenths of the distinct part names, so that misses exist."""
     names = table(spark, sf, "part").select(F.col("p_name").alias("name")).distinct()
     return names.filter(F.md5("name") < "b")
 
