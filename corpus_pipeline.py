@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vernissage.llm.exact_dedup import exact_dedup
 from vernissage.llm.language import fit_text_model, identify
+from vernissage.llm.near_texts import drop_near_texts
 from vernissage.llm.packing import pack
-from vernissage.llm.simhash import drop_near_copies
 from vernissage.llm.substring_dedup import drop_repeats
 from vernissage.session import scratch_dir
 
@@ -30,8 +30,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return drop_near_copies(docs).select(COLUMNS)
+    """One document of each group of near-duplicates: a Jaccard similarity of 0.8 over five-word shingles."""
+    return drop_near_texts(docs).select(COLUMNS)
 
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

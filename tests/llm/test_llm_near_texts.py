@@ -1,0 +1,62 @@
+"""The near-duplicate stage of the pipeline against brute force by Jaccard similarity."""
+
+import random
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from vernissage.llm.components import roots
+from vernissage.llm.near_texts import near_texts
+
+
+def word(rng):
+    return "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9)))
+
+
+def edited(rng, words, share):
+    return [word(rng) if rng.random() < share else w for w in words]
+
+
+def shingles(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rng, rows = random.Random(9), []
+    for k in range(60):
+        base = [word(rng) for _ in range(rng.choice([12, 80, 300, 1200]))]
+        rows.append((10 * k, " ".join(base)))
+        for j, share in enumerate([0.01, 0.02, 0.03]):
+            rows.append((10 * k + 1 + j, " ".join(edited(rng, base, share))))
+    base = [word(rng) for _ in range(400)]  # one dense group
+    rows += [(2000 + j, " ".join(edited(rng, base, 0.008))) for j in range(60)]
+    # one identifier with two texts, of which one is near another row; near rows without an identifier
+    rows += [(3000, " ".join(base) + " own end"), (3000, "a text of its own that nothing else repeats"), (None, " ".join(base) + " no id"), (None, "alone and without id")]
+    return rows
+
+
+def test_groups_match_jaccard_brute_force(spark, rows):
+    sets = [shingles(t) for _, t in rows]
+    near = np.array([(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if len(a & b) >= 0.8 * len(a | b)])
+    want = roots(len(sets), near[:, 0], near[:, 1])
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.near(spark, docs, "").collect()]
+    groups = {}
+    for (i, t), g in zip(rows, want):
+        groups.setdefault(g, []).append((i is None, i or 0, t, i))
+    for members in groups.values():
+        assert [m[0:2] for m in members if (m[3], m[2]) in kept] == [min(members)[:2]]
+    assert len(kept) == len(groups)
+    found = {}
+    for r in near_texts(docs, tile_rows=50).collect():
+        found.setdefault(r.component, []).append(r.id)
+    assert sorted(map(len, found.values())) == sorted(map(len, groups.values()))
+
+
+def test_nothing_and_empty_texts(spark):
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, " "), (4, "one"), (5, "ONE")], "doc_id bigint, text string")
+    assert sorted(len({r.id for r in near_texts(docs).collect() if r.component == c}) for c in {r.component for r in near_texts(docs).collect()}) == [2, 3]
+    assert near_texts(docs.limit(0)).collect() == []

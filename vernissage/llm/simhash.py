@@ -18,18 +18,22 @@ RESULTS = ["fingerprint", "component_id"]
 _MATCHES = 2_000_000
 
 
-def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
-    """The 64-bit SimHash of a UTF-8 text: a bit is set if over half of the shingle hashes have it."""
+def shingle_hashes(text: bytes, words: int, seed: int = 42) -> np.ndarray:
+    """The 64-bit hashes of all word shingles of a UTF-8 text, in order; a shorter text is one shingle, an empty one none."""
     tokens = text.lower().split()  # bytes: A-Z only, and the six ASCII space characters
     if not tokens:
-        return 0
+        return np.zeros(0, np.uint64)
     n = max(1, len(tokens) - words + 1)
     ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
     starts = np.concatenate(([0], ends[: n - 1] + 1)).tolist()
     stops = ends[min(words, len(tokens)) - 1 :].tolist()
     joined, digest = b" ".join(tokens), xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, stops)), np.uint64, n)
-    counts = np.zeros(64, np.int64)
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, stops)), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64-bit SimHash of hashes: a bit is set if over half of them have it."""
+    counts, n = np.zeros(64, np.int64), len(hashes)
     for at in range(0, n, 255 * 256):
         part = hashes[at : at + 255 * 256]
         bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -39,6 +43,11 @@ def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
+    """The 64-bit SimHash of a UTF-8 text over all its word shingles, repeats included."""
+    return majority(shingle_hashes(text, words, seed))
+
+
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     """``id, fp`` of every row; the unsigned fingerprint is held in a bigint."""
 
