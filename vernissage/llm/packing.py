@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 import zlib
@@ -35,6 +36,7 @@ def _byte_letters() -> list[str]:
 def word_encoder(vocabulary: str) -> Callable[[str], bytes]:
     """An encoder by the content of a ``tokenizers`` file with word ends: text to its ids as little-endian 32-bit integers.
 
+    The file's added tokens count as plain text here, see ``text_encoder``.
     White space separates tokens, so each chunk between white space is encoded once and remembered; within a chunk the
     tokenizer's own model merges each match of its pattern.
     """
@@ -83,6 +85,26 @@ def word_encoder(vocabulary: str) -> Callable[[str], bytes]:
     return encode
 
 
+def text_encoder(vocabulary: str) -> Callable[[str], bytes]:
+    """As ``word_encoder``, with the file's added tokens: they are cut out of the raw text first and give their own ids."""
+    encode, ids = word_encoder(vocabulary), {}
+    for token in json.loads(vocabulary).get("added_tokens") or []:
+        if any(token.get(flag) for flag in ("normalized", "lstrip", "rstrip", "single_word")):
+            raise ValueError(f"added token {token['content']!r} is matched otherwise than as it stands")
+        ids[token["content"]] = np.array([token["id"]], "<u4").tobytes()
+    if not ids:
+        return encode
+    added = re.compile("(" + "|".join(map(re.escape, sorted(ids, key=len, reverse=True))) + ")")
+
+    def encode_all(text: str) -> bytes:
+        parts = added.split(text)  # texts and added tokens in turn
+        if len(parts) == 1:
+            return encode(text)
+        return b"".join([ids[part] if i % 2 else encode(part) for i, part in enumerate(parts)])
+
+    return encode_all
+
+
 def pieces(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, capacity: int, end_id: int) -> DataFrame:
     """The pieces of every document: ``id, piece, start, length, ids_crc32``; only longer documents are cut."""
     kind = docs.select(named(id_col)).schema[0].dataType.simpleString()
@@ -90,7 +112,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, capacit
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = word_encoder(content), np.array([end_id], "<u4").tobytes()
+        encode, end = text_encoder(content), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows, piece, start, length, crc = [], [], [], [], []
             for i, text in enumerate(batch.column(1)):
@@ -145,8 +167,8 @@ def pack(
 ) -> DataFrame:
     """Place every token of ``docs`` in sequences of at most ``capacity`` tokens: one row per piece of a document.
 
-    Returns ``id_col, piece, start, length, ids_crc32, sequence_id, offset``. Documents are encoded whole and end with
-    ``end_id``; only those of over ``capacity`` tokens are cut. Full pieces are sequences of their own. The others are
+    Returns ``id_col, piece, start, length, ids_crc32, sequence_id, offset``. Documents are encoded whole, added tokens of
+    the vocabulary included, and end with ``end_id``; only those of over ``capacity`` tokens are cut. Full pieces are sequences of their own. The others are
     dealt by hash into shards of about ``shard_rows`` pieces, which are packed independently, largest first; a shard
     leaves few unfilled sequences, so their share does not grow with the data. A task holds numbers of one shard.
 
