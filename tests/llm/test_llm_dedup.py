@@ -145,8 +145,16 @@ def test_near_groups(spark):
     name = {c: min((rows[i][0] for i in range(n) if label[i] == c and rows[i][0] is not None), default=None) for c in set(label)}
     want = [(rows[i][0], format(prints[i], "016x"), name[label[i]]) for i in range(n)]
     assert sorted([tuple(r) for r in found], key=str) == sorted(want, key=str)
-    left = drop_near_copies(frame(spark, rows)).collect()
-    assert {r.doc_id for r in left} == {None} | {name[c] for c in set(label)} and left[0]["c.0"] == 7
+    # one identifier with a text of its own and one that is near others; rows without an identifier alone in their group
+    rows += [(0, base[2] + " end9"), (0, "nothing else is like this one"), (None, "alone, without a name"), (None, "alone, without a name")]
+    prints = [simple_fingerprint(t or "") for _, t in rows]
+    n = len(rows)
+    pairs = [(i, j) for i in range(n) for j in range(i) if bin(prints[i] ^ prints[j]).count("1") <= 4]
+    label = roots(n, np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs]))
+    left = drop_near_copies(frame(spark, rows), tile_rows=4).collect()
+    stays = [min(((i is None, i or 0), i) for (i, _), c in zip(rows, label) if c == one)[1] for one in set(label)]
+    assert sorted([r.doc_id for r in left], key=str) == sorted(stays, key=str) and left[0]["c.0"] == 7
+    assert drop_near_copies(frame(spark, [])).collect() == []
     assert simhash_groups(frame(spark, [])).collect() == []
 
 

@@ -144,6 +144,14 @@ def links(prints: DataFrame, radius: int, tile_rows: int) -> DataFrame:
     return pairs.mapInArrow(run, "a bigint, b bigint")
 
 
+def _components(rows: DataFrame, radius: int, tile_rows: int) -> DataFrame:
+    """``fp, component, least`` of every distinct fingerprint of ``rows`` (``id, fp``); ``least`` is its smallest ``id``."""
+    prints = materialize(rows.groupBy("fp").agg(F.min("id").alias("least")))
+    edges = materialize(links(prints.select("fp"), radius, tile_rows))
+    group = connected_components(edges).withColumnRenamed("node", "fp")
+    return materialize(prints.join(group, "fp", "left").withColumn("component", F.coalesce("component", "fp")))
+
+
 def simhash_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4, tile_rows: int = 16_384
 ) -> DataFrame:
@@ -158,11 +166,7 @@ def simhash_groups(
     result. An empty table gives an empty result. Other columns are not read, whatever their names.
     """
     rows = materialize(fingerprints(docs, id_col, text_col, words))
-    prints = materialize(rows.groupBy("fp").agg(F.min("id").alias("least")))
-    edges = materialize(links(prints.select("fp"), radius, tile_rows))
-    group = connected_components(edges).withColumnRenamed("node", "fp")
-    least = prints.join(group, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = materialize(least)
+    least = _components(rows, radius, tile_rows)
     name = least.groupBy("component").agg(F.min("least").alias("component_id"))
     prints = least.join(name, "component").select("fp", "component_id")
     return rows.join(prints, "fp").select(
@@ -170,8 +174,28 @@ def simhash_groups(
     )
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the rows whose component has a smaller identifier; rows with a null identifier stay."""
-    groups = simhash_groups(docs, id_col, text_col, **options)
-    dropped = groups.filter(F.col("component_id") < named(id_col)).select(named(id_col)).distinct()
-    return docs.join(materialize(dropped), id_col, "left_anti").select(*[named(c) for c in carried(docs, None, [])])
+def drop_near_copies(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4, tile_rows: int = 16_384
+) -> DataFrame:
+    """One row of each component of ``simhash_groups``: the smallest identifier stays, a null one comes last.
+
+    Rows are told apart by their place in a written copy of ``docs``, so of rows that share an identifier, or are equal
+    altogether, exactly one stays if they are near copies, and each stays if their texts are not. A null text counts as
+    empty; empty texts are copies of one another. An empty table gives an empty result. All columns are passed on as they
+    are, whatever their names.
+    """
+    columns = carried(docs, None, [])
+    stored = docs.select(
+        F.struct(*[named(c).alias(f"c{i}") for i, c in enumerate(columns)]).alias("row"), F.monotonically_increasing_id().alias("place")
+    )
+    stored = materialize(stored)
+    text = F.col(f"row.c{[c.lower() for c in columns].index(text_col.lower())}")
+    own = F.col(f"row.c{[c.lower() for c in columns].index(id_col.lower())}")
+    key = F.struct(own.isNull().alias("no_id"), own.alias("id"), F.col("place"))
+    rows = materialize(fingerprints(stored.select(key.alias("key"), text.alias("text")), "key", "text", words))
+    least = _components(rows, radius, tile_rows)
+    first = least.groupBy("component").agg(F.min("least").alias("stays"))
+    prints = least.join(first, "component").select("fp", F.col("stays.place").alias("stays"))
+    dropped = rows.join(prints, "fp").filter(F.col("id.place") != F.col("stays")).select(F.col("id.place").alias("place"))
+    left = stored.join(materialize(dropped), "place", "left_anti")
+    return left.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(columns)])
