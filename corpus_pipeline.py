@@ -1,6 +1,10 @@
 """A corpus pipeline: five stages from the documents to packed token sequences.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is written and read again for the next one.
+
+In every stage a null text counts as empty, and an empty table gives an empty result. Columns beside the five of
+``documents`` are not passed on. Rows that repeat are judged each for itself by the language stage; the two stages after it
+keep one row of them, and the last two treat what is left row by row, whatever its length.
 """
 
 from __future__ import annotations
@@ -10,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vernissage.llm.exact_dedup import exact_dedup
 from vernissage.llm.language import fit_text_model, identify
-from vernissage.llm.near_texts import drop_near_texts
 from vernissage.llm.packing import pack
+from vernissage.llm.simhash import drop_near_copies
 from vernissage.llm.substring_dedup import drop_repeats
 from vernissage.session import scratch_dir
 
@@ -30,8 +34,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: a Jaccard similarity of 0.8 over five-word shingles."""
-    return drop_near_texts(docs).select(COLUMNS)
+    """One document of each SimHash group: fingerprints of four-word shingles, linked at four or fewer differing bits."""
+    return drop_near_copies(docs, words=4, radius=4).select(COLUMNS)
 
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
