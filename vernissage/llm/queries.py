@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from vernissage.llm.byte_bpe import encode
 from vernissage.llm.common import table
 from vernissage.llm.exact_dedup import exact_dedup
+from vernissage.llm.group_packing import pack_groups
 from vernissage.llm.language import fit_text_model, identify, page_parts
 from vernissage.llm.licences import fit_licences, scan_licences
 from vernissage.llm.line_dedup import line_dedup
@@ -78,8 +79,13 @@ def op10_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumn("page_id", nothing).select(columns).unionByName(web.withColumn("doc_id", nothing).select(columns))
 
 
+def op11_first_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return pack_groups(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = [
     op1_exact_dedup, op2_best_fit_packing, op3_byte_bpe, op4_substring_dedup, op5_nearest_neighbours, op6_toxicity,
     op7_line_dedup, op8_simhash_near_dedup, op9_licence_scan, op10_language_id,
+    op11_first_fit_packing,
 ]
 REGISTRY = {f.__name__: f for f in QUERIES}
