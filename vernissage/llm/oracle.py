@@ -36,4 +36,23 @@ SQL = {
                  CASE WHEN contains(text, 'licensed under the GNU General Public License, version 3') THEN 'GPL' END,
                  CASE WHEN contains(text, 'Released under the MIT License') THEN 'MIT' END) AS licences
         FROM documents""",
+    "op12_hard_negatives": """
+        WITH e AS (
+          SELECT row_number() OVER () AS n, vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                 list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+          FROM embeddings
+          WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+          SELECT a.n AS anchor, a.id AS anchor_id, r.id, r.label = a.label AS same,
+                 CAST(coalesce(list_sum(list_transform(list_zip(a.v, r.v), lambda p: p[1] * p[2])), 0) AS BIGINT) AS score
+          FROM e a JOIN e r ON a.n <> r.n WHERE a.id % 100 = 0),
+        p AS (
+          SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) AS nth FROM s WHERE same
+          QUALIFY nth <= 5)
+        SELECT p.anchor_id, p.id AS positive_id, row_number() OVER (PARTITION BY p.anchor, p.nth ORDER BY s.score DESC, s.id) AS rank,
+               s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+        FROM p JOIN s ON p.anchor = s.anchor
+        WHERE NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score
+        QUALIFY rank <= 5""",
 }

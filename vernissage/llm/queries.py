@@ -9,6 +9,7 @@ from vernissage.llm.byte_bpe import encode
 from vernissage.llm.common import table
 from vernissage.llm.exact_dedup import exact_dedup
 from vernissage.llm.group_packing import pack_groups
+from vernissage.llm.hard_negatives import hard_negatives
 from vernissage.llm.language import fit_text_model, identify, page_parts
 from vernissage.llm.licences import fit_licences, scan_licences
 from vernissage.llm.line_dedup import line_dedup
@@ -83,9 +84,15 @@ def op11_first_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack_groups(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "embeddings")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.withColumn("label", shifted), F.col("vec_id") % 100 == 0)
+
+
 QUERIES = [
     op1_exact_dedup, op2_best_fit_packing, op3_byte_bpe, op4_substring_dedup, op5_nearest_neighbours, op6_toxicity,
     op7_line_dedup, op8_simhash_near_dedup, op9_licence_scan, op10_language_id,
-    op11_first_fit_packing,
+    op11_first_fit_packing, op12_hard_negatives,
 ]
 REGISTRY = {f.__name__: f for f in QUERIES}
