@@ -55,4 +55,33 @@ SQL = {
         FROM p JOIN s ON p.anchor = s.anchor
         WHERE NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score
         QUALIFY rank <= 5""",
+    "op13_collocations": r"""
+        WITH pieces AS (
+          SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+          FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+        g AS (
+          SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase
+          FROM w, (SELECT unnest(range(1, 6)) AS k)),
+        f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL),
+        t AS (SELECT lang, sum(a) AS n FROM f WHERE k = 1 GROUP BY lang),
+        c AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND a >= 100),
+        cuts AS (
+          SELECT lang, phrase, k, a, cut, array_to_string(ws[1:cut], ' ') AS one, array_to_string(ws[cut + 1:], ' ') AS two
+          FROM (SELECT *, unnest(range(1, k)) AS cut FROM c)),
+        scored AS (
+          SELECT cuts.*, x.a AS l, y.a AS r, t.n, (1000 * cuts.a::HUGEINT * t.n::HUGEINT) // (x.a::HUGEINT * y.a::HUGEINT) AS score
+          FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = cuts.one JOIN f y ON y.lang = cuts.lang AND y.phrase = cuts.two
+          JOIN t ON t.lang = cuts.lang),
+        best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+        inner_phrases AS (
+          SELECT lang, a AS longer, unnest(flatten(list_transform(range(2, k), lambda m:
+                   list_transform(range(1, k - m + 2), lambda i: array_to_string(ws[i:i + m - 1], ' '))))) AS phrase
+          FROM c WHERE k > 2),
+        gone AS (SELECT DISTINCT i.lang, i.phrase FROM inner_phrases i JOIN c ON c.lang = i.lang AND c.phrase = i.phrase WHERE 100 * i.longer >= 100 * c.a),
+        ranked AS (
+          SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank
+          FROM best ANTI JOIN gone USING (lang, phrase))
+        SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM ranked WHERE rank <= 2000""",
 }

@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vernissage.llm.byte_bpe import encode
+from vernissage.llm.collocations import collocations
 from vernissage.llm.common import table
 from vernissage.llm.exact_dedup import exact_dedup
 from vernissage.llm.group_packing import pack_groups
@@ -90,9 +91,13 @@ def op12_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
     return hard_negatives(rows.withColumn("label", shifted), F.col("vec_id") % 100 == 0)
 
 
+def op13_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations(table(spark, sf, "documents"))
+
+
 QUERIES = [
     op1_exact_dedup, op2_best_fit_packing, op3_byte_bpe, op4_substring_dedup, op5_nearest_neighbours, op6_toxicity,
     op7_line_dedup, op8_simhash_near_dedup, op9_licence_scan, op10_language_id,
-    op11_first_fit_packing, op12_hard_negatives,
+    op11_first_fit_packing, op12_hard_negatives, op13_collocations,
 ]
 REGISTRY = {f.__name__: f for f in QUERIES}
