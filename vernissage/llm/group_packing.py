@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -14,13 +15,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from vernissage.llm.common import named, slices, tidy, whole
+from vernissage.llm.common import hash128, named, slices, tidy, whole
 from vernissage.session import materialize
 
 #: White space of the tokenizer's pattern (\s).
 _WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Distinct chunks that a task remembers before it starts again, and the longest of them.
 _REMEMBERED, _LONGEST = 500_000, 64
+#: From this character on, tables of letters and digits differ between versions of Unicode.
+_OWN_TABLES = "\u0250"
 
 
 def byte_encoder(vocabulary: str) -> Callable[[str], bytes]:
@@ -36,7 +39,7 @@ def byte_encoder(vocabulary: str) -> Callable[[str], bytes]:
     for token in json.loads(vocabulary).get("added_tokens") or []:
         if any(token.get(flag) for flag in ("normalized", "lstrip", "rstrip", "single_word")):
             raise ValueError(f"added token {token['content']!r} is matched otherwise than as it stands")
-        added[token["content"]] = np.array([token["id"]], "<u4").tobytes()
+        added[token["content"]] = struct.pack("<I", token["id"])
     if tokenizer.normalizer is not None or tokenizer.pre_tokenizer.pre_tokenize_str("a")[0][0] != "a":
         raise ValueError("a vocabulary with a normaliser or a prefix space is beyond this encoder")
     model, before = tokenizer.model, tokenizer.pre_tokenizer
@@ -48,29 +51,45 @@ def byte_encoder(vocabulary: str) -> Callable[[str], bytes]:
         rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WHITE}\p{{L}}\p{{N}}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+"
     )
     edge, unusual = re.compile(f"(?<=[^{_WHITE}]) | (?=[^{_WHITE}])"), re.compile(rf" (?=[{_WHITE}]|\Z)")
-    words: dict[str, bytes] = {}
 
-    def word(token: str) -> bytes:
-        found = words.get(token)
-        if found is None:
-            found = np.array([t.id for t in model.tokenize(token.encode().decode("latin-1").translate(letters))], "<u4").tobytes()
+    packers, space = [struct.Struct(f"<{n}I").pack for n in range(33)], chr(letters[0x20])
+
+    def merged(token: str) -> bytes:
+        found = [t.id for t in model.tokenize(token)]
+        return packers[len(found)](*found) if len(found) < len(packers) else struct.pack(f"<{len(found)}I", *found)
+
+    class Words(dict):
+        """Ids of a match of the pattern."""
+
+        def __missing__(self, token: str) -> bytes:
+            found = merged(token.encode().decode("latin-1").translate(letters))
             if len(token) <= _LONGEST:
-                words[token] = found
-        return found
+                self[token] = found
+            return found
+
+    words = Words()
+    marks = {mark: words[mark] for mark in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"}
 
     def fresh(chunk: str) -> bytes:
         if not chunk:
             return b""
-        if max(chunk) < "\u0250":
-            return b"".join(map(word, pattern.findall(chunk)))
+        if max(chunk) < _OWN_TABLES:
+            return b"".join(map(words.__getitem__, pattern.findall(chunk)))
         # beyond that the tokenizer's own tables tell letters and digits
-        return b"".join([np.array([t.id for t in model.tokenize(piece)], "<u4").tobytes() for piece, _ in before.pre_tokenize_str(chunk)])
+        return b"".join([merged(piece) for piece, _ in before.pre_tokenize_str(chunk)])
 
     class Spaced(dict):
         """Ids of a space and a chunk, by the chunk."""
 
         def __missing__(self, chunk: str) -> bytes:
-            found = fresh(" " + chunk)
+            if chunk.isascii() and chunk.isalpha():
+                found = merged(space + chunk)
+            elif chunk.isalpha() and max(chunk) < _OWN_TABLES:
+                found = words[" " + chunk]
+            elif (mark := marks.get(chunk[-1:])) and chunk[:-1].isalpha():  # a word and the mark behind it are two tokens
+                found = self[chunk[:-1]] + mark
+            else:
+                found = fresh(" " + chunk)
             if len(chunk) <= _LONGEST:
                 self[chunk] = found
             return found
@@ -78,7 +97,7 @@ def byte_encoder(vocabulary: str) -> Callable[[str], bytes]:
     spaced = Spaced()
 
     def encode(text: str) -> bytes:
-        if len(spaced) > _REMEMBERED or len(words) > _REMEMBERED:
+        if len(spaced) + len(words) > _REMEMBERED:
             spaced.clear()
             words.clear()
         chunks = edge.split(text) if unusual.search(text) else text.split(" ")
@@ -156,30 +175,54 @@ def place(sizes: np.ndarray, capacity: int, slack: int) -> pd.DataFrame:
     return pd.concat([kept, cut], ignore_index=True)
 
 
-def _pieces(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, capacity: int, end_id: int) -> DataFrame:
-    """Every document in pieces of ``capacity`` tokens and a rest: ``id, start, length, ids_crc32, doc_tokens, ids``."""
-    kind = docs.select(named(id_col)).schema[0].dataType.simpleString()
-    content = Path(vocabulary).read_text()  # travels with the job: executors need no such file
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, h1, h2, text``; two hashes tell what a row holds."""
+    h1, h2 = hash128(named(id_col), whole(text_col))
+    return docs.select(named(id_col).alias("id"), h1.alias("h1"), h2.alias("h2"), whole(text_col).alias("text"))
+
+
+def _pieces(rows: DataFrame, vocabulary: str, capacity: int, end_id: int) -> DataFrame:
+    """Every document in pieces of ``capacity`` tokens and a rest: ``id, h1, h2, start, length, ids_crc32, doc_tokens``."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = byte_encoder(content), np.array([end_id], "<u4").tobytes()
+        encode, end = byte_encoder(vocabulary), struct.pack("<I", end_id)
         for batch in slices(batches):
-            rows, start, length, crc, tokens, parts = [], [], [], [], [], []
-            for i, text in enumerate(batch.column(1)):
+            row, start, length, crc, tokens = [], [], [], [], []
+            for i, text in enumerate(batch.column(3)):
                 ids = encode(text.as_py()) + end
                 for at in range(0, len(ids), 4 * capacity):
                     part = ids[at : at + 4 * capacity]
-                    rows.append(i), start.append(at // 4), length.append(len(part) // 4), crc.append(zlib.crc32(part))
-                    tokens.append(len(ids) // 4), parts.append(part)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(rows, pa.int64())), *[pa.array(x, pa.int64()) for x in (start, length, crc, tokens)],
-                 pa.array(parts, pa.binary())],
-                ["id", "start", "length", "ids_crc32", "doc_tokens", "ids"],
-            )
+                    row.append(i), start.append(at // 4), length.append(len(part) // 4), crc.append(zlib.crc32(part))
+                    tokens.append(len(ids) // 4)
+            row = pa.array(row, pa.int64())
+            columns = [batch.column(i).take(row) for i in range(3)] + [pa.array(x, pa.int64()) for x in (start, length, crc, tokens)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "h1", "h2", "start", "length", "ids_crc32", "doc_tokens"])
 
-    rows = docs.select(named(id_col).alias("id"), whole(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, ids binary")
+    kind = dict(rows.dtypes)["id"]
+    return rows.mapInArrow(run, f"id {kind}, h1 bigint, h2 bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint")
+
+
+def _sums(rows: DataFrame, spans: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
+    """``h1, h2, start, length, ids_crc32`` of pieces given without their sum, from documents encoded again."""
+    wanted = spans.groupBy("h1", "h2").agg(F.collect_set(F.struct("start", "length")).alias("spans"))  # a document's own cuts
+    texts = rows.select("h1", "h2", "text").join(materialize(wanted), ["h1", "h2"]).dropDuplicates(["h1", "h2"])
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, end = byte_encoder(vocabulary), struct.pack("<I", end_id)
+        for batch in slices(batches):
+            row, start, length, crc = [], [], [], []
+            for i, (text, spans) in enumerate(zip(batch.column(2), batch.column(3))):
+                ids = encode(text.as_py()) + end
+                for span in spans.as_py():
+                    at, n = span["start"], span["length"]
+                    row.append(i), start.append(at), length.append(n), crc.append(zlib.crc32(ids[4 * at : 4 * (at + n)]))
+            row = pa.array(row, pa.int64())
+            columns = [batch.column(i).take(row) for i in range(2)] + [pa.array(x, pa.int64()) for x in (start, length, crc)]
+            yield pa.RecordBatch.from_arrays(columns, ["h1", "h2", "start", "length", "ids_crc32"])
+
+    return texts.mapInArrow(run, "h1 bigint, h2 bigint, start bigint, length bigint, ids_crc32 bigint")
 
 
 def pack_groups(
@@ -195,34 +238,39 @@ def pack_groups(
     and its documents are cut to fill others of their kind; so no sequence is padded by more than ``slack`` tokens,
     whatever the lengths are, and few documents are cut where lengths vary.
 
-    A task holds the numbers of one group; how many documents a source or a group of copies has is of no matter. The ids
-    are written once, and read again only to sum up pieces that were cut. A null or empty text is the end token alone. A
-    null identifier is kept, and repeated rows are packed each for itself. An empty table gives an empty result. Other
-    columns are not read, whatever their names.
+    A task holds the numbers of one group; how many documents a source or a group of copies has is of no matter. Documents
+    that were cut are encoded once more to sum up their pieces. A null or empty text is the end token alone. A null
+    identifier is kept, and repeated rows are packed each for itself. An empty table gives an empty result. Other columns
+    are not read, whatever their names.
     """
-    found = _pieces(docs, id_col, text_col, vocabulary, capacity, end_id)
+    content = Path(vocabulary).read_text()  # travels with the job: executors need no such file
+    texts = _rows(docs, id_col, text_col)
+    found = _pieces(texts, content, capacity, end_id)
     found = materialize(found.withColumn("n", F.monotonically_increasing_id()))
-    kind, numbers = dict(found.dtypes)["id"], ["n", "id", "start", "length", "ids_crc32", "doc_tokens"]
+    kind, numbers = dict(found.dtypes)["id"], ["n", "id", "h1", "h2", "start", "length", "ids_crc32", "doc_tokens"]
     rest = found.filter(F.col("length") < capacity).select(numbers)
     groups = max(1, -(-rest.count() // group_rows))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "n"], ascending=[False, True], ignore_index=True)
         placed = place(rows["length"].to_numpy(), capacity, slack)
-        out = rows.drop(columns="length").iloc[placed["item"].to_numpy()].reset_index(drop=True)
-        for column in ("begin", "length", "bin", "offset"):
-            out[column] = placed[column].to_numpy()
-        cut = placed["length"].to_numpy() != rows["length"].to_numpy()[placed["item"].to_numpy()]
+        item = placed["item"].to_numpy()
+        out = rows.iloc[item].reset_index(drop=True)
+        cut = placed["length"].to_numpy() != out["length"].to_numpy()
+        out["start"] = out["start"] + placed["begin"].to_numpy()
         out["ids_crc32"] = out["ids_crc32"].astype("Int64").mask(cut)
+        for column in ("length", "bin", "offset"):
+            out[column] = placed[column].to_numpy()
         return out
 
-    schema = f"n bigint, id {kind}, start bigint, ids_crc32 bigint, doc_tokens bigint, grp int, begin bigint, length bigint, bin bigint, offset bigint"
+    schema = f"n bigint, id {kind}, h1 bigint, h2 bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
     grouped = rest.withColumn("grp", F.pmod(F.xxhash64(F.lit(seed), "n"), F.lit(groups)).cast("int")).groupBy("grp")
-    placed = materialize(grouped.applyInPandas(run, schema))
-    cut = placed.filter("ids_crc32 is null").drop("ids_crc32").join(found.select("n", "ids"), "n")
-    part = F.col("ids").substr((F.col("begin") * 4 + 1).cast("int"), (F.col("length") * 4).cast("int"))
-    placed = placed.filter("ids_crc32 is not null").unionByName(cut.withColumn("ids_crc32", F.crc32(part)).drop("ids"))
-    placed = placed.withColumn("start", F.col("start") + F.col("begin"))
+    placed = materialize(grouped.applyInPandas(run, f"{schema}, grp int, bin bigint, offset bigint"))
+    cut = materialize(placed.filter("ids_crc32 is null").drop("ids_crc32"))
+    if not cut.isEmpty():
+        keys = ["h1", "h2", "start", "length"]
+        sums = materialize(_sums(texts, cut.select(keys).distinct(), content, end_id))
+        placed = placed.filter("ids_crc32 is not null").unionByName(cut.join(sums, keys))
     placed = placed.withColumn("sequence_id", (F.col("bin") * groups + F.col("grp")) * 2)
     full = found.filter(F.col("length") == capacity).select(
         *numbers, (F.col("n") * 2 + 1).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset")
