@@ -221,3 +221,11 @@ def test_many_paragraphs_under_one_key_are_compared_in_blocks(spark, monkeypatch
     whole = sorted(map(tuple, repeated_passages(frame(spark, rows)).collect()), key=str)
     monkeypatch.setattr(sd, "_BLOCK", 2)
     assert sorted(map(tuple, repeated_passages(frame(spark, rows)).collect()), key=str) == whole and whole
+
+
+def test_rows_left_with_space_alone_go(spark):
+    rng = random.Random(12)
+    shared = next(p for p in iter(lambda: passage(rng, 60), None) if Paragraphs(pa.array([p])).words.sum() == 60)  # no short paragraph
+    rows = [(1, shared), (2, f"\n\n{shared} \t\n"), (3, f"{passage(rng, 40)}\n{shared}\n"), (4, "\n\n"), (5, None)]
+    left = {r.doc_id: r.text for r in drop_repeats(frame(spark, rows)).collect()}
+    assert set(left) == {1, 3, 4, 5} and left[1] == shared and len(left[3].split()) < 60

@@ -9,7 +9,7 @@ import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, Window, functions as F
 
-from vernissage.llm.common import carried, named, slices, tidy, whole
+from vernissage.llm.common import SPACES, carried, named, slices, tidy, whole
 from vernissage.llm.components import connected_components, roots
 from vernissage.session import materialize
 
@@ -315,11 +315,13 @@ def drop_repeats(
     """
     found = _passages(docs, id_col, text_col, similarity, min_words).filter("removed")
     spans = found.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
-    text, columns = whole(text_col), carried(docs, None, [])
+    columns = carried(docs, None, [])
     rows = docs.select(
-        F.struct(*[named(c).alias(f"c{i}") for i, c in enumerate(columns)]).alias("row"),
-        F.xxhash64(named(id_col), text).alias("doc"), text.alias("text"),
+        F.struct(*[named(c).alias(f"c{i}") for i, c in enumerate(columns)]).alias("row"), F.xxhash64(named(id_col), whole(text_col)).alias("doc")
     ).join(materialize(spans), "doc", "left")
+    # the text is taken from the row after the join, so that it is moved once
+    text = F.col(f"row.c{[c.lower() for c in columns].index(text_col.lower())}").cast("string")
+    rows = rows.withColumn("text", F.coalesce(text, F.lit("")))
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,7 +340,7 @@ def drop_repeats(
 
     rows = rows.select("row", "text", "spans")
     left = rows.mapInArrow(run, f"row {dict(rows.dtypes)['row']}, rest string")
-    left = left.filter("rest is null or trim(rest) <> ''")
+    left = left.filter(F.col("rest").isNull() | (F.btrim("rest", F.lit(SPACES)) != ""))
     changed = {text_col: F.col("rest")} | ({size_col: F.char_length("rest").cast(dict(docs.dtypes)[size_col])} if size_col else {})
     return left.select(*[
         (F.when(F.col("rest").isNotNull(), changed[c]).otherwise(F.col(f"row.c{i}")) if c in changed else F.col(f"row.c{i}")).alias(c)
