@@ -71,6 +71,40 @@ def test_ordinals_follow_the_order(spark, parts):
     assert got == {row: i for i, row in enumerate(sorted(rows))}
 
 
+@pytest.mark.parametrize("parts", [None, 1, 5, 60])
+def test_ordinals_of_equal_keys_and_nulls(spark, parts):
+    rows = [(None if i % 5 == 0 else 7, i % 3) for i in range(400)]
+    df = spark.createDataFrame(rows, "k long, t long").repartition(6)
+    got = sorted((r.ord, r.k, r.t) for r in skew.with_ordinal(df, "k", "t", parts=parts).collect())
+    assert [o for o, _, _ in got] == list(range(400))
+    assert [(k, t) for _, k, t in got] == sorted(rows, key=lambda r: (r[0] is not None, r[0], r[1]))
+
+
+def test_equal_keys_spread_over_ranges(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(skew, "materialize", lambda df, keep=skew.materialize: written.append(out := keep(df)) or out)
+    skew.with_ordinal(spark.range(1000).selectExpr("1 as k"), "k", parts=10)
+    sizes = [r["count"] for r in written[0].groupBy("_range").count().collect()]
+    assert len(sizes) >= 8 and max(sizes) < 300
+
+
+def test_a_small_wide_side_is_not_broadcast(spark):
+    right = spark.range(200).selectExpr("cast(id as string) as k", "repeat('x', 100000) as v")
+    assert skew._is_small(right.limit(10), 1000) and not skew._is_small(right, 1000) and not skew._is_small(right, 10)
+
+
+def test_percentile_moves_counts_alone(spark):
+    df = spark.range(200_000).selectExpr("cast(id % 3 as string) as g", "cast(id % 50000 as double) as x")
+    seen, keep = [], quantile.materialize
+    quantile.materialize = lambda frame: seen.append(frame._jdf.queryExecution()) or keep(frame)
+    try:
+        quantile.exact_percentile(df, ["g"], "x", 0.95, "p").collect()
+    finally:
+        quantile.materialize = keep
+    plan = spark._jvm.PythonSQLUtils.explainString(seen[1], "simple")
+    assert plan.count("Exchange hashpartitioning") == 1 and "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 @pytest.mark.parametrize("q", [0.0, 0.5, 0.95, 1.0])
 def test_percentile_equals_numpy(spark, q, monkeypatch):
     monkeypatch.setattr(quantile, "ACCURACY", 100)  # small enough for the bracket to cut

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from vernissage.session import materialize
+
 ACCURACY = 10_000
 
 
@@ -17,32 +19,25 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str)
 def exact_percentile(df: DataFrame, by: list[str], value: str, q: float, name: str) -> DataFrame:
     """Linear-interpolation percentile of ``value`` per group, one row per group.
 
-    A quantile sketch brackets the answer: values below the bracket are only
-    counted, and only those inside it (about ``4 / accuracy`` of a group, equal
-    values merged) are put in order. Groups of up to ``ACCURACY`` rows are
-    ordered whole.
+    A quantile sketch brackets the answer. The brackets, one row per group, go to the rows, which are then counted in one
+    pass: those below a bracket as one number, those inside (about ``4 / accuracy`` of a group) by value. Only these
+    counts are shuffled, equal values added up before. Groups of up to ``ACCURACY`` rows are inside as a whole.
     """
     rows = df.select(*by, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     margin = 2.0 / ACCURACY  # twice the sketch's error, so the bracket also covers the next rank
     low = F.percentile_approx("_v", max(0.0, q - margin), ACCURACY)
     high = F.percentile_approx("_v", min(1.0, q + margin), ACCURACY)
     whole = (F.count("*") <= ACCURACY)
-    bounds = rows.groupBy(*by).agg(
+    bounds = materialize(rows.groupBy(*by).agg(
         F.count("*").alias("_n"),
         F.when(whole | F.lit(q <= margin), F.min("_v")).otherwise(low).alias("_lo"),
         F.when(whole | F.lit(q >= 1 - margin), F.max("_v")).otherwise(high).alias("_hi"),
-    )
-    # equal values are merged first, so one very frequent value is one row from here on
-    counted = rows.groupBy(*by, "_v").agg(F.count("*").alias("_c"))
-    joined = null_safe_join(counted, bounds, by, "inner")
-    below = joined.filter("_v < _lo").groupBy(*by).agg(F.sum("_c").alias("_below"))
-    ordered = Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = (
-        joined.filter("_v >= _lo and _v <= _hi")
-        .withColumn("_to", F.sum("_c").over(ordered))
-        .transform(lambda df: null_safe_join(df, below, by, "left"))
-        .withColumn("_to", F.col("_to") + F.coalesce("_below", F.lit(0)))
-    )
+    ))
+    near = null_safe_join(rows, bounds, by, "inner").filter("_v <= _hi")
+    inside = F.when(F.col("_v") >= F.col("_lo"), F.col("_v"))  # null stands for all that lies below
+    counted = materialize(near.groupBy(*by, inside.alias("_v"), "_n").agg(F.count("*").alias("_c")))
+    ordered = Window.partitionBy(*by).orderBy(F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = counted.withColumn("_to", F.sum("_c").over(ordered)).filter("_v is not null")
     # _to = number of values up to and including this one: rank r (from 0) is the first with _to > r
     at = F.lit(q) * (F.col("_n").cast("double") - 1)
     first = F.min(F.when(F.col("_to") > F.floor(at), F.col("_v")))

@@ -7,16 +7,26 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from vernissage.session import has_at_most, materialize
 
 SMALL_ROWS = 100_000
+#: Bytes up to which a side that was measured is sent to every task.
+SMALL_BYTES = 8 << 20
 HOT_ROWS = 1_000_000
-MOST_HOT_KEYS = 5_000
+#: Rows of one range that ordinals are counted in.
+RANGE_ROWS = 1_000_000
 _BINS = 2048
 
 
 def _hot_keys(df: DataFrame, key: str, hot_rows: int, name: str) -> DataFrame:
-    """Keys with very many rows and the number of parts to cut them into; at most ``MOST_HOT_KEYS``."""
+    """Keys with more than ``hot_rows`` rows and the number of parts to cut them into."""
     counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-    bar = max(hot_rows, df.count() // MOST_HOT_KEYS)
-    return counts.filter(F.col("_n") > bar).select(key, F.ceil(F.col("_n") / hot_rows).cast("int").alias(name))
+    return counts.filter(F.col("_n") > hot_rows).select(key, F.ceil(F.col("_n") / hot_rows).cast("int").alias(name))
+
+
+def _is_small(df: DataFrame, rows: int) -> bool:
+    """Whether ``df`` has few rows of few bytes, counted and measured."""
+    if not has_at_most(df, rows):
+        return False
+    size = F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+    return (df.agg(size).first()[0] or 0) <= SMALL_BYTES
 
 
 def skewed_join(
@@ -31,15 +41,15 @@ def skewed_join(
 ) -> DataFrame:
     """Equi-join for sides whose keys may be very uneven (``inner`` or ``left``).
 
-    A small right side joins as is: the planner broadcasts it when its measured
-    size allows, and the left side is not moved. Beyond that, the rows of a hot
-    key are cut into parts of about ``hot_rows`` by a hash of ``spread`` (any
-    columns that differ between rows of one key), and each part meets a copy of
-    the matching right rows. With ``right_spread`` (inner joins only) hot right
-    keys are cut as well, and every left part meets every right part.
+    A right side of few rows and bytes, both measured, is broadcast, and the left
+    side is not moved. Beyond that, the rows of a hot key are cut into parts of
+    about ``hot_rows`` by a hash of ``spread`` (any columns that differ between
+    rows of one key), and each part meets a copy of the matching right rows. With
+    ``right_spread`` (inner joins only) hot right keys are cut as well, and every
+    left part meets every right part.
     """
-    if has_at_most(right, small_rows):
-        return left.join(right, key, how)
+    if _is_small(right, small_rows):
+        return left.join(F.broadcast(right), key, how)
     hot = _hot_keys(left, key, hot_rows, "_l")
     both = right_spread is not None and how == "inner"
     hot = hot.join(_hot_keys(right, key, hot_rows, "_r"), key, "full") if both else hot.withColumn("_r", F.lit(1))
@@ -48,8 +58,8 @@ def skewed_join(
         return left.join(right, key, how)
 
     def cut(df: DataFrame, by: Column | None, own: str, other: str) -> DataFrame:
-        # the hot keys are few by construction, so a broadcast is safe
-        parts = df.join(F.broadcast(hot), key, "left").withColumns(
+        # at most one hot key for every hot_rows rows: the planner broadcasts them as long as their measured size allows
+        parts = df.join(hot, key, "left").withColumns(
             {"_l": F.coalesce("_l", F.lit(1)), "_r": F.coalesce("_r", F.lit(1))}
         )
         mine = F.lit(0) if by is None else F.pmod(F.xxhash64(by), F.col(own)).cast("int")
@@ -96,26 +106,19 @@ def first_n(df: DataFrame, n: int | None, key: str, *ties: str, in_memory: int =
     return df.filter(below).unionByName(rest)
 
 
-def with_ordinal(df: DataFrame, key: str, *ties: str, name: str = "ord", parts: int = 256) -> DataFrame:
-    """Add a 0-based position in the order of numeric ``key`` (then ``ties``).
+def with_ordinal(df: DataFrame, key: str, *ties: str, name: str = "ord", parts: int | None = None) -> DataFrame:
+    """Add a 0-based position in the order of ``key`` (then ``ties``), null keys first.
 
-    Split points come from a quantile sketch and are fixed before rows are
-    numbered, so a retried task gives the same numbers; each range is numbered
-    on its own and offset by the counts of the ranges before it.
+    Rows are dealt into ranges of about ``RANGE_ROWS`` by splitters that Spark samples over the key, the ties and the
+    row's place, so even equal keys spread over many ranges; each range is sorted and numbered by itself. The numbered
+    rows are written once, and the counts of the ranges before them, a table, are added.
     """
-    fractions = [i / parts for i in range(1, parts)]
-    points = df.agg(F.percentile_approx(key, fractions, 10_000).alias("p")).first()["p"] or []
-    cuts = sorted(set(points))
-    if not cuts:
-        return df.withColumn(name, F.row_number().over(Window.orderBy(key, *ties)) - 1)
-    # number of split points below the key = number of its range
-    bounds = F.array(*[F.lit(c) for c in cuts])
-    part = F.size(F.filter(bounds, lambda c: F.col(key) > c))
-    ranged = df.withColumn("_range", part)
-    offsets, before = [], 0
-    for r, rows in sorted(tuple(x) for x in ranged.groupBy("_range").count().collect()):
-        offsets += [F.lit(r), F.lit(before)]
-        before += rows
-    base = F.element_at(F.create_map(*offsets), F.col("_range"))
-    local = F.row_number().over(Window.partitionBy("_range").orderBy(key, *ties))
-    return ranged.withColumn(name, (local - 1 + base).cast("long")).drop("_range")
+    parts = parts or max(1, -(-df.count() // RANGE_ROWS))
+    order = [key, *ties, "_place"]
+    ranged = df.withColumn("_place", F.monotonically_increasing_id()).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # counts the rows of a partition from 0
+    ranged = materialize(ranged.withColumn("_range", F.spark_partition_id()).withColumn("_at", at).drop("_place"))
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each range
+    before = materialize(sizes.select("_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")))
+    return ranged.join(before, "_range").withColumn(name, (F.col("_at") + F.col("_before")).cast("long")).drop("_range", "_at", "_before")
