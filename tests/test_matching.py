@@ -4,6 +4,7 @@ import random
 import subprocess
 import sys
 
+import numpy as np
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -137,7 +138,20 @@ def test_fuzzy_names_lose_nothing(spark, threshold):
     assert got == want and want
 
 
-@pytest.mark.parametrize("threshold", [75, 85, 95])
+@pytest.mark.parametrize("threshold", [30, 60, 85, 90, 92])
+def test_listed_pieces_grow_with_the_length_and_lose_nothing(threshold):
+    rng, slack = random.Random(threshold), matching._slack(threshold)
+    width, counters = matching._width(slack), np.arange(matching._COUNTERS) % 97
+    rare = lambda s: set(matching._rare_pieces([s], slack, width, counters)[0].tolist())
+    sizes = {n: len(rare("".join(rng.choice("abcdefgh ") for _ in range(n)))) for n in (20, 200, 5000)}
+    assert sizes[20] <= 21 and sizes[200] <= 201 and sizes[5000] <= 5001
+    base = _strings(rng, 60, 1, 40, "abcde ") + _strings(rng, 20, 1, 14, "ab") + ["a" * n for n in (1, 2, 3, 7, 7, 20)] + ["red rod", "large rod"]
+    pairs = [(a, _noisy(rng, a, "abcde ", rng.randint(0, 9))) for a in base for _ in range(6)] + [(a, b) for a in base[::3] for b in base[::4]]
+    close = [(a, b) for a, b in pairs if ratio(a, b) >= threshold]
+    assert len(close) > 50 and not [p for p in close if not rare(p[0]) & rare(p[1])]
+
+
+@pytest.mark.parametrize("threshold", [40, 60, 75, 85, 95])
 def test_fuzzy_titles_lose_nothing(spark, threshold):
     rng = random.Random(threshold)
     base = sorted(set(_strings(rng, 60, 1, 24, "abcd ")))
@@ -154,6 +168,14 @@ def test_fuzzy_titles_lose_nothing(spark, threshold):
     assert got == want and want
 
 
+def test_few_title_pairs_are_scored(spark):
+    rng = random.Random(4)
+    words = _strings(rng, 600, 3, 9, "abdegiklmnorstu")
+    forms = sorted({" ".join(rng.choice(words) for _ in range(rng.randint(2, 5))) for _ in range(500)})
+    frame = titles._with_masks(spark.createDataFrame([(s,) for s in forms], "norm string"))
+    assert titles.title_candidates(frame, frame, matching._slack(85), strict=False).count() < 0.1 * len(forms) ** 2 / 2
+
+
 def test_one_python_node_per_score(spark):
     df = spark.createDataFrame([("abc", "abd")], "a string, b string")
     scored = df.withColumn("s", similarity.indel_ratio("a", "b")).filter("s >= 50")

@@ -1,42 +1,100 @@
 """Fuzzy title join: equal normal forms, or a high whole or partial similarity.
 
-Candidates come from an equi-join on short pieces of the shorter title. If a
-title of ``m`` characters matches, at most ``d(m)`` of its pieces are damaged,
-so among more than ``d(m)`` pieces at least one occurs unchanged in the other.
-No piece is dropped for being frequent; hot pieces are salted.
+Candidates come from an equi-join on short pieces. If a title matches a longer
+one, wholly or in a window, at most so many of its pieces do not occur there; so
+of one more than that, the rarest it has, at least one stands in the other, which
+lists all of its own. No piece is dropped for being frequent; hot pieces are
+salted. Pairs then pass a bit-mask test before they are scored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from vernissage.functions import similarity, text
-from vernissage.operators.matching import _slack
+from vernissage.operators.matching import _COUNTERS, _lost, _mix, _slack, string_pieces
 from vernissage.operators.skew import skewed_join
 from vernissage.schema import TITLE_THRESHOLD
 from vernissage.session import materialize, wide
 
-_PIECE = 4
+_WIDEST = 4
 
 
-def _pieces(c: str, slack: int) -> str:
-    """Consecutive pieces of ``c``, at most four characters long, more than can be damaged (SQL).
+def _widths(lengths: np.ndarray, slack: int) -> np.ndarray:
+    """Characters of a title's pieces: as many as leave it a fifth of its pieces; single ones are always left."""
+    chosen = np.ones(len(lengths), np.int64)
+    for width in range(2, _WIDEST + 1):
+        left = lengths - width + 1 - _lost(lengths, slack, width)
+        chosen[left >= np.maximum(1, lengths // 5)] = width
+    return chosen
 
-    The whole-string similarity of ``m`` with the longest partner it can reach
-    allows ``2 * slack * m / (200 - slack)`` edits; the partial one allows fewer.
-    """
-    k = f"greatest(int((2 * {slack} * length({c})) div {200 - slack} + 1), int(ceil(length({c}) / {_PIECE})))"
-    start = f"int((i * length({c})) div {k})"
-    stop = f"int(((i + 1) * length({c})) div {k})"
-    return f"transform(sequence(0, {k} - 1), i -> substring({c}, {start} + 1, {stop} - {start}))"
 
+def _pieces(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pieces of ``width`` characters of each text, without its edges, and the text's number; and the lengths."""
+    pieces, owner, lengths = string_pieces(texts, width)
+    at = np.arange(len(owner)) - np.searchsorted(owner, np.arange(len(texts)))[owner] if len(owner) else owner
+    inner = (at >= width - 1) & (at < lengths[owner])
+    return _mix(pieces[inner] ^ np.uint64(width)), owner[inner], lengths
+
+
+def _used(slack: int) -> list[int]:
+    """The widths that titles of any length take; beyond some length it is one."""
+    return sorted(set(_widths(np.arange(1, 400), slack).tolist()))
+
+
+def _counters(forms: DataFrame, widths: list[int]) -> np.ndarray:
+    """How often the pieces of all forms fall on each counter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(_COUNTERS, np.int64)
+        for batch in batches:
+            for width in widths:
+                pieces = _pieces(batch.column(0).to_pylist(), width)[0]
+                total += np.bincount((pieces & np.uint64(_COUNTERS - 1)).astype(np.int64), minlength=_COUNTERS)
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["counter", "n"])
+
+    found = forms.select("norm").mapInArrow(run, "counter bigint, n bigint").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(_COUNTERS, np.int64)
+    out[found.column("counter").to_numpy()] = found.column("n").to_numpy()
+    return out
 
-def _substrings(c: str) -> str:
-    """Distinct substrings of ``c`` of one to four characters (SQL)."""
-    return (
-        f"array_distinct(flatten(transform(sequence(1, least({_PIECE}, length({c}))), w ->"
-        f" transform(sequence(1, length({c}) - w + 1), p -> substring({c}, p, w)))))"
-    )
+
+def _asked(forms: DataFrame, slack: int, counters: np.ndarray) -> DataFrame:
+    """``norm, piece`` for the rarest pieces of every form: one more than a match can lose."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = np.array(batch.column(0).to_pylist(), object)
+            chosen = _widths(np.array([len(t) for t in texts], np.int64), slack)
+            for width in np.unique(chosen).tolist():
+                mine = np.flatnonzero(chosen == width)
+                pieces, owner, lengths = _pieces(texts[mine].tolist(), width)
+                order = np.lexsort((pieces, counters[(pieces & np.uint64(_COUNTERS - 1)).astype(np.int64)], owner))
+                pieces, owner = pieces[order], owner[order]
+                at = np.arange(len(owner)) - np.searchsorted(owner, np.arange(len(mine)))[owner]
+                take = at <= _lost(lengths, slack, width)[owner]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(mine[owner[take]])), pa.array(pieces[take].view(np.int64))], ["norm", "piece"]
+                )
+
+    return forms.select("norm").mapInArrow(run, "norm string, piece bigint")
+
+
+def _listed(forms: DataFrame, widths: list[int]) -> DataFrame:
+    """``norm, piece`` for all pieces of every form."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for width in widths:
+                pieces, owner, _ = _pieces(batch.column(0).to_pylist(), width)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(pieces.view(np.int64))], ["norm", "piece"])
+
+    return forms.select("norm").mapInArrow(run, "norm string, piece bigint")
 
 
 _MASKS = 4
@@ -67,33 +125,28 @@ def _near(slack: int) -> str:
     return f"{missing} <= int((4 * {slack} * length(a)) div {200 + slack})"
 
 
-def _one_way(short: DataFrame, long: DataFrame, slack: int, strict: bool) -> DataFrame:
-    """Candidate (a, b) with ``a`` from ``short`` no longer than ``b`` from ``long``."""
-    own = [f"m{i}" for i in range(_MASKS)]
-    pieces = wide(short, "norm").select(F.col("norm").alias("a"), F.expr(_pieces("norm", slack)).alias("parts"), *own)
-    pieces = pieces.select("a", "parts", *own, F.posexplode("parts").alias("at", "piece")).withColumn(
-        "earlier", F.expr("slice(parts, 1, at)")
-    ).drop("parts", "at")
-    other = [F.col(m).alias(f"w{i}") for i, m in enumerate(own)]
-    windows = materialize(
-        wide(long, "norm").select(F.col("norm").alias("b"), *other, F.explode(F.expr(_substrings("norm"))).alias("piece"))
-    )
+def title_candidates(short: DataFrame, long: DataFrame, slack: int, strict: bool) -> DataFrame:
+    """Candidate (a, b) with ``a`` from ``short`` no longer than ``b`` from ``long``; both have ``norm`` and masks."""
+    widths = _used(slack)
+    short, long = materialize(wide(short, "norm")), materialize(wide(long, "norm"))
+    counters = _counters(long, widths)
+    asked = _asked(short, slack, counters).withColumnRenamed("norm", "a")
+    listed = materialize(_listed(long, widths).withColumnRenamed("norm", "b"))
     size = "length(a) < length(b)" if strict else "length(a) <= length(b)"
-    # a pair may share many pieces: keep it at the first shared one only, so no later distinct is needed
-    first = "not exists(earlier, s -> contains(b, s))"
-    near = skewed_join(pieces, windows, "piece", F.col("a"), right_spread=F.col("b")).filter(size).filter(_near(slack))
-    return near.filter(first).select("a", "b")
+    pairs = skewed_join(asked, listed, "piece", F.col("a"), right_spread=F.col("b")).filter(size).select("a", "b").distinct()
+    own = [f"m{i}" for i in range(_MASKS)]
+    pairs = pairs.join(short.select(F.col("norm").alias("a"), *own), "a")
+    pairs = pairs.join(long.select(F.col("norm").alias("b"), *[F.col(m).alias(f"w{i}") for i, m in enumerate(own)]), "b")
+    return pairs.filter(_near(slack)).select("a", "b")
 
 
 def match_title_forms(left: DataFrame, right: DataFrame, threshold: int = TITLE_THRESHOLD) -> DataFrame:
     """Matching pairs (a, b, score) of distinct normal forms in column ``norm``."""
     slack = _slack(threshold)
-    if 2 * slack >= 200 - slack:
-        raise ValueError("title thresholds below 68 leave no piece certain to survive")
     equal = left.join(right, "norm").select(F.col("norm").alias("a"), F.col("norm").alias("b"), F.lit(100).alias("score"))
     lefts, rights = materialize(_with_masks(left)), materialize(_with_masks(right))
-    forth = _one_way(lefts, rights, slack, strict=False)
-    back = _one_way(rights, lefts, slack, strict=True).select(F.col("b").alias("a"), F.col("a").alias("b"))
+    forth = title_candidates(lefts, rights, slack, strict=False)
+    back = title_candidates(rights, lefts, slack, strict=True).select(F.col("b").alias("a"), F.col("a").alias("b"))
     fuzzy = (
         forth.unionByName(back)
         .filter("a != b")
