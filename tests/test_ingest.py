@@ -5,10 +5,11 @@ from pyspark.sql import functions as F
 
 from vernissage.functions.text import title_case
 from vernissage.operators import index as ix
-from vernissage.plans.ingest import IngestConfig, run_incremental, run_rebuild
+from vernissage.plans import ingest as plans
+from vernissage.plans.ingest import IngestConfig, compact_dataset, open_dataset, run_incremental, run_rebuild
 from vernissage.schema import META_SCHEMA
 from vernissage.session import scratch_dir
-from vernissage.sources import assets, authority as auth, catalog as cat
+from vernissage.sources import assets, authority as auth, catalog as cat, manifest
 from vernissage.streaming import ingest as stream
 
 ALL = IngestConfig(limit=-1)
@@ -125,17 +126,111 @@ def test_stream_limit_counts_over_batches(spark):
     assert stream.ingest_batch(_many(spark, 24, 36), 2, known, root, IngestConfig(limit=8)) == 0
 
 
+def _vectors(spark, n):
+    return spark.range(n).select(
+        cat.visual_id("id").alias("id"), F.col("id").alias("ord"), F.array(F.col("id").cast("double") - 10, F.lit(1.0)).alias("vec")
+    )
+
+
+def _contents(spark, n):
+    return spark.range(n).select(cat.visual_id("id").alias("id"), F.encode(F.concat(F.lit("bytes of "), F.col("id").cast("string")), "UTF-8").alias("content"))
+
+
+def _two_cells(spark):
+    return spark.createDataFrame([(0, [1.0, 0.0]), (1, [-1.0, 0.0])], "cell int, vec array<double>")
+
+
+def _ids(data):
+    """The ids of metadata, assets and index, which are the same."""
+    three = [sorted(r.id for r in df.select("id").collect()) for df in (data.metadata, data.assets, data.index.postings)]
+    assert three[0] == three[1] == three[2]
+    return three[0]
+
+
 def test_stream_feeds_the_index(spark):
     known, root = _names(spark, "Claude Monet"), scratch_dir(spark)
-    vectors = spark.range(24).select(
-        cat.visual_id("id").alias("id"), F.array(F.col("id").cast("double") - 10, F.lit(1.0)).alias("vec")
-    )
-    centroids = spark.createDataFrame([(0, [1.0, 0.0]), (1, [-1.0, 0.0])], "cell int, vec array<double>")
-    stream.ingest_batch(_many(spark, 0, 24), 0, known, root, vectors=vectors, centroids=centroids)
-    postings = spark.read.schema("id string, vec array<double>, sig array<bigint>, run string, batch int, cell int").parquet(f"{root}/postings")
-    meta = {r.id for r in stream.load_ingested(spark, root).collect()}
-    assert {r.id for r in postings.collect()} == meta and meta
-    assert {r.cell for r in postings.filter("id = 'wikiart_0'").collect()} == {1}
+    tables = {"vectors": _vectors(spark, 40), "centroids": _two_cells(spark), "contents": _contents(spark, 40)}
+    stream.ingest_batch(_many(spark, 0, 24), 0, known, root, **tables)
+    assert stream.ingest_batch(_many(spark, 12, 36), 1, known, root, **tables) == 6
+    data = open_dataset(spark, root)
+    assert len(_ids(data)) == 18
+    assert {r.cell for r in data.index.postings.filter("id = 'wikiart_0'").collect()} == {1}
+    assert stream.ingest_batch(_many(spark, 12, 36), 1, known, root, **tables) == 6  # comes again after its commit
+    assert _ids(open_dataset(spark, root)) == _ids(data)
+
+
+def test_a_batch_that_dies_before_its_commit_is_not_seen(spark, monkeypatch):
+    known, root = _names(spark, "Claude Monet"), scratch_dir(spark)
+    tables = {"vectors": _vectors(spark, 40), "centroids": _two_cells(spark), "contents": _contents(spark, 40)}
+    stream.ingest_batch(_many(spark, 0, 12), 0, known, root, **tables)
+
+    def die(*_):
+        raise OSError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(plans, "commit", die)  # everything is written, nothing is committed
+        with pytest.raises(OSError):
+            stream.ingest_batch(_many(spark, 12, 24), 1, known, root, **tables)
+        with pytest.raises(OSError):
+            run_rebuild(_many(spark, 0, 40), known, root, ALL, tables["contents"], tables["vectors"], lambda _: tables["centroids"])
+    assert len(_ids(open_dataset(spark, root))) == 6
+    assert stream.ingest_batch(_many(spark, 12, 24), 1, known, root, **tables) == 6
+    assert len(_ids(open_dataset(spark, root))) == 12
+    left = manifest.vacuum(spark, root)
+    assert len(left) > 4 and len(_ids(open_dataset(spark, root))) == 12 and manifest.vacuum(spark, root) == []
+
+
+def test_rebuild_replaces_assets_and_vectors_as_well(spark):
+    known, root = _names(spark, "Claude Monet", "Paul Cezanne"), scratch_dir(spark)
+    train = lambda vectors: ix.train_seeded(vectors, 3)
+    tables = (_contents(spark, 70), _vectors(spark, 70), train)
+    run_rebuild(_many(spark, 0, 60), known, root, ALL, *tables)
+    first = _ids(open_dataset(spark, root))
+    run_rebuild(_many(spark, 0, 30), known, root, ALL, *tables)
+    data = open_dataset(spark, root)
+    assert len(first) == 40 and len(_ids(data)) == 20
+    assert run_incremental(_many(spark, 0, 60), known, root, ALL, *tables)[1] == 20
+    run_incremental(_many(spark, 0, 66), known, root, ALL, *tables)
+    before = open_dataset(spark, root)
+    ids, cells = _ids(before), sorted(tuple(r) for r in before.index.postings.select("id", "cell").collect())
+    assert set(first) < set(ids)
+    compact_dataset(spark, root)
+    after = open_dataset(spark, root)
+    assert _ids(after) == ids and sorted(tuple(r) for r in after.index.postings.select("id", "cell").collect()) == cells
+    assert [len(folders) for _, folders in sorted(after.version.tables.items())] == [1] * 5
+    wanted = after.metadata.select("id")
+    for few in (1000, 0):
+        got = {r.id: bytes(r.content).decode() for r in assets.fetch_assets(wanted, after.assets, few).collect()}
+        assert got == {i: f"bytes of {i.split('_')[1]}" for i in ids}
+
+
+def test_many_ids_are_fetched_without_moving_what_is_stored(spark):
+    root = scratch_dir(spark)
+    assets.store_assets(_contents(spark, 500), root)
+    wanted = spark.range(400, 700).select(cat.visual_id("id").alias("id"))
+    found = assets.fetch_assets(wanted, assets.load_assets(spark, root), few=10)
+    lines = spark._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "simple").splitlines()
+    at = next(i for i, line in enumerate(lines) if "FileScan" in line and "content" in line)
+    assert "Bucketed: true" in lines[at]
+    depth, above = lines[at].index("FileScan"), []
+    for line in reversed(lines[:at]):
+        own = len(line) - len(line.lstrip(" :+-*"))
+        if own < depth:
+            depth = own
+            above.append(line)
+    assert any("Join" in line for line in above) and not any("Exchange" in line for line in above)
+    assert found.count() == 300 and found.filter("content is null").count() == 200
+
+
+def test_the_number_of_buckets_grows_with_the_bytes(spark, monkeypatch):
+    monkeypatch.setattr(assets, "BUCKET_BYTES", 100)
+    root = scratch_dir(spark)
+    assets.store_assets(_contents(spark, 500), root)
+    stored = assets.load_assets(spark, root)
+    assert manifest.current(spark, root).figures["asset buckets"] == -(-sum(len(f"bytes of {i}") for i in range(500)) // 100)
+    assert stored.count() == 500 and stored.select("bucket").distinct().count() > 40
+    assets.store_assets(_contents(spark, 9), root, mode="append")
+    assert assets.load_assets(spark, root).count() == 509
 
 
 # ---- sources
@@ -169,7 +264,7 @@ def test_asset_files_and_store(spark, tmp_path):
     (folder / "note.txt").write_text("no image")
     assert {r.id for r in assets.list_asset_ids(spark, str(folder)).collect()} == {"a", "b", "x.y"}
     path = str(tmp_path / "store")
-    assets.store_assets(assets.read_asset_files(spark, str(folder)), path, buckets=4, files_per_bucket=2)
+    assets.store_assets(assets.read_asset_files(spark, str(folder)), path)
     wanted = spark.createDataFrame([("a",), ("gone",), ("a",)], "id string")
     for few in (1000, 0):
         got = {r.id: r.content for r in assets.fetch_assets(wanted, assets.load_assets(spark, path), few).collect()}
@@ -196,3 +291,9 @@ def test_damaged_authority_list_is_an_error(spark, tmp_path, text):
     (tmp_path / "bad.json").write_text(text or " ")
     with pytest.raises(Exception):
         auth.load_authority(spark, str(tmp_path / "bad.json")).collect()
+
+
+def test_unreadable_metadata_is_an_error(spark, tmp_path):
+    (tmp_path / "part-0.parquet").write_text("no table")
+    with pytest.raises(Exception):
+        cat.load_metadata(spark, str(tmp_path)).collect()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from vernissage.operators import index as ix, vectors as vx
 from vernissage.schema import SearchConfig
 from vernissage.session import scratch_dir
+from vernissage.sources import manifest
 
 
 def _frame(spark, ids, rows, name="id", col="vec"):
@@ -150,10 +151,111 @@ def test_large_cells_get_several_files(spark, data, monkeypatch):
     assert index.postings.select(F.input_file_name()).distinct().count() > 1
 
 
+def _plan(df):
+    return df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+
+
 def test_search_reads_only_the_probed_cells(spark, built):
-    postings = ix.load_index(spark, built).postings.filter(F.col("cell").isin([1, 2]))
-    plan = spark._jvm.PythonSQLUtils.explainString(postings._jdf.queryExecution(), "formatted")
-    assert "PartitionFilters: [cell" in plan
+    postings = ix.load_index(spark, built).postings.filter(F.col("slot").isin([1 << 24, 2 << 24]))
+    plan = _plan(postings)
+    assert "PushedFilters: [In(slot, [16777216,33554432])]" in plan
+    probed = spark.createDataFrame([("q", [1.0] * 64, 1 << 24)], "qid string, key array<double>, slot bigint").groupBy("slot")
+    plan = _plan(probed.cogroup(postings.groupBy("slot")).applyInArrow(lambda a, b: a, "qid string, key array<double>, slot bigint"))
+    chosen, every = plan.split("SelectedBucketsCount: ")[1].split("\n")[0].split(" out of ")
+    assert int(chosen) <= 2 <= int(every)
+
+
+def test_many_queries_meet_the_postings_in_place(spark, data, built, monkeypatch):
+    monkeypatch.setattr(vx, "TILE_QUERIES", 1)
+    monkeypatch.setattr(ix, "ROUND_QUERIES", 8)
+    ids, stored, names, asked = data
+    index, queries = ix.load_index(spark, built), _frame(spark, names, asked, "qid")
+    few, many = (sorted(map(tuple, ix.search_cells(index, queries, probe_bytes=b).collect())) for b in (vx.PROBE_BYTES, 0))
+    assert few == many
+    probed = _frame(spark, names, asked, "qid", "key").withColumn("slot", F.lit(1 << 24))
+    hits = ix.search_slots(probed, index.postings.select("id", F.col("vec").alias("key"), "slot"))
+    lines = spark._jvm.PythonSQLUtils.explainString(hits._jdf.queryExecution(), "simple").splitlines()
+    scans = [i for i, line in enumerate(lines) if "FileScan" in line and "key" not in line and "slot" in line and "vec" in line]
+    assert len(scans) > 4  # a round each
+    for at in scans:  # between the postings and their meeting with the queries nothing is exchanged
+        assert "Bucketed: true" in lines[at]
+        depth, above = lines[at].index("FileScan"), []
+        for line in reversed(lines[:at]):
+            own = len(line) - len(line.lstrip(" :+-*()0123456789"))
+            if own < depth:
+                depth = own
+                above.append(line)
+                if "FlatMapCoGroups" in line:
+                    break
+        assert "FlatMapCoGroups" in above[-1] and not any("Exchange" in line for line in above)
+
+
+def test_compaction_fills_parts_and_keeps_every_row(spark, data, monkeypatch):
+    monkeypatch.setattr(ix, "FILE_ROWS", 320)  # parts of ten rows
+    ids, stored, names, asked = data
+    path, vectors = scratch_dir(spark), _frame(spark, ids, stored).withColumn("ord", F.substring("id", 2, 3).cast("int"))
+    ix.build_index(vectors.filter("ord < 40"), path, 3, seeded=True)
+    for low in range(40, 300, 65):
+        ix.append_index(vectors.filter(f"ord >= {low} and ord < {low + 65}"), path)
+    index = ix.load_index(spark, path)
+    rows = lambda: sorted((r.id, r.cell) for r in ix.load_index(spark, path).postings.collect())
+    before, hits = rows(), sorted(map(tuple, ix.search_cells(index, _frame(spark, names, asked, "qid")).collect()))
+    assert index.postings.groupBy("slot").count().agg(F.max("count")).first()[0] <= 20
+    ix.compact_index(spark, path)
+    assert len(manifest.vacuum(spark, path)) >= 5
+    after = ix.load_index(spark, path)
+    sizes = [r["count"] for r in after.postings.groupBy("slot").count().collect()]
+    assert max(sizes) <= 20 and sum(sizes) == 300 and rows() == before
+    assert sorted(map(tuple, ix.search_cells(after, _frame(spark, names, asked, "qid")).collect())) == hits
+    assert after.cells.agg(F.sum("rows"), F.sum("parts")).first()[:] == (300, len(sizes))
+
+
+def test_an_append_that_dies_changes_nothing(spark, data):
+    ids, stored, _, _ = data
+    path, vectors = scratch_dir(spark), _frame(spark, ids, stored).withColumn("ord", F.substring("id", 2, 3).cast("int"))
+    ix.build_index(vectors.filter("ord < 100"), path, 4, seeded=True)
+    before = manifest.current(spark, path)
+    ix.write_append(vectors.filter("ord >= 100"), path, before)  # written, never committed
+    assert ix.load_index(spark, path).postings.count() == 100
+    ix.append_index(vectors.filter("ord >= 100"), path)
+    assert ix.load_index(spark, path).postings.count() == 300
+    with pytest.raises(RuntimeError):
+        manifest.commit(spark, path, before, {})
+
+
+@pytest.mark.parametrize("center_bytes", [64 << 20, 3000])
+def test_closest_cells_against_brute_force(spark, data, center_bytes, monkeypatch):
+    monkeypatch.setattr(ix, "CENTER_BYTES", center_bytes)
+    monkeypatch.setattr(ix, "_SCORES", 100)
+    ids, stored, _, _ = data
+    centers = np.vstack([stored[:40], stored[:3]])  # equal centres: the lowest number wins
+    centroids = _frame(spark, [str(i) for i in range(43)], centers, "cell").selectExpr("cast(cell as int) as cell", "vec")
+    got = {r.id: r.cells for r in ix.rank_cells(_frame(spark, ids, stored), centroids, 5).collect()}
+    score = vx.cosine(stored, centers)
+    assert got == {i: sorted(range(43), key=lambda c: (-score[n, c], c))[:5] for n, i in enumerate(ids)}
+
+
+@pytest.mark.parametrize("radius, chunk_bits", [(0, None), (6, None), (6, 8), (11, 16), (20, 4), (25, 8)])
+def test_signatures_within_a_radius(spark, radius, chunk_bits):
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 63, 12, dtype=np.uint64)
+    near = [int(b) ^ sum(1 << int(x) for x in rng.choice(64, rng.integers(0, 14), replace=False)) for b in base for _ in range(12)]
+    left, right = near[::2], near[1::2] + [int(b) for b in base] + near[:1]
+    frame = lambda xs, name: spark.createDataFrame([(f"{name}{i:03d}", [x & 0xFFFFFFFF, x >> 32]) for i, x in enumerate(xs)] + [(None, [1, 1]), ("none", None)], "id string, sig array<bigint>")
+    far = lambda x, y: (x ^ y).bit_count()
+    hits = {r.qid: (r.distance, r.id) for r in vx.nearest_hamming(frame(left, "q").withColumnRenamed("id", "qid"), frame(right, "r"), radius, chunk_bits).collect() if r.qid}
+    want = {f"q{i:03d}": min((far(x, y), f"r{j:03d}") for j, y in enumerate(right)) for i, x in enumerate(left)}
+    assert hits == {q: best for q, best in want.items() if best[0] <= radius}
+    back = {j: min((far(x, y), f"q{i:03d}") for i, x in enumerate(left)) for j, y in enumerate(right)}
+    got = {tuple(r) for r in vx.mutual_nearest(frame(left, "q"), frame(right, "r"), radius, chunk_bits).collect()}
+    assert got == {(q, r, d) for q, (d, r) in want.items() if d <= radius and back[int(r[1:])][1] == q}
+
+
+def test_signatures_of_two_lengths_are_an_error(spark):
+    frame = spark.createDataFrame([("a", [1]), ("b", [1, 2])], "id string, sig array<bigint>")
+    with pytest.raises(ValueError):
+        vx.mutual_nearest(frame, frame, 3)
+    assert vx.mutual_nearest(frame.limit(0), frame.limit(0), 3).collect() == []
 
 
 def test_trained_cells_find_the_items_themselves(spark, data):

@@ -1,17 +1,20 @@
 """Nearest stored vector for many queries at once.
 
-Scores come from matrix products on Arrow batches. Few queries travel to the
-stored rows, which are scanned where they lie; many queries meet them in tiles
-of bounded size, so a hot group is split over many tasks. Either way a task
-keeps only its best rows per query, and only those are shuffled.
+Scores come from matrix products on Arrow batches. Queries travel to the stored
+rows, which are scanned where they lie, in slices of bounded size; a task keeps
+only its best rows per query, and only those are shuffled. Signatures close to
+one another meet by equal or nearly equal parts of theirs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vernissage.session import materialize
@@ -20,6 +23,8 @@ PROBE_BYTES = 64 << 20
 TILE_QUERIES = 1024
 TILE_ROWS = 8192
 SIGNATURE_BITS = 32
+#: Hits that a task piles up before it keeps the best of them.
+_PILE = 1 << 19
 _HITS = "qid string, id string, score double"
 
 Kernel = Callable[[np.ndarray, np.ndarray], np.ndarray]
@@ -47,10 +52,20 @@ def cosine(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 def hamming(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Minus the number of differing bits of signatures, summed over their words."""
-    differ = np.zeros((len(queries), len(rows)))
+    if queries.shape[1] > 1 and len(queries) and len(rows) and max(queries.max(), rows.max()) < 1 << 32 and min(queries.min(), rows.min()) >= 0:
+        queries, rows = _paired(queries), _paired(rows)
+    differ = np.zeros((len(queries), len(rows)), np.uint16)
     for word in range(queries.shape[1]):
         differ += np.bitwise_count(queries[:, word, None] ^ rows[None, :, word])
-    return -differ
+    return -differ.astype(np.float32)
+
+
+def _paired(words: np.ndarray) -> np.ndarray:
+    """Two 32-bit words in each 64-bit one."""
+    if words.shape[1] % 2:
+        words = np.column_stack([words, np.zeros(len(words), words.dtype)])
+    words = words.astype(np.uint64)
+    return words[:, ::2] | words[:, 1::2] << np.uint64(32)
 
 
 def signature(vec: Column | str) -> Column:
@@ -63,107 +78,115 @@ def signature(vec: Column | str) -> Column:
     return F.transform(starts, word)
 
 
-def _best(q: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int):
-    """The k best (highest score, then lowest id) different ids of every query."""
-    rank = np.unique(ids, return_inverse=True)[1] if len(ids) else np.zeros(0, dtype=np.int64)
-    order = np.lexsort((rank, -score, q))
+def coded(ids: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+    """Ids as numbers in their order, and the ids by number."""
+    if isinstance(ids, pa.ChunkedArray):
+        ids = ids.combine_chunks()
+    listed = ids.dictionary_encode()
+    order = pc.sort_indices(listed.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return rank[listed.indices.to_numpy()], listed.dictionary.take(pa.array(order))
+
+
+def _best(q: np.ndarray, codes: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best (highest score, then lowest id) different ids of every query."""
+    order = np.lexsort((codes, -score, q))
     if len(order):  # an id counts once, with its best score
-        pair = q[order].astype(np.int64) * (rank.max() + 1) + rank[order]
+        pair = q[order].astype(np.int64) * (int(codes.max()) + 1) + codes[order]
         order = order[np.sort(np.unique(pair, return_index=True)[1])]
-    q, ids, score = q[order], ids[order], score[order]
+    q = q[order]
     first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.zeros(0, dtype=np.int64)
     place = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)]))
-    keep = place < k
-    return q[keep], ids[keep], score[keep]
-
-
-def _block(queries: np.ndarray, which: np.ndarray, rows: np.ndarray, ids: np.ndarray, kernel: Kernel, k: int):
-    """Best k stored rows for each query of one block against another."""
-    parts = []
-    # an id may be listed several times: look so much further that k different ones are certain
-    most = k * int(np.unique(ids, return_counts=True)[1].max()) if len(ids) else k
-    for start in range(0, len(which), TILE_QUERIES):
-        at = which[start : start + TILE_QUERIES]
-        scores = kernel(queries[at], rows)
+    return order[place < k]
+
+
+class Pile:
+    """The best stored ids per query so far, over blocks of rows with ids of their own."""
+
+    def __init__(self, kernel: Kernel, k: int) -> None:
+        self.kernel, self.k, self.parts, self.size = kernel, k, [], 0
+
+    def add(self, queries: np.ndarray, which: np.ndarray, rows: np.ndarray, codes: np.ndarray, names: pa.Array) -> None:
+        """Compare the queries at ``which`` with ``rows``, whose ids are ``names`` by ``codes``."""
+        if not len(rows) or not len(which):
+            return
+        # an id may be listed several times: look so much further that k different ones are certain
+        most = self.k * int(np.bincount(codes).max())
+        for start in range(0, len(rows), TILE_ROWS):
+            stop = min(start + TILE_ROWS, len(rows))
+            for left in range(0, len(which), TILE_QUERIES):
+                self._tile(queries, which[left : left + TILE_QUERIES], rows[start:stop], codes[start:stop], names, most)
+
+    def _tile(self, queries, at, rows, codes, names, most) -> None:
+        scores = self.kernel(queries[at], rows)
         if scores.shape[1] > most:
             floor = np.partition(scores, scores.shape[1] - most, axis=1)[:, scores.shape[1] - most]
-            qi, ri = np.nonzero(scores >= floor[:, None])  # ties kept, settled by id in _best
+            qi, ri = np.nonzero(scores >= floor[:, None])  # ties kept, settled by id
         else:
             qi, ri = np.nonzero(np.ones_like(scores, dtype=bool))
-        parts.append(_best(at[qi], ids[ri], scores[qi, ri], k))
-    return tuple(np.concatenate(x) for x in zip(*parts))
-
-
-def _scan(names: np.ndarray, queries: np.ndarray, by_cell: dict | None, kernel: Kernel, k: int):
+        score = scores[qi, ri].astype(np.float64)
+        keep = _best(at[qi], codes[ri], score, self.k)
+        self.parts.append((at[qi[keep]], names.take(pa.array(codes[ri[keep]])), score[keep]))
+        self.size += len(keep)
+        if self.size > _PILE and len(self.parts) > 1:
+            self._merge()
+
+    def _merge(self) -> None:
+        q, score = (np.concatenate([p[i] for p in self.parts]) for i in (0, 2))
+        ids = pa.concat_arrays([p[1] for p in self.parts])
+        keep = _best(q, coded(ids)[0], score, self.k)
+        self.parts, self.size = [(q[keep], ids.take(pa.array(keep)), score[keep])], len(keep)
+
+    def hits(self, names: pa.Array) -> pa.Table:
+        """(qid, id, score) of what is left; ``names`` are the queries' ids."""
+        if not self.parts:
+            return pa.table({"qid": pa.array([], pa.string()), "id": pa.array([], pa.string()), "score": pa.array([], pa.float64())})
+        if len(self.parts) > 1:
+            self._merge()
+        q, ids, score = self.parts[0]
+        return pa.table({"qid": names.take(pa.array(q)), "id": ids, "score": pa.array(score)})
+
+
+def _scan(names: pa.Array, queries: np.ndarray, by_cell: dict | None, kernel: Kernel, k: int):
     """A pass over stored rows that keeps the best per query of a whole partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        everyone = np.arange(len(names))
-        kept = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=object), np.zeros(0))
+        everyone, pile = np.arange(len(names)), Pile(kernel, k)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows, ids = matrix(batch.column("key")), batch.column("id").to_numpy(zero_copy_only=False)
+            rows, (codes, ids) = matrix(batch.column("key")), coded(batch.column("id"))
+            if by_cell is None:
+                pile.add(queries, everyone, rows, codes, ids)
+                continue
             cells = batch.column("cell").to_numpy(zero_copy_only=False)
             for cell in np.unique(cells):
-                which = everyone if by_cell is None else by_cell.get(int(cell))
-                if which is None or not len(which):
-                    continue
-                mine = cells == cell
-                for start in range(0, int(mine.sum()), TILE_ROWS):
-                    part = np.flatnonzero(mine)[start : start + TILE_ROWS]
-                    fresh = _block(queries, which, rows[part], ids[part], kernel, k)
-                    kept = _best(*(np.concatenate(x) for x in zip(kept, fresh)), k)
-        if len(kept[0]):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names[kept[0]], pa.string()), pa.array(kept[1], pa.string()), pa.array(kept[2], pa.float64())],
-                names=["qid", "id", "score"],
-            )
-
-    return run
-
-
-def _tile(kernel: Kernel, k: int):
-    """Best k per query of one tile of queries against one tile of rows."""
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        empty = pa.table({"qid": pa.array([], pa.string()), "id": pa.array([], pa.string()), "score": pa.array([], pa.float64())})
-        if not left.num_rows or not right.num_rows:
-            return empty
-        names = left.column("qid").to_numpy()
-        ids = right.column("id").to_numpy()
-        q, i, s = _block(matrix(left.column("key")), np.arange(len(names)), matrix(right.column("key")), ids, kernel, k)
-        return pa.table({"qid": pa.array(names[q], pa.string()), "id": pa.array(i, pa.string()), "score": pa.array(s, pa.float64())})
+                which = by_cell.get(int(cell))
+                if which is not None:
+                    mine = cells == cell
+                    pile.add(queries, which, rows[mine], codes[mine], ids)
+        yield from pile.hits(names).to_batches()
 
     return run
 
 
-def _tiled(queries: DataFrame, rows: DataFrame, kernel: Kernel, k: int) -> DataFrame:
-    """Queries and rows of one cell cut into tiles; every query tile meets every row tile.
-
-    Exact copies are dropped first and rows are dealt by id and content, so one
-    id with very many rows cannot fill a tile.
-    """
-    queries, rows = materialize(queries.distinct()), materialize(rows.distinct())
-
-    def tiles(df: DataFrame, size: int) -> DataFrame:
-        return df.groupBy("cell").agg(F.ceil(F.count("*") / size).cast("int").alias("tiles"))
-
-    q_tiles, r_tiles = tiles(queries, TILE_QUERIES), tiles(rows, TILE_ROWS)
-    grid = materialize(q_tiles.withColumnRenamed("tiles", "qt").join(r_tiles.withColumnRenamed("tiles", "rt"), "cell"))
+def best_hits(hits: DataFrame, k: int) -> DataFrame:
+    """The k best of hits that tasks have found: (qid, id, score, rank)."""
+    if k == 1:
+        # highest score, then lowest id, with partial aggregation in every task
+        best = F.min(F.struct((-F.col("score")).alias("neg"), "id")).alias("best")
+        return hits.groupBy("qid").agg(best).select(
+            "qid", F.col("best.id").alias("id"), (F.lit(0.0) - F.col("best.neg")).alias("score"), F.lit(1).alias("rank")
+        )
+    place = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
+    hits = hits.groupBy("qid", "id").agg(F.max("score").alias("score"))
+    return hits.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k)
 
-    def dealt(df: DataFrame, name: str, own: str, other: str) -> DataFrame:
-        mine = F.pmod(F.xxhash64(name, "key"), F.col(own))
-        theirs = F.explode(F.sequence(F.lit(0).cast("long"), F.col(other).cast("long") - 1))
-        return df.join(grid, "cell").withColumn("mine", mine).withColumn("theirs", theirs).drop("qt", "rt")
 
-    left = dealt(queries, "qid", "qt", "rt").withColumnsRenamed({"mine": "a", "theirs": "b"})
-    right = dealt(rows, "id", "rt", "qt").withColumnsRenamed({"mine": "b", "theirs": "a"})
-    return (
-        left.groupBy("cell", "a", "b")
-        .cogroup(right.groupBy("cell", "a", "b"))
-        .applyInArrow(_tile(kernel, k), _HITS)
-    )
+def slice_rows(width: int, probe_bytes: int = PROBE_BYTES) -> int:
+    """How many queries of ``width`` components travel to the stored rows at once."""
+    return max(TILE_QUERIES, probe_bytes // (8 * width + 64))  # 64 bytes stand for the id and its cells
 
 
 def nearest(
@@ -181,60 +204,129 @@ def nearest(
     both, a query meets only rows of its cells. Ties go to the lowest id.
     ``width`` is the number of components, looked up if not given. An id that is
     listed several times counts once, with its best score; so does a query that
-    is asked with several vectors. Null keys take no part.
+    is asked with several vectors. Null keys and ids take no part.
+
+    The rows are neither moved nor written: queries travel to them in slices of
+    at most ``probe_bytes`` or ``TILE_QUERIES`` queries, one pass over the rows
+    for each slice, with a filter on the cells that the slice asks for.
     """
     celled = "cell" in queries.columns
     columns = ["id", "key", "cell"] if celled else ["id", "key"]
     q = queries.filter(F.col("key").isNotNull()).select(["qid", *columns[1:]])
-    r = rows.filter(F.col("key").isNotNull()).select(columns)
-    if not celled:
-        q, r = q.withColumn("cell", F.lit(0)), r.withColumn("cell", F.lit(0))
+    r = rows.filter(F.col("key").isNotNull() & F.col("id").isNotNull()).select(columns)
     if width is None:
         first = q.select("key").first()
         if first is None:
             return q.sparkSession.createDataFrame([], _HITS + ", rank int")
         width = len(first["key"]) if isinstance(first["key"], list) else 1
-    most = probe_bytes // (8 * width + 64)  # 64 bytes stand for the id and its cells
+    most = slice_rows(width, probe_bytes)
+
+    def scan(table: pa.Table) -> DataFrame:
+        by_cell, near = None, r
+        if celled:
+            cells = table.column("cell").to_numpy()
+            by_cell = {int(c): np.flatnonzero(cells == c) for c in np.unique(cells)}
+            near = r.filter(F.col("cell").isin(list(by_cell)))
+        names = table.column("qid").combine_chunks()
+        return near.mapInArrow(_scan(names, matrix(table.column("key")), by_cell, kernel, k), _HITS)
+
     table = q.limit(most + 1).toArrow()
     if not table.num_rows:
         return q.sparkSession.createDataFrame([], _HITS + ", rank int")
     if table.num_rows <= most:
-        names, by_cell = table.column("qid").to_numpy().astype(object), None
-        if celled:
-            cells = table.column("cell").to_numpy()
-            by_cell = {int(c): np.flatnonzero(cells == c) for c in np.unique(cells)}
-            r = r.filter(F.col("cell").isin(list(by_cell)))  # prunes the stored partitions
-        hits = r.mapInArrow(_scan(names, matrix(table.column("key")), by_cell, kernel, k), _HITS)
-    else:
-        hits = _tiled(q, r, kernel, k)
-    if k == 1:
-        # highest score, then lowest id, with partial aggregation in every task
-        best = F.min(F.struct((-F.col("score")).alias("neg"), "id")).alias("best")
-        return hits.groupBy("qid").agg(best).select(
-            "qid", F.col("best.id").alias("id"), (F.lit(0.0) - F.col("best.neg")).alias("score"), F.lit(1).alias("rank")
-        )
-    place = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-    hits = hits.groupBy("qid", "id").agg(F.max("score").alias("score"))
-    return hits.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k)
+        return best_hits(scan(table), k)
+    q = materialize(q.distinct().withColumn("_deal", F.xxhash64(*q.columns)))
+    slices, hits = -(-5 * q.count() // (4 * most)), None  # some room, since slices are dealt by a hash
+    for i in range(slices):
+        table = q.filter(F.pmod("_deal", F.lit(slices)) == i).drop("_deal").toArrow()
+        if table.num_rows:
+            found = materialize(scan(table))  # one slice at a time on the driver and in the tasks
+            hits = found if hits is None else hits.unionByName(found)
+    return best_hits(hits, k)
+
+
+def _flips(bits: int, most: int) -> list[int]:
+    """All values of ``bits`` bits of which at most ``most`` are set."""
+    return [sum(1 << b for b in chosen) for n in range(most + 1) for chosen in combinations(range(bits), n)]
+
+
+def within_hamming(left: DataFrame, right: DataFrame, radius: int, words: int, chunk_bits: int | None = None) -> DataFrame:
+    """Pairs of different signatures ``a`` and ``b`` that differ in at most ``radius`` bits, with their ``distance``.
+
+    Both sides have a column ``sig`` of ``words`` words, each signature once. Signatures are cut into chunks of
+    ``chunk_bits`` bits (16, 8 or 4: the widest that takes at most a few hundred look-ups). Among ``n`` chunks one differs in
+    at most ``radius // n`` bits, so every signature of the right is listed under each of its chunks, and every one of the
+    left asks for all values so close to each of its own. No pair is lost, and only pairs that share such a chunk are
+    compared, bit by bit in generated code.
+    """
+    count = lambda bits: words * SIGNATURE_BITS // bits
+    few = lambda bits: sum(comb(bits, n) for n in range(radius // count(bits) + 1)) <= 700
+    chunk_bits = chunk_bits or next((bits for bits in (16, 8) if few(bits)), 4)
+    near = _flips(chunk_bits, radius // count(chunk_bits))
+    mask = (1 << chunk_bits) - 1
+
+    def keys(df: DataFrame, name: str, flips: list[int]) -> DataFrame:
+        parts = [
+            F.shiftrightunsigned(F.element_at("sig", word + 1), low).bitwiseAND(F.lit(mask)) + F.lit((word * SIGNATURE_BITS + low) << 32)
+            for word in range(words) for low in range(0, SIGNATURE_BITS, chunk_bits)
+        ]
+        listed = df.select(F.col("sig").alias(name), F.explode(F.array(*parts)).alias("chunk"))
+        if len(flips) == 1:
+            return listed
+        every = F.explode(F.array(*[F.lit(f).cast("bigint") for f in flips]))
+        return listed.withColumn("flip", every).withColumn("chunk", F.col("chunk").bitwiseXOR(F.col("flip"))).drop("flip")
+
+    bits = sum((F.bit_count(F.element_at("a", w + 1).bitwiseXOR(F.element_at("b", w + 1))) for w in range(words)), F.lit(0))
+    # a pair may share several chunks: counted once or more, it stays one pair for a smallest distance
+    pairs = keys(left, "a", near).join(keys(right, "b", [0]), "chunk").drop("chunk")
+    return pairs.withColumn("distance", bits.cast("int")).filter(F.col("distance") <= radius)
+
+
+def _distinct_signatures(df: DataFrame, name: str) -> DataFrame:
+    usable = df.filter(F.col("sig").isNotNull() & F.col(name).isNotNull())
+    return materialize(usable.groupBy("sig").agg(F.min(name).alias("id")))
+
+
+def _words(*sides: DataFrame) -> int:
+    """The number of words of the signatures, which is the same for all."""
+    sizes = [row[0] for df in sides for row in df.select(F.size("sig")).distinct().limit(2).collect()]
+    if len(set(sizes)) > 1:
+        raise ValueError("signatures have different lengths")
+    return sizes[0] if sizes else 0
+
+
+def nearest_hamming(queries: DataFrame, rows: DataFrame, radius: int, chunk_bits: int | None = None) -> DataFrame:
+    """The closest row of every query (``qid, sig``) within ``radius`` bits: (qid, id, distance); ties to the lowest id.
+
+    ``rows`` have ``id`` and ``sig``. Equal signatures are compared once. Queries without a row so close are left out.
+    """
+    stored, asked = _distinct_signatures(rows, "id"), queries.filter(F.col("sig").isNotNull())
+    forms = materialize(asked.select("sig").distinct())
+    words = _words(forms, stored)
+    if not words:
+        return queries.sparkSession.createDataFrame([], "qid string, id string, distance int")
+    pairs = within_hamming(forms, stored, radius, words, chunk_bits).join(stored.select(F.col("sig").alias("b"), "id"), "b")
+    best = pairs.groupBy(F.col("a").alias("sig")).agg(F.min(F.struct("distance", "id")).alias("best"))
+    return asked.select("qid", "sig").join(best, "sig").groupBy("qid").agg(F.min("best").alias("best")).select(
+        "qid", F.col("best.id").alias("id"), F.col("best.distance").alias("distance")
+    )
 
 
-def mutual_nearest(left: DataFrame, right: DataFrame, max_hamming: int) -> DataFrame:
+def mutual_nearest(left: DataFrame, right: DataFrame, max_hamming: int, chunk_bits: int | None = None) -> DataFrame:
     """Pairs that are each other's closest signature, within ``max_hamming`` bits.
 
-    Both sides have ``id`` and ``sig``; equal distances go to the lowest id.
+    Both sides have ``id`` and ``sig``; equal distances go to the lowest id. Of equal signatures only the lowest id can be
+    anyone's closest, so each signature is compared once.
     """
-
-    def closest(a: DataFrame, b: DataFrame) -> DataFrame:
-        return nearest(
-            a.select(F.col("id").alias("qid"), F.col("sig").alias("key")),
-            b.select("id", F.col("sig").alias("key")),
-            kernel=hamming,
-        )
-
-    forth = closest(left, right).select(F.col("qid").alias("left_id"), F.col("id").alias("right_id"), "score")
-    back = closest(right, left).select(F.col("id").alias("left_id"), F.col("qid").alias("right_id"))
-    return (
-        forth.join(back, ["left_id", "right_id"])
-        .select("left_id", "right_id", (-F.col("score")).cast("int").alias("distance"))
-        .filter(F.col("distance") <= max_hamming)
-    )
+    one, two = _distinct_signatures(left, "id"), _distinct_signatures(right, "id")
+    words = _words(one, two)
+    if not words:
+        return left.sparkSession.createDataFrame([], "left_id string, right_id string, distance int")
+    pairs = within_hamming(one, two, max_hamming, words, chunk_bits)
+    pairs = pairs.join(one.select(F.col("sig").alias("a"), F.col("id").alias("left_id")), "a")
+    pairs = pairs.join(two.select(F.col("sig").alias("b"), F.col("id").alias("right_id")), "b")
+    # the closest of either side, whoever shares a chunk: added up before the shuffle
+    forth = pairs.groupBy("left_id").agg(F.min(F.struct("distance", "right_id")).alias("best"))
+    back = pairs.groupBy("right_id").agg(F.min(F.struct("distance", "left_id")).alias("best"))
+    forth = forth.select("left_id", F.col("best.right_id").alias("right_id"), F.col("best.distance").alias("distance"))
+    return forth.join(back.select(F.col("best.left_id").alias("left_id"), "right_id"), ["left_id", "right_id"])

@@ -83,3 +83,15 @@ def document_assets(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select(
         F.col("doc_id").cast("string").alias("id"), F.encode("text", "UTF-8").alias("content")
     )
+
+
+def item_contents(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole document texts as the assets of the catalog items of the same number."""
+    return table(spark, sf, "documents").select(visual_id("doc_id").alias("id"), F.encode("text", "UTF-8").alias("content"))
+
+
+def turn_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Every turn of a conversation with the next one."""
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
+    return turns.join(after, ["conv_id", "turn"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vernissage.functions.perturb import Perturbation, hash_unit, perturb, pick, resolve
 from vernissage.operators.index import CellIndex, search_cells
@@ -164,16 +164,45 @@ def detail_lines(detail: DataFrame, n: int = -1) -> DataFrame:
     )
 
 
-def report_lines(summary: DataFrame) -> DataFrame:
-    """One text line per perturbation: accuracy, fallback rate, mean and 95th percentile latency."""
+def _row_line(columns: tuple[tuple[str, int, str], ...]) -> Column:
     parts = [F.lit("  "), F.rpad("transform", 12, " ")]
-    for column, digits, unit in (("accuracy", 1, "%"), ("fallbacks", 1, "%"), ("avg_ms", 2, ""), ("p95_ms", 2, "")):
+    for column, digits, unit in columns:
         parts += [F.lpad(fixed(F.col(column), digits), 13, " "), F.lit(unit)]
-    return summary.select("transform", F.concat(*parts).alias("line"))
+    return F.concat(*parts)
 
 
-def write_report(summary: DataFrame, path: str) -> None:
-    """Write the summary rows as CSV and the formatted lines as text (one row per perturbation)."""
+def report_lines(summary: DataFrame, stored: DataFrame) -> DataFrame:
+    """The report as (n, line): a block for one perturbation, else a table with a row for each.
+
+    ``summary`` has a row per ``transform``; ``stored`` is the row of ``index_stats``. Fixed layout: a rule of 56 signs
+    above and below, names of 12 and figures of 13 characters.
+    """
+    rule = "=" * 56
+    if summary.count() == 1:
+        images = F.format_number(F.lit(stored.first()["n_images"]), 0)
+        figures = (
+            ("Transform:", F.col("transform")),
+            ("Vault size:", F.concat(images, F.lit(" images"))),
+            ("Evaluated:", F.concat(F.col("n").cast("string"), F.lit(" samples"))),
+            ("Accuracy:", F.concat(F.col("correct"), F.lit("/"), F.col("n"), F.lit("  ("), fixed(F.col("accuracy"), 2), F.lit("%)"))),
+            ("Fallbacks used:", F.concat(fixed(F.col("fallbacks"), 1), F.lit("%"))),
+            ("Avg latency:", F.concat(fixed(F.col("avg_ms"), 2), F.lit(" ms"))),
+            ("p95 latency:", F.concat(fixed(F.col("p95_ms"), 2), F.lit(" ms"))),
+        )
+        lines = [F.lit(rule), *[F.concat(F.lit(f"  {name:<19}"), value) for name, value in figures], F.lit(rule)]
+        return summary.select(F.posexplode(F.array(*lines)).alias("n", "line"))
+    titles = ("Accuracy", "Fallback%", "Avg ms", "p95 ms")
+    header = f"  {'Transform':<12}" + "".join(f"{title:>13}" for title in titles)
+    rows = summary.select("transform", _row_line((("accuracy", 1, "%"), ("fallbacks", 1, "%"), ("avg_ms", 2, ""), ("p95_ms", 2, ""))).alias("line"))
+    place = F.row_number().over(Window.orderBy("transform"))  # a row per perturbation
+    rows = rows.select((place + 2).alias("n"), "line")
+    fixed_lines = [(0, rule), (1, header), (2, "  " + "-" * 64), (summary.count() + 3, rule)]
+    return rows.unionByName(summary.sparkSession.createDataFrame(fixed_lines, "n int, line string"))
+
+
+def write_report(summary: DataFrame, path: str, stored: DataFrame) -> None:
+    """Write the summary rows as CSV and the report as text, line by line."""
     rows = materialize(summary)
     rows.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/summary_csv")
-    report_lines(rows).coalesce(1).select("line").write.mode("overwrite").text(f"{path}/summary_text")
+    lines = report_lines(rows, stored).coalesce(1).sortWithinPartitions("n")
+    lines.select("line").write.mode("overwrite").text(f"{path}/summary_text")

@@ -87,6 +87,25 @@ def partial(a, b):
     return f"list_max(list_transform(range(length({b})), lambda i: {ratio(a, window)}))"
 
 
+def long_ratio(source):
+    """The same for strings ``a`` and ``b`` of any length, as CTEs: words of 120 bits, and a carry from each to the next."""
+    # the first entry of the inner list carries, the others are the words so far
+    step = (
+        "list_reduce(list_transform(range(len(s)), lambda w: [s[w + 1], m[w + 1]]), lambda acc, x:"
+        " list_concat([(x[1] + (x[1] & x[2]) + acc[1]) >> 120], list_append(acc[2:],"
+        " ((x[1] + (x[1] & x[2]) + acc[1]) | (x[1] - (x[1] & x[2]))) & ((1::HUGEINT << 120) - 1))), [0::HUGEINT])[2:]"
+    )
+    return f"""split AS (SELECT *, string_split(a, '') AS xs, string_split(b, '') AS ys FROM {source}),
+cut AS (SELECT *, list_transform(range((len(ys) + 119) // 120), lambda w: ys[120 * w + 1:120 * w + 120]) AS parts FROM split),
+masked AS (SELECT *,
+    map_from_entries(list_transform(list_distinct(xs), lambda ch: (ch, list_transform(parts, lambda part:
+      coalesce(list_sum(list_transform(part, lambda c, i: CASE WHEN c = ch THEN 1::HUGEINT << (i - 1)::INT ELSE 0 END)), 0)::HUGEINT)))) AS masks,
+    list_transform(parts, lambda part: (1::HUGEINT << len(part)::INT) - 1) AS whole FROM cut),
+stepped AS (SELECT *, list_reduce(list_transform(xs, lambda ch: masks[ch]), lambda s, m: {step}, whole) AS state FROM masked),
+scored AS (SELECT *, CASE WHEN a = '' OR b = '' THEN 0 ELSE round_even(200.0::DOUBLE * (length(b)
+    - list_sum(list_transform(list_zip(state, whole), lambda p: bit_count(p[1] & p[2])))) / (length(a) + length(b)), 0)::INT END AS score FROM stepped)"""
+
+
 def unit(purpose, key, seed=42):
     return f"(('0x' || substr(md5('{seed}|{purpose}|' || {key}), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
 
@@ -203,7 +222,7 @@ LATENCY = "latency AS (SELECT 'wikiart_' || event_id AS id, value AS latency_ms
 
 def index(training="vectors"):
     return f"""cells AS (SELECT row_number() OVER (ORDER BY ord) - 1 AS cell, vec FROM {training}
-  QUALIFY cell < least(65536, greatest(16, floor(sqrt((SELECT count(*) FROM vectors)))))),
+  QUALIFY cell < greatest(16, floor(sqrt((SELECT count(*) FROM vectors))))),
 postings AS (SELECT v.id, v.vec, c.cell FROM vectors v CROSS JOIN cells c
   QUALIFY row_number() OVER (PARTITION BY v.id ORDER BY {cosine('v.vec', 'c.vec')} DESC, c.cell) = 1)"""
 
@@ -250,12 +269,12 @@ def sampled(source, seed=42):
 # ---- queries
 
 SQL["scan_catalog"] = f"WITH {CATALOG} SELECT idx, title, artist, date, genre, style, idx || '.jpg' AS filename FROM catalog"
-SQL["authority_load"] = f"WITH {AUTHORITY} SELECT name FROM authority"
+SQL["authority_load"] = "SELECT DISTINCT p_name AS name FROM part"
 SQL["authority_build"] = """WITH ranked AS (
   SELECT CASE WHEN p_size <= 5 THEN 'Q' || p_partkey ELSE p_name END AS name FROM part
   JOIN (SELECT l_partkey, count(*) AS weight FROM lineitem GROUP BY 1) ON l_partkey = p_partkey
   ORDER BY weight DESC, p_partkey LIMIT 1000),
-kept AS (SELECT DISTINCT name FROM ranked WHERE name <> '' AND name NOT LIKE 'Q%')
+kept AS (SELECT name FROM ranked WHERE name <> '' AND name NOT LIKE 'Q%')
 SELECT to_json(list(name ORDER BY name))::VARCHAR AS value FROM kept"""
 SQL["known_ids"] = r"""SELECT DISTINCT regexp_replace(list_last(string_split(regexp_replace(url, '[?#].*$', ''), '/')), '\.jpg$', '') AS id FROM pages"""
 SQL["asset_store"] = """SELECT doc_id::VARCHAR AS id, floor((('0x' || substr(md5('0|bucket|' || doc_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE) * 16)::INT AS bucket,
@@ -263,8 +282,20 @@ SQL["asset_store"] = """SELECT doc_id::VARCHAR AS id, floor((('0x' || substr(md5
 SQL["asset_fetch"] = """SELECT p_partkey::VARCHAR AS id, coalesce(strlen(text), -1)::INT AS bytes, md5(text) AS digest
 FROM (SELECT DISTINCT p_partkey FROM part) LEFT JOIN documents ON doc_id = p_partkey"""
 SQL["metadata_roundtrip"] = f"WITH {HISTORY} SELECT {META} FROM history"
-SQL["full_rebuild"] = f"WITH {MATCHED} SELECT {META} FROM metadata"
-SQL["authority_filter"] = SQL["incremental_ingest"] = SQL["stream_ingest"] = SQL["full_rebuild"]
+SQL["authority_filter"] = f"WITH {MATCHED} SELECT {META} FROM metadata"
+
+
+def dataset(training):
+    """Metadata, asset and cell of every kept item; the index is trained on the vectors of ``training``."""
+    return f"""WITH {MATCHED}, {VECTORS}, training AS ({training}), {index('training')}
+SELECT {', '.join('m.' + c for c in META.split(', '))}, coalesce(strlen(d.text), -1)::INT AS asset_bytes, coalesce(p.cell, -1)::INT AS cell
+FROM metadata m LEFT JOIN documents d ON 'wikiart_' || d.doc_id = m.id LEFT JOIN postings p ON p.id = m.id"""
+
+
+_KEPT = "SELECT v.* FROM vectors v JOIN metadata m ON v.id = m.id"
+SQL["full_rebuild"] = dataset(_KEPT)
+SQL["incremental_ingest"] = dataset(f"{_KEPT} WHERE m.genre = 'ECONOMY'")
+SQL["stream_ingest"] = dataset("SELECT * FROM vectors")
 SQL["incremental_limit"] = f"""WITH {MATCHED},
 fresh AS (SELECT {META} FROM metadata WHERE genre <> 'ECONOMY' ORDER BY idx LIMIT 200)
 SELECT {META} FROM metadata WHERE genre = 'ECONOMY' UNION ALL SELECT {META} FROM fresh"""
@@ -305,6 +336,11 @@ def pairs(a, b):
 SQL["score_token_sort"] = f"""{pairs(normal_name('artist'), normal_name('p_name'))},
 t AS (SELECT a, b, {sorted_tokens('a')} AS x, {sorted_tokens('b')} AS y FROM pairs)
 SELECT a, b, {ratio('x', 'y')} AS score FROM t"""
+SQL["score_long"] = f"""WITH turns AS (SELECT conv_id, turn, {normal_title('text')} AS a,
+    lead(text) OVER later AS answer, lead(turn) OVER later AS following FROM conversations
+    WINDOW later AS (PARTITION BY conv_id ORDER BY turn)),
+pairs AS (SELECT conv_id, turn, a, {normal_title('answer')} AS b FROM turns WHERE following = turn + 1), {long_ratio('pairs')}
+SELECT conv_id, turn, score FROM scored"""
 SQL["score_sequence"] = f"""{pairs(normal_title('artist'), normal_title("p_type || ' ' || p_name"))},
 t AS (SELECT a, b, CASE WHEN length(a) <= length(b) THEN a ELSE b END AS x, CASE WHEN length(a) <= length(b) THEN b ELSE a END AS y FROM pairs)
 SELECT a, b, greatest({ratio('x', 'y')}, {partial('x', 'y')}) AS score FROM t"""
@@ -326,13 +362,13 @@ queries AS (SELECT qid, {signature('vec')} AS sig FROM changed), stored AS (SELE
 pairs AS (SELECT qid, id, {differing('q.sig', 'v.sig')} AS distance FROM queries q CROSS JOIN stored v
   QUALIFY row_number() OVER (PARTITION BY qid ORDER BY distance, id) = 1)
 SELECT qid, id, distance FROM pairs WHERE distance <= {CONFIG.max_hamming}"""
-SQL["mutual_nn"] = f"""WITH {VECTORS}, signed AS (SELECT id, label, {signature('vec')} AS sig FROM vectors),
-pairs AS (SELECT a.id AS left_id, b.id AS right_id, {differing('a.sig', 'b.sig')} AS distance
-  FROM signed a JOIN signed b ON a.label < 5 AND b.label >= 5),
+SQL["mutual_nn"] = f"""WITH {VECTORS}, l AS (SELECT id, {signature(f"({perturbed('contrast')})")} AS sig FROM vectors),
+r AS (SELECT id, {signature('vec')} AS sig FROM vectors),
+pairs AS (SELECT l.id AS left_id, r.id AS right_id, {differing('l.sig', 'r.sig')} AS distance FROM l CROSS JOIN r),
 forth AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY left_id ORDER BY distance, right_id) = 1),
 back AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY right_id ORDER BY distance, left_id) = 1)
 SELECT left_id, right_id, f.distance, row_number() OVER (ORDER BY f.distance, left_id, right_id)::INT AS rank
-FROM forth f JOIN back USING (left_id, right_id) WHERE f.distance <= 20 ORDER BY rank LIMIT 50"""
+FROM forth f JOIN back USING (left_id, right_id) WHERE f.distance <= {CONFIG.max_hamming} ORDER BY rank LIMIT 50"""
 SQL["ivf_assign"] = f"WITH {VECTORS}, {index()} SELECT id, cell::INT AS cell, {sig_text('vec')} AS sig FROM postings"
 SQL["ivf_append"] = f"""WITH {VECTORS}, training AS (SELECT * FROM vectors WHERE label < 5), {index('training')}
 SELECT id, cell::INT AS cell, {sig_text('vec')} AS sig FROM postings"""
@@ -340,6 +376,9 @@ SQL["ivf_kmeans"] = f"""WITH {VECTORS}
 SELECT q.id AS qid, min(v.id) AS label, 1.0::DOUBLE AS confidence, false AS fallback_used
 FROM vectors q JOIN vectors v ON {cosine('q.vec', 'v.vec')} = 1.0 GROUP BY q.id"""
 SQL["ivf_search"] = f"WITH {VECTORS}, {index()}, {_CONTRAST}, {search()} SELECT qid, label, confidence, fallback_used FROM hits"
+_TWICE = f"queries AS (SELECT id AS qid, {perturbed('contrast')} AS vec FROM vectors UNION ALL SELECT id || 'a', {perturbed('aged')} FROM vectors)"
+SQL["ivf_search_joined"] = f"""WITH {VECTORS}, training AS (SELECT * FROM vectors WHERE label < 5), {index('training')}, {_TWICE}, {search()}
+SELECT qid, label, confidence, fallback_used FROM hits"""
 SQL["index_stats"] = f"""WITH {VECTORS}, {index()}
 SELECT count(DISTINCT id) AS n_images, count(*) AS n_features, count(DISTINCT cell) AS nlist, count(*) > 0 AS is_built FROM postings"""
 SQL["dedupe_last"] = f"WITH {HISTORY} SELECT {META}, ord FROM latest"
@@ -350,13 +389,10 @@ SELECT qid, CASE WHEN m.id IS NULL THEN 'unknown' ELSE label END AS artwork_id,
   coalesce(m.genre, '') AS genre, coalesce(m.style, '') AS style, coalesce(m.date, '') AS date
 FROM hits h LEFT JOIN latest m ON h.label = m.id"""
 SQL["resolve_returned"] = f"""WITH {VECTORS},
-sample AS (SELECT id, vec FROM vectors ORDER BY {sampled('id')} LIMIT 250),
-pairs AS (SELECT s.id AS qid, v.id, {cosine('s.vec', 'v.vec')} AS score FROM sample s CROSS JOIN vectors v),
+pairs AS (SELECT s.id AS qid, v.id, {cosine('s.vec', 'v.vec')} AS score FROM vectors s CROSS JOIN vectors v),
 second AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS r FROM pairs QUALIFY r = 2 OR (r = 1 AND score < 0.9)),
 detail AS (SELECT qid AS id, CASE WHEN score < 0.36 THEN 'Unknown' ELSE id END AS label FROM second),
-docs AS (SELECT 'wikiart_' || doc_id AS id, text, lang FROM documents),
-own AS (SELECT docs.id, text FROM docs JOIN sample ON docs.id = sample.id),
-store AS (SELECT id, text FROM docs WHERE lang = 'en')
+store AS (SELECT 'wikiart_' || doc_id AS id, text, doc_id FROM documents), own AS (SELECT id, text FROM store WHERE doc_id % 2 = 0)
 SELECT d.id, d.label,
   CASE WHEN d.id = d.label THEN 'same' WHEN s.id IS NOT NULL THEN 'sample' WHEN t.id IS NOT NULL AND d.label <> 'Unknown' THEN 'store' ELSE 'original' END AS origin,
   md5(CASE WHEN d.id = d.label THEN o.text ELSE coalesce(s.text, t.text, o.text) END) AS digest
@@ -365,10 +401,25 @@ FROM detail d LEFT JOIN own o ON o.id = d.id LEFT JOIN own s ON s.id = d.label L
 SQL["sample_n"] = f"WITH {HISTORY} SELECT id FROM latest ORDER BY {sampled('id')}, id LIMIT 100"
 SQL["eval_summary"] = f"WITH {evaluated(['contrast'])} SELECT {RATES} FROM detail"
 SQL["eval_matrix"] = f"WITH {evaluated(EVAL)} SELECT transform, {RATES} FROM detail GROUP BY transform"
-SQL["eval_report"] = f"""WITH {evaluated(ALL)}, summary AS (SELECT transform, 100 * avg(correct::INT) AS accuracy,
-  100 * avg(fallback_used::INT) AS fallbacks, avg(latency_ms) AS avg_ms, quantile_cont(latency_ms, 0.95) AS p95_ms FROM detail GROUP BY transform)
-SELECT '  ' || rpad(transform, 12, ' ') || lpad({fixed('accuracy', 1)}, 13, ' ') || '%' || lpad({fixed('fallbacks', 1)}, 13, ' ') || '%'
-  || lpad({fixed('avg_ms', 2)}, 13, ' ') || lpad({fixed('p95_ms', 2)}, 13, ' ') AS line FROM summary"""
+
+
+def summarized(transforms):
+    return f"""WITH {evaluated(transforms)}, stored AS (SELECT count(DISTINCT id) AS n_images FROM postings),
+summary AS (SELECT transform, count(*) AS n, sum(correct::INT)::BIGINT AS correct, 100 * avg(correct::INT) AS accuracy,
+  100 * avg(fallback_used::INT) AS fallbacks, avg(latency_ms) AS avg_ms, quantile_cont(latency_ms, 0.95) AS p95_ms FROM detail GROUP BY transform)"""
+
+
+_RULE = f"'{'=' * 56}'"
+SQL["eval_report"] = f"""SELECT 'table' AS layout, unnest([{_RULE}, '  Transform        Accuracy    Fallback%       Avg ms       p95 ms', '  ' || repeat('-', 64)]
+  || (SELECT list(line ORDER BY transform) FROM ({summarized(ALL)}
+    SELECT transform, '  ' || rpad(transform, 12, ' ') || lpad({fixed('accuracy', 1)}, 13, ' ') || '%' || lpad({fixed('fallbacks', 1)}, 13, ' ') || '%'
+      || lpad({fixed('avg_ms', 2)}, 13, ' ') || lpad({fixed('p95_ms', 2)}, 13, ' ') AS line FROM summary)) || [{_RULE}]) AS line
+UNION ALL
+SELECT 'block', unnest(lines) FROM ({summarized(['contrast'])}
+  SELECT [{_RULE}, '  Transform:         ' || transform, '  Vault size:        ' || format('{{:,}}', n_images) || ' images',
+    '  Evaluated:         ' || n || ' samples', '  Accuracy:          ' || correct || '/' || n || '  (' || {fixed('accuracy', 2)} || '%)',
+    '  Fallbacks used:    ' || {fixed('fallbacks', 1)} || '%', '  Avg latency:       ' || {fixed('avg_ms', 2)} || ' ms',
+    '  p95 latency:       ' || {fixed('p95_ms', 2)} || ' ms', {_RULE}] AS lines FROM summary, stored)"""
 SQL["eval_latency"] = """SELECT event_type, count(value) AS n, round(avg(value), 6) AS avg_ms, round(quantile_cont(value, 0.95), 6) AS p95_ms
 FROM events GROUP BY event_type"""
 _PLACE = "CASE WHEN rank > 999 THEN rank::VARCHAR ELSE lpad(rank::VARCHAR, 3, '0') END"

@@ -13,7 +13,7 @@ from vernissage.operators import lookup, matching, sampling, titles, vectors as
 from vernissage.plans import bindings as b
 from vernissage.plans import evaluate as ev
 from vernissage.plans import report
-from vernissage.plans.ingest import IngestConfig, run_incremental, run_rebuild
+from vernissage.plans.ingest import IngestConfig, open_dataset, run_incremental, run_rebuild
 from vernissage.schema import ARTIST_THRESHOLD, INGEST_THRESHOLD, UNKNOWN_LABEL, SearchConfig
 from vernissage.session import materialize, scratch_dir
 from vernissage.sources import assets, authority as auth, catalog as cat
@@ -43,7 +43,7 @@ def scan_catalog(spark, sf):
 @query
 def authority_load(spark, sf):
     path = scratch_dir(spark)
-    auth.write_authority(b.authority(spark, sf), path)
+    auth.write_authority(b.table(spark, sf, "part").select(F.col("p_name").alias("name")), path)
     return auth.load_authority(spark, path)
 
 
@@ -59,7 +59,7 @@ def _ranked_labels(spark, sf):
 
 @query
 def authority_build(spark, sf):
-    return auth.authority_json(auth.top_names(_ranked_labels(spark, sf), 1000).select("name").distinct())
+    return auth.authority_json(auth.top_names(_ranked_labels(spark, sf), 1000).select("name"))
 
 
 @query
@@ -95,27 +95,44 @@ def metadata_roundtrip(spark, sf):
     return cat.load_metadata(spark, path)
 
 
+def _dataset_rows(spark, path):
+    """Every id that any of the three tables of a dataset holds, with what each of them has; -1 for nothing."""
+    data = open_dataset(spark, path)
+    assets = data.assets.select("id", F.octet_length("content").alias("asset_bytes"))
+    rows = data.metadata.join(assets, "id", "full").join(data.index.postings.select("id", "cell"), "id", "full")
+    return rows.fillna(-1, ["asset_bytes", "cell"])
+
+
+def _tables(spark, sf) -> dict:
+    """Assets and vectors of all items, and the training of an index over those that are kept."""
+    vectors = b.vectors(spark, sf)
+    cells = _cells(vectors)
+    return {"contents": b.item_contents(spark, sf), "vectors": vectors, "train": lambda kept: ix.train_seeded(kept, cells)}
+
+
 @query
 def full_rebuild(spark, sf):
-    path = scratch_dir(spark)
-    cat.write_metadata(b.metadata_history(spark, sf), path)  # an older table, to be replaced
-    return run_rebuild(b.catalog(spark, sf), b.authority(spark, sf), path, EVERYTHING)
+    path, items, known = scratch_dir(spark), b.catalog(spark, sf), materialize(b.authority(spark, sf))
+    older = items.withColumn("genre", F.lit("older")).filter("idx % 3 = 0")
+    run_rebuild(older, known, path, EVERYTHING, **_tables(spark, sf))  # a dataset of other items, to be replaced
+    run_rebuild(items, known, path, EVERYTHING, **_tables(spark, sf))
+    return _dataset_rows(spark, path)
 
 
-def _after_update(spark, sf, config):
+def _after_update(spark, sf, config, **tables):
     path, items, known = scratch_dir(spark), b.catalog(spark, sf), materialize(b.authority(spark, sf))
-    run_rebuild(items.filter(F.col("genre") == "ECONOMY"), known, path, EVERYTHING)
-    return run_incremental(items, known, path, config)[0]
+    run_rebuild(items.filter(F.col("genre") == "ECONOMY"), known, path, EVERYTHING, **tables)
+    return path, run_incremental(items, known, path, config, **tables)[0]
 
 
 @query
 def incremental_ingest(spark, sf):
-    return _after_update(spark, sf, EVERYTHING)
+    return _dataset_rows(spark, _after_update(spark, sf, EVERYTHING, **_tables(spark, sf))[0])
 
 
 @query
 def incremental_limit(spark, sf):
-    return _after_update(spark, sf, IngestConfig(limit=200))
+    return _after_update(spark, sf, IngestConfig(limit=200))[1]
 
 
 @query
@@ -125,8 +142,11 @@ def stream_ingest(spark, sf):
     # several files, taken one or two at a time
     items.repartitionByRange(4, "idx").write.parquet(f"{root}/raw")
     source = spark.readStream.schema(items.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/raw")
-    stream.start_ingest(source, known, f"{root}/out", f"{root}/progress").awaitTermination()
-    return stream.load_ingested(spark, f"{root}/out")
+    vectors = b.vectors(spark, sf)
+    centroids = materialize(ix.train_seeded(vectors, _cells(vectors)))
+    tables = {"vectors": vectors, "centroids": centroids, "contents": b.item_contents(spark, sf)}
+    stream.start_ingest(source, known, f"{root}/out", f"{root}/progress", **tables).awaitTermination()
+    return _dataset_rows(spark, f"{root}/out")
 
 
 # ---- projections and name matching
@@ -224,6 +244,13 @@ def score_token_sort(spark, sf):
     return pairs.select("a", "b", similarity.token_sort_score(F.col("a"), F.col("b")).alias("score"))
 
 
+@query
+def score_long(spark, sf):
+    """Strings of up to some thousand characters: every turn of a conversation against the next."""
+    pairs = b.turn_pairs(spark, sf).select("conv_id", "turn", text.normalize_title("text").alias("a"), text.normalize_title("answer").alias("b"))
+    return pairs.select("conv_id", "turn", similarity.indel_ratio("a", "b").alias("score"))
+
+
 @query
 def score_sequence(spark, sf):
     pairs = _name_pairs(spark, sf, text.normalize_title, F.concat("p_type", F.lit(" "), "p_name"))
@@ -254,7 +281,7 @@ def knn_exact(spark, sf):
 
 @query
 def knn_tiled(spark, sf):
-    """The branch for many queries, with ids stored twice and queries asked twice under one name."""
+    """More queries than travel to the rows at once, with ids stored twice and queries asked twice under one name."""
     asked = _one_transform(spark, sf, "contrast").unionByName(_one_transform(spark, sf, "brightness"))
     stored = b.vectors(spark, sf).select("id", "vec").unionByName(_one_transform(spark, sf, "aged").withColumnRenamed("qid", "id"))
     stored = stored.select("id", F.col("vec").alias("key"))
@@ -264,22 +291,18 @@ def knn_tiled(spark, sf):
 
 @query
 def hamming_search(spark, sf):
-    asked = _one_transform(spark, sf, "brightness").select("qid", vx.signature("vec").alias("key"))
-    changed = _one_transform(spark, sf, "contrast").select(F.concat("qid", F.lit("c")).alias("qid"), vx.signature("vec").alias("key"))
-    stored = b.vectors(spark, sf).select("id", vx.signature("vec").alias("key"))
-    hits = vx.nearest(asked.unionByName(changed), stored, kernel=vx.hamming)
-    near = hits.select("qid", "id", (-F.col("score")).cast("int").alias("distance"))
-    return near.filter(F.col("distance") <= SearchConfig().max_hamming)
-
-
-def _halves(spark, sf):
-    signed = b.vectors(spark, sf).select("id", vx.signature("vec").alias("sig"), "label")
-    return signed.filter("label < 5").select("id", "sig"), signed.filter("label >= 5").select("id", "sig")
+    asked = _one_transform(spark, sf, "brightness").select("qid", vx.signature("vec").alias("sig"))
+    changed = _one_transform(spark, sf, "contrast").select(F.concat("qid", F.lit("c")).alias("qid"), vx.signature("vec").alias("sig"))
+    stored = b.vectors(spark, sf).select("id", vx.signature("vec").alias("sig"))
+    return vx.nearest_hamming(asked.unionByName(changed), stored, SearchConfig().max_hamming)
 
 
 @query
 def mutual_nn(spark, sf):
-    pairs = vx.mutual_nearest(*_halves(spark, sf), max_hamming=20)
+    """Changed items against the stored ones, within the bound of the search."""
+    changed = _one_transform(spark, sf, "contrast").select(F.col("qid").alias("id"), vx.signature("vec").alias("sig"))
+    stored = b.vectors(spark, sf).select("id", vx.signature("vec").alias("sig"))
+    pairs = vx.mutual_nearest(changed, stored, max_hamming=SearchConfig().max_hamming)
     best = pairs.orderBy("distance", "left_id", "right_id").limit(50)
     place = Window.orderBy("distance", "left_id", "right_id")  # over the 50 kept pairs
     return best.withColumn("rank", F.row_number().over(place))
@@ -287,7 +310,7 @@ def mutual_nn(spark, sf):
 
 def _cells(vectors: DataFrame) -> int:
     """The number of cells grows with the square root of the data."""
-    return min(ix.MAX_CELLS, max(16, int(vectors.count() ** 0.5)))
+    return max(16, int(vectors.count() ** 0.5))
 
 
 def _index(spark, sf, vectors: DataFrame | None = None) -> tuple[str, ix.CellIndex]:
@@ -327,6 +350,19 @@ def ivf_search(spark, sf):
     return hits.select("qid", "label", "confidence", "fallback_used")
 
 
+@query
+def ivf_search_joined(spark, sf):
+    """More queries than travel to the postings at once, after an append, against a compacted index."""
+    vectors = b.vectors(spark, sf)
+    path = scratch_dir(spark)
+    ix.build_index(vectors.filter("label < 5"), path, _cells(vectors), seeded=True)
+    ix.append_index(vectors.filter("label >= 5"), path)
+    ix.compact_index(spark, path)
+    asked = _one_transform(spark, sf, "contrast").unionByName(_one_transform(spark, sf, "aged").withColumn("qid", F.concat("qid", F.lit("a"))))
+    hits = ix.search_cells(ix.load_index(spark, path), asked, probe_bytes=0)
+    return hits.select("qid", "label", "confidence", "fallback_used")
+
+
 @query
 def index_stats(spark, sf):
     return ix.index_stats(_index(spark, sf)[1])
@@ -345,14 +381,13 @@ def search_lookup(spark, sf):
 
 @query
 def resolve_returned(spark, sf):
+    """Every stored vector asked; items of even number are the sample that holds its contents, all documents the store."""
     stored = b.vectors(spark, sf).select("id", F.col("vec").alias("key"))
-    sample = materialize(sampling.sample_n(stored, 250))
-    second = vx.nearest(sample.select(F.col("id").alias("qid"), "key"), stored, k=2).filter("rank = 2 or score < 0.9")
+    second = vx.nearest(stored.select(F.col("id").alias("qid"), "key"), stored, k=2).filter("rank = 2 or score < 0.9")
     label = F.when(F.col("score") < 0.36, F.lit(UNKNOWN_LABEL)).otherwise(F.col("id"))
     detail = second.select(F.col("qid").alias("id"), label.alias("label"))
-    docs = b.table(spark, sf, "documents").select(cat.visual_id("doc_id").alias("id"), F.col("text").alias("content"), "lang")
-    own = docs.select("id", "content").join(sample.select("id"), "id", "left_semi")
-    out = lookup.resolve_returned(detail, own, docs.filter("lang = 'en'").select("id", "content"))
+    docs = b.table(spark, sf, "documents").select(cat.visual_id("doc_id").alias("id"), F.col("text").alias("content"), "doc_id")
+    out = lookup.resolve_returned(detail, docs.filter("doc_id % 2 = 0").select("id", "content"), docs.select("id", "content"))
     return out.select("id", "label", "origin", F.md5(F.encode("content", "UTF-8")).alias("digest"))
 
 
@@ -388,9 +423,14 @@ def eval_matrix(spark, sf):
 
 @query
 def eval_report(spark, sf):
-    path = scratch_dir(spark)
-    ev.write_report(ev.eval_summary(_eval(spark, sf, "all"), ["transform"]), path)
-    return spark.read.text(f"{path}/summary_text").select(F.col("value").alias("line"))
+    """Both layouts: the table over all perturbations and the block for one."""
+    stats, out = ix.index_stats(_index(spark, sf)[1]), None
+    for layout, transforms in (("table", "all"), ("block", "contrast")):
+        path = scratch_dir(spark)
+        ev.write_report(ev.eval_summary(_eval(spark, sf, transforms), ["transform"]), path, stats)
+        lines = spark.read.text(f"{path}/summary_text").select(F.lit(layout).alias("layout"), F.col("value").alias("line"))
+        out = lines if out is None else out.unionByName(lines)
+    return out
 
 
 @query

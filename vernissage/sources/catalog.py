@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from vernissage.functions.text import or_default
 from vernissage.schema import META_SCHEMA, RAW_SCHEMA, SOURCE, SOURCE_URL, UNKNOWN_TITLE
+from vernissage.sources.manifest import read_if_there
 
 
 def open_catalog(spark: SparkSession, path: str) -> DataFrame:
@@ -45,11 +45,9 @@ def to_metadata(records: DataFrame) -> DataFrame:
 
 
 def load_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """The metadata table; empty if there is none yet."""
-    try:
-        return spark.read.schema(META_SCHEMA).parquet(path).select(META_SCHEMA.names)
-    except AnalysisException:
-        return spark.createDataFrame([], META_SCHEMA)
+    """The metadata table; empty if there is none yet. A folder that cannot be read is an error."""
+    rows = read_if_there(spark, META_SCHEMA, path)
+    return spark.createDataFrame([], META_SCHEMA) if rows is None else rows.select(META_SCHEMA.names)
 
 
 def write_metadata(metadata: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -4,36 +4,11 @@ from __future__ import annotations
 
 import json
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from vernissage.operators.index import assign_cells
-from vernissage.plans.ingest import IngestConfig, new_items
-from vernissage.schema import META_SCHEMA
+from vernissage.plans.ingest import IngestConfig, Train, add_items, new_metadata, open_dataset
 from vernissage.session import materialize
-from vernissage.sources.catalog import standard_schema, to_metadata
-
-
-def _read(spark: SparkSession, schema, path: str) -> DataFrame | None:
-    """A table, or nothing if it has not been written yet; any other trouble is an error."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-
-
-def _stored(spark: SparkSession, path: str, run: str, batch_id: int) -> DataFrame | None:
-    """Ids written by other batches; a replayed batch must not see its own earlier try."""
-    rows = _read(spark, "id string, run string, batch bigint", path)
-    return rows if rows is None else rows.filter((F.col("run") != run) | (F.col("batch") != batch_id)).select("id")
-
-
-def _write_batch(rows: DataFrame, path: str, run: str, batch_id: int, by: list[str]) -> None:
-    # one folder per batch of a run, overwritten on replay, so a crash between two writes leaves no duplicates
-    rows.write.mode("overwrite").partitionBy(*by).parquet(f"{path}/run={run}/batch={batch_id}")
 
 
 def ingest_batch(
@@ -45,27 +20,28 @@ def ingest_batch(
     vectors: DataFrame | None = None,
     centroids: DataFrame | None = None,
     run: str = "direct",
+    contents: DataFrame | None = None,
 ) -> int:
     """Store the unseen items of one micro-batch; returns how many were added.
 
-    ``run`` names the stream that counts the batches: batches of another run are
-    never overwritten. The limit counts rows over all batches. With ``vectors`` (``id``, ``vec``) and
-    trained ``centroids`` the new items' vectors join the index as well.
+    ``run`` names the stream that counts the batches. A batch is one commit of metadata, assets (``contents``: ``id``,
+    ``content``) and index (``vectors``: ``id``, ``vec``, with trained ``centroids``), which also notes the run's last
+    batch: a batch that comes again after its commit is left alone, and one that died before it has left nothing to see.
+    The limit counts rows over all batches.
     """
-    spark = items.sparkSession
-    known = _stored(spark, f"{path}/metadata", run, batch_id)
+    stored = open_dataset(items.sparkSession, path)
+    last, count = f"batch of {run}", f"rows of {run}"
+    if stored.version.figures.get(last, -1) >= batch_id:
+        return stored.version.figures[count] if stored.version.figures[last] == batch_id else 0
     left = config.limit
-    if left >= 0 and known is not None:
-        left = max(0, left - known.count())
+    if left >= 0:
+        left = max(0, left - stored.metadata.count())
     fresh = items.dropDuplicates(["idx"])
-    delta = materialize(to_metadata(standard_schema(new_items(fresh, authority, known, IngestConfig(left, config.threshold)))))
+    delta = materialize(new_metadata(fresh, authority, stored.metadata, IngestConfig(left, config.threshold)))
     added = delta.count()
-    if not added:
-        return 0
-    _write_batch(delta, f"{path}/metadata", run, batch_id, [])
-    if vectors is not None and centroids is not None:
-        mine = vectors.join(delta.select("id"), "id", "left_semi")
-        _write_batch(assign_cells(mine, centroids).select("id", "vec", "sig", "cell"), f"{path}/postings", run, batch_id, ["cell"])
+    if added:
+        train: Train = lambda _: centroids
+        add_items(delta, path, stored.version, True, contents, vectors if centroids is not None else None, train, {last: batch_id, count: added})
     return added
 
 
@@ -77,6 +53,7 @@ def start_ingest(
     config: IngestConfig = IngestConfig(limit=-1),
     vectors: DataFrame | None = None,
     centroids: DataFrame | None = None,
+    contents: DataFrame | None = None,
 ) -> StreamingQuery:
     """Run everything the stream holds now and stop; call again to pick up what came later.
 
@@ -87,7 +64,7 @@ def start_ingest(
     def on_batch(items: DataFrame, batch_id: int) -> None:
         # the checkpoint names the run: the same after a restart, another one with a new checkpoint
         run = json.loads(items.sparkSession.read.text(f"{checkpoint}/metadata").first()["value"])["id"]
-        ingest_batch(items, batch_id, authority, path, config, vectors, centroids, run)
+        ingest_batch(items, batch_id, authority, path, config, vectors, centroids, run, contents)
 
     return (
         source.writeStream.foreachBatch(on_batch)
@@ -99,5 +76,4 @@ def start_ingest(
 
 def load_ingested(spark: SparkSession, path: str) -> DataFrame:
     """The metadata written so far."""
-    rows = _read(spark, META_SCHEMA, f"{path}/metadata")
-    return spark.createDataFrame([], META_SCHEMA) if rows is None else rows.select(META_SCHEMA.names)
+    return open_dataset(spark, path).metadata
