@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from vernissage.llm.common import carried, named, tidy, whole
+from vernissage.llm.common import carried, hash128, named, tidy, whole
 from vernissage.llm.components import connected_components, roots
 from vernissage.session import materialize
 
@@ -179,23 +179,25 @@ def drop_near_copies(
 ) -> DataFrame:
     """One row of each component of ``simhash_groups``: the smallest identifier stays, a null one comes last.
 
-    Rows are told apart by their place in a written copy of ``docs``, so of rows that share an identifier, or are equal
-    altogether, exactly one stays if they are near copies, and each stays if their texts are not. A null text counts as
-    empty; empty texts are copies of one another. An empty table gives an empty result. All columns are passed on as they
-    are, whatever their names.
+    Rows are told apart by identifier and text, as 128 bits of hash, so of rows that share an identifier exactly one stays
+    if they are near copies, and each stays if their texts are not. Of rows that repeat both, one stays, whichever. A null
+    text counts as empty; empty texts are copies of one another. An empty table gives an empty result. All columns are
+    passed on as they are, whatever their names.
     """
     columns = carried(docs, None, [])
-    stored = docs.select(
-        F.struct(*[named(c).alias(f"c{i}") for i, c in enumerate(columns)]).alias("row"), F.monotonically_increasing_id().alias("place")
-    )
-    stored = materialize(stored)
-    text = F.col(f"row.c{[c.lower() for c in columns].index(text_col.lower())}")
-    own = F.col(f"row.c{[c.lower() for c in columns].index(id_col.lower())}")
-    key = F.struct(own.isNull().alias("no_id"), own.alias("id"), F.col("place"))
-    rows = materialize(fingerprints(stored.select(key.alias("key"), text.alias("text")), "key", "text", words))
+    h1, h2 = hash128(named(id_col), whole(text_col))
+    key = F.struct(named(id_col).isNull().alias("no_id"), named(id_col).alias("id"), h1.alias("h1"), h2.alias("h2"))
+    rows = materialize(fingerprints(docs.select(key.alias("key"), whole(text_col).alias("text")), "key", "text", words))
     least = _components(rows, radius, tile_rows)
     first = least.groupBy("component").agg(F.min("least").alias("stays"))
-    prints = least.join(first, "component").select("fp", F.col("stays.place").alias("stays"))
-    dropped = rows.join(prints, "fp").filter(F.col("id.place") != F.col("stays")).select(F.col("id.place").alias("place"))
-    left = stored.join(materialize(dropped), "place", "left_anti")
+    prints = least.join(first, "component").select("fp", F.col("stays.h1").alias("s1"), F.col("stays.h2").alias("s2"))
+    judged = rows.join(prints, "fp").select(F.col("id.h1").alias("h1"), F.col("id.h2").alias("h2"), "s1", "s2")
+    stays = (F.col("h1") == F.col("s1")) & (F.col("h2") == F.col("s2"))
+    dropped = materialize(judged.filter(~stays).select("h1", "h2").distinct())
+    repeated = materialize(judged.filter(stays).groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("h1", "h2"))
+    keyed = docs.select(F.struct(*[named(c).alias(f"c{i}") for i, c in enumerate(columns)]).alias("row"), h1.alias("h1"), h2.alias("h2"))
+    left = keyed.join(dropped, ["h1", "h2"], "left_anti")
+    if not repeated.isEmpty():
+        once = left.join(repeated, ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"])
+        left = left.join(repeated, ["h1", "h2"], "left_anti").unionByName(once)
     return left.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(columns)])
