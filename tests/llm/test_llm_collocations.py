@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from vernissage.llm import collocations as module
-from vernissage.llm.collocations import PhraseTrie, WordBook, _counted, collocations
+from vernissage.llm.collocations import PhraseTrie, WordBook, _counted, collocations, plain
 
 
 def brute(rows, most_words=5, least=100, percent=100, top=2000):
@@ -55,7 +55,7 @@ def test_collocations_match_brute_force(spark, rows, least, percent, most_words,
 
 
 def test_small_memory_spills_and_gives_the_same(spark, rows, monkeypatch):
-    for name, value in {"_MOST_PHRASES": 40, "_BURST": 3, "_MOST_WORDS": 9, "_BLOCK": 50, "_BYTES": 100}.items():
+    for name, value in {"_MOST_PHRASES": 40, "_BURST": 3, "_MOST_WORDS": 6, "_BLOCK": 50, "_BYTES": 100}.items():
         monkeypatch.setattr(module, name, value)
     check(spark, rows, least=5)
 
@@ -90,6 +90,7 @@ def test_trie_counts_bursts_and_spills_whole_subtrees(monkeypatch):
 
 
 def test_words_of_a_text():
-    book = WordBook()
-    parts = list(book.numbers(b"en", "A b,a\t c\n\n É".encode()))
-    assert np.concatenate(parts).tolist() == [2, 3, 1, 2, 4, 1, 1, 5, 1] and book.words[2:] == [b"a", b"b", b"c", "É".encode()]
+    book, every = WordBook(), np.full(module._FILTER_BITS >> 3, 255, np.uint8)
+    parts = list(plain("A b,a\t c\n\n É".encode()))
+    assert book.numbers(b"en", b" \n ".join(parts), every).tolist() == [2, 3, 1, 2, 4, 1, 1, 5, 1] and book.words[2:] == [b"a", b"b", b"c", "É".encode()]
+    assert WordBook().numbers(b"en", b"a b \n a", every * 0).tolist() == [1, 1, 1, 1, 1]

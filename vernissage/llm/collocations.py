@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,62 +19,79 @@ from vernissage.session import materialize
 _PLAIN = bytes.maketrans((UPPER + "\t.,;:!?\x0b\x0c\r").encode(), (LOWER + " " + "\n" * 9).encode())
 #: Numbers that stand for an empty string between two spaces and for the end of a piece.
 _NOTHING, _END = 0, 1
-#: Bytes of a text and words that are handled at once; texts are cut between pieces only.
-_BYTES, _BLOCK = 1 << 20, 1 << 20
-#: Words and bytes of words that a task numbers before it starts again, phrases that it holds, and those of one container.
-_MOST_WORDS, _MOST_BYTES, _MOST_PHRASES, _BURST = 500_000, 64 << 20, 600_000, 4096
+#: Bytes of a text, and of texts, that are handled at once; texts are cut between pieces only.
+_BYTES, _BLOCK = 1 << 20, 6 << 20
+#: Words that a task numbers before it starts again, words or phrases that it holds, and those of one container.
+_MOST_WORDS, _MOST_PHRASES, _BURST = 400_000, 700_000, 4096
 #: Word numbers take so many bits where several are packed.
 _BITS = 21
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
-_RUNS = "lang string, prefix string, rest string, words int, n bigint"
+_POWERS = np.cumprod(np.full(4096, _ODD[0]))
+#: Language, line feed and the first word, or the first two of three and more; the other words; how often.
+_RUNS = "prefix string, rest string, n bigint"
 
 
-class _Numbers(dict):
-    """The numbers of one language's words."""
+def plain(text: bytes) -> Iterator[bytes]:
+    """A text in parts that end with a piece: words between spaces, line feeds of their own between pieces."""
+    text, at = text.translate(_PLAIN), 0
+    while at < len(text):
+        end = text.find(b"\n", at + _BYTES)
+        end = len(text) if end < 0 else end
+        yield text[at:end].replace(b"\n", b" \n ")
+        at = end + 1
 
-    def __init__(self, book: WordBook, lang: bytes) -> None:
-        super().__init__({b"": _NOTHING, b"\n": _END})
-        self.book, self.lang = book, lang
 
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = self.book.add(self.lang, word)
-        return number
+def split(text: bytes) -> tuple[pa.Array, np.ndarray]:
+    """The different words of a plain text, line feeds and empty strings among them, and which of them stands where."""
+    words = pc.split_pattern(pa.array([text], pa.binary()), b" ").flatten().dictionary_encode()
+    return words.dictionary, words.indices.to_numpy()
 
 
-class WordBook:
-    """Numbers that a task gives to words, each with its language and hash."""
+def lang_hash(lang: bytes) -> np.uint64:
+    return np.uint64(xxhash.xxh64_intdigest(lang))
 
-    def __init__(self) -> None:
-        self.langs, self.words, self.hashes, self.size = [b"", b""], [b"", b""], array("Q", [0, 0]), 0
-        self.by_lang: dict[bytes, _Numbers] = {}
 
-    def add(self, lang: bytes, word: bytes) -> int:
-        self.langs.append(lang)
-        self.words.append(word)
-        self.hashes.append(word_hash(lang, word))
-        self.size += len(word)
-        return len(self.words) - 1
+def _lengths(words: pa.Array) -> np.ndarray:
+    return np.diff(np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1])
 
-    def full(self) -> bool:
-        return len(self.words) > _MOST_WORDS or self.size > _MOST_BYTES
 
-    def numbers(self, lang: bytes, text: bytes) -> Iterator[np.ndarray]:
-        """The words of a text as numbers, with ``_END`` between pieces and at the end, in parts that end with a piece."""
-        text, at = text.translate(_PLAIN), 0
-        while at < len(text):
-            known = self.by_lang.get(lang)  # the book may have started again since the last part
-            if known is None:
-                known = self.by_lang[lang] = _Numbers(self, lang)
-            end = text.find(b"\n", at + _BYTES)
-            end = len(text) if end < 0 else end
-            parts = text[at:end].replace(b"\n", b" \n ").split(b" ")
-            found = np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
-            yield np.append(found[found != _NOTHING], _END)
-            at = end + 1
+def word_hashes(words: pa.Array, lang: np.uint64 | np.ndarray) -> np.ndarray:
+    """Hashes of words by their bytes and the hash of their language."""
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    starts, lengths = offsets[:-1] - offsets[0], np.diff(offsets)
+    place = (np.arange(len(data)) - np.repeat(starts, lengths)) & (len(_POWERS) - 1)
+    value = np.append((data.astype(np.uint64) + np.uint64(1)) * _POWERS[place], np.uint64(0))
+    total = np.add.reduceat(value, starts) if len(starts) else np.zeros(0, np.uint64)
+    return _mix(np.where(lengths > 0, total, 0).astype(np.uint64) ^ lang)
 
 
-def word_hash(lang: bytes, word: bytes) -> int:
-    return xxhash.xxh64_intdigest(lang + b"\n" + word)
+class WordBook:
+    """Numbers that a task gives to words that may be frequent, each with its language and hash."""
+
+    def __init__(self) -> None:
+        self.langs, self.words, self.hashes, self.by_lang = [b"", b""], [b"", b""], [0, 0], {}
+
+    def full(self) -> bool:
+        return len(self.words) > _MOST_WORDS
+
+    def numbers(self, lang: bytes, text: bytes, bits: np.ndarray) -> np.ndarray:
+        """The words of a plain text that pass the filter ``bits`` as numbers; rare words and ends of pieces are ``_END``."""
+        known, (words, which) = self.by_lang.setdefault(lang, {}), split(text)
+        hashes = word_hashes(words, lang_hash(lang))
+        frequent = np.flatnonzero(_known(bits, hashes) & ~pc.equal(words, b"\n").to_numpy(zero_copy_only=False) & (_lengths(words) > 0))
+        table = np.full(len(words), _END)
+        table[_lengths(words) == 0] = _NOTHING
+        for i, word in zip(frequent.tolist(), words.take(pa.array(frequent)).to_pylist()):
+            number = known.get(word)
+            if number is None:
+                number = known[word] = len(self.words)
+                self.langs.append(lang)
+                self.words.append(word)
+                self.hashes.append(int(hashes[i]))
+            table[i] = number
+        found = table[which]
+        return np.append(found[found != _NOTHING], _END)
 
 
 def phrase_hashes(hashes: np.ndarray) -> np.ndarray:
@@ -130,10 +146,15 @@ class PhraseTrie:
                 self.roots[head] = [True, children]
 
     def spill(self, most: int) -> tuple[np.ndarray, np.ndarray]:
-        """Whole subtrees, the largest first, until at most ``most`` phrases stay: their phrases and counts."""
-        sizes = {h: sum(map(len, t.values())) if branched else len(t) for h, (branched, t) in self.roots.items()}
+        """Whole subtrees, those with the lowest counts first, until at most ``most`` phrases stay: their phrases and counts.
+
+        What is often met stays, so that it is spilled as rarely as can be.
+        """
+        leaves = {h: [*t.values()] if branched else [t] for h, (branched, t) in self.roots.items()}
+        sizes = {h: sum(map(len, parts)) for h, parts in leaves.items()}
+        heat = {h: sum(sum(part.values()) for part in parts) / sizes[h] for h, parts in leaves.items()} if most else sizes
         heads, keys, counts = [], [], []
-        for head in sorted(sizes, key=sizes.get, reverse=True):
+        for head in sorted(heat, key=heat.get):
             if self.size <= most:
                 break
             branched, table = self.roots.pop(head)
@@ -165,17 +186,18 @@ def _counted(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _run(book: WordBook, rows: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Phrases as a run in the order of their words; the first two words are the prefix."""
+    """Phrases as a run in the order of their words, cut into prefix and rest."""
     if not len(rows):
         return
     words = pa.array(book.words, pa.binary())
     columns = [words.take(pa.array(c)).cast(pa.string()) for c in rows.T]
-    prefix = pc.binary_join_element_wise(*columns[:2], " ") if len(columns) > 1 else columns[0]
-    rest = pc.binary_join_element_wise(*columns[2:], " ") if len(columns) > 2 else pa.array([""] * len(rows), pa.string())
     lang = pa.array(book.langs, pa.binary()).take(pa.array(rows[:, 0])).cast(pa.string())
-    width = pa.array(np.full(len(rows), len(columns), np.int32))
-    table = pa.table([lang, prefix, rest, width, pa.array(counts)], names=["lang", "prefix", "rest", "words", "n"])
-    yield from table.sort_by([("lang", "ascending"), ("prefix", "ascending"), ("rest", "ascending")]).to_batches(max_chunksize=100_000)
+    prefix, deep = pc.binary_join_element_wise(lang, columns[0], "\n"), min(2, len(columns) - 1)
+    if deep == 2:
+        prefix = pc.binary_join_element_wise(prefix, columns[1], " ")
+    rest = pc.binary_join_element_wise(*columns[deep:], " ") if len(columns) > deep + 1 else columns[deep]
+    table = pa.table([prefix, rest, pa.array(counts)], names=["prefix", "rest", "n"])
+    yield from table.sort_by([("prefix", "ascending"), ("rest", "ascending")]).to_batches(max_chunksize=100_000)
 
 
 def _known(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -189,94 +211,110 @@ def _both(at: np.ndarray) -> np.ndarray:
     return out
 
 
-def _counts(docs: DataFrame, widths: list[int], filters: list[Broadcast]) -> DataFrame:
-    """Counts of the phrases of ``widths`` words all of whose shorter parts pass the filters of their width.
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[bytes, bytes]]:
+    """Plain texts of each language, some ``_BLOCK`` bytes at a time."""
+    held, size = {}, 0
+    for batch in batches:
+        for lang, text in zip(batch.column(0), batch.column(1)):
+            lang = lang.as_py().encode()
+            for part in plain(text.as_py().encode()):
+                held.setdefault(lang, []).append(part)
+                size += len(part)
+                if size >= _BLOCK:
+                    yield {key: b" \n ".join(parts) for key, parts in held.items()}
+                    held, size = {}, 0
+    if size:
+        yield {key: b" \n ".join(parts) for key, parts in held.items()}
 
-    A single word has no such parts. With it comes the number of all words of a language, as the empty word.
-    """
 
-    def blocks(book: WordBook, batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        held, size = [np.array([_END])], 0
-        for batch in batches:
-            for lang, text in zip(batch.column(0), batch.column(1)):
-                for part in book.numbers(lang.as_py().encode(), text.as_py().encode()):
-                    held.append(part)
-                    size += len(part)
-                    if size >= _BLOCK:
-                        yield np.concatenate(held)
-                        held, size = [np.array([_END])], 0
-                    elif book.full():  # it may start again once these are counted
-                        yield np.concatenate(held)
-                        held, size = [np.array([_END])], 0
-        if size:
-            yield np.concatenate(held)
+def _merged(runs: DataFrame) -> DataFrame:
+    """Runs meet by prefix; tasks have added up their own words and phrases already."""
+    return runs.repartition("prefix").groupBy("prefix", "rest").agg(F.sum("n").alias("n"))
+
+
+def _word_counts(docs: DataFrame) -> DataFrame:
+    """Counts of all words, and of the words of a language together as its empty word."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, totals = [], 0, {}
+
+        def added() -> pa.Table:
+            table = pa.concat_tables(held).group_by("prefix").aggregate([("n", "sum")])
+            return pa.table([table.column("prefix"), table.column("n_sum")], names=["prefix", "n"])
+
+        def spilled(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            table = table.sort_by("prefix")
+            table = pa.table([table.column("prefix"), pa.array([""] * len(table), pa.string()), table.column("n")], names=["prefix", "rest", "n"])
+            yield from table.to_batches(max_chunksize=100_000)
+
+        for block in _blocks(batches):
+            for lang, text in block.items():
+                words, which = split(text)
+                counts = np.bincount(which, minlength=len(words))
+                counts[(_lengths(words) == 0) | pc.equal(words, b"\n").to_numpy(zero_copy_only=False)] = 0
+                seen = pa.array(np.flatnonzero(counts))
+                totals[lang] = totals.get(lang, 0) + int(counts.sum())
+                prefix = pc.binary_join_element_wise(pa.scalar(lang.decode()), words.take(seen).cast(pa.string()), "\n")
+                held.append(pa.table([prefix, pa.array(counts[counts > 0])], names=["prefix", "n"]))
+                size += len(held[-1])
+            if size > _MOST_PHRASES:
+                held = [added()]
+                if len(held[0]) > _MOST_PHRASES // 2:
+                    yield from spilled(held[0])
+                    held = []
+                size = sum(map(len, held))
+        if held:
+            yield from spilled(added())
+        table = pa.table([pa.array([lang.decode() + "\n" for lang in totals], pa.string()), pa.array(totals.values(), pa.int64())], names=["prefix", "n"])
+        yield from spilled(table)
+
+    return _merged(docs.mapInArrow(run, _RUNS))
+
+
+def _phrase_counts(docs: DataFrame, widths: list[int], filters: list[Broadcast]) -> DataFrame:
+    """Counts of the phrases of ``widths`` words all of whose shorter parts pass the filters of their width."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = [np.frombuffer(f.value, np.uint8) for f in filters]
-        book, tries, single = WordBook(), {w: PhraseTrie(w) for w in widths if w > 1}, np.zeros(0, np.int64)
-
-        def singles() -> Iterator[pa.RecordBatch]:
-            seen = np.flatnonzero(single)
-            seen = seen[seen > _END]
-            yield from _run(book, seen[:, None], single[seen])
-            langs, totals = np.unique(np.array(book.langs, object)[seen], return_inverse=True) if len(seen) else ([], [])
-            totals = np.bincount(totals, weights=single[seen], minlength=len(langs)).astype(np.int64)
-            empty = pa.array([""] * len(langs), pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x.decode() for x in langs], pa.string()), empty, empty, pa.array(np.ones(len(langs), np.int32)), pa.array(totals)],
-                ["lang", "prefix", "rest", "words", "n"],
-            )
-
-        # the book is replaced in place, so that what numbers texts goes on with it
-        for numbers in blocks(book, batches):
-            if 1 in widths:
-                fresh = np.bincount(numbers, minlength=max(len(single), len(book.words)))
-                fresh[: len(single)] += single
-                single = fresh
-            if tries:
-                hashes = np.array(book.hashes, np.uint64)
-                ok = _known(bits[0], hashes)
-                ok[: _END + 1] = False
-                at = ok[numbers]
-                for width in range(2, max(widths) + 1):
-                    at = _both(at)  # both parts of one word less may be frequent
-                    places = np.flatnonzero(at)
-                    rows = numbers[places[:, None] + np.arange(width)]
-                    if width in tries and len(rows):
-                        trie = tries[width]
-                        trie.add(*_counted(rows))
-                        if trie.size > _MOST_PHRASES:
-                            yield from _run(book, *trie.spill(_MOST_PHRASES // 2))
-                    if width <= len(bits):
-                        at[places] = _known(bits[width - 1], phrase_hashes(hashes[rows]))
-            if book.full():
+        book, tries = WordBook(), {w: PhraseTrie(w) for w in widths}
+        for block in _blocks(batches):
+            numbers = np.concatenate([book.numbers(lang, text, bits[0]) for lang, text in block.items()])
+            hashes, at = np.array(book.hashes, np.uint64), numbers > _END
+            for width in range(2, max(widths) + 1):
+                at = _both(at)  # both parts of one word less may be frequent
+                places = np.flatnonzero(at)
+                rows = numbers[places[:, None] + np.arange(width)]
+                if width in tries and len(rows):
+                    trie = tries[width]
+                    trie.add(*_counted(rows))
+                    if trie.size > _MOST_PHRASES:
+                        yield from _run(book, *trie.spill(_MOST_PHRASES // 2))
+                if width <= len(bits):
+                    at[places] = _known(bits[width - 1], phrase_hashes(hashes[rows]))
+            if book.full():  # numbers start again, so nothing may be left under the old ones
                 for trie in tries.values():
                     yield from _run(book, *trie.spill(0))
-                if 1 in widths:
-                    yield from singles()
-                single = np.zeros(0, np.int64)
-                book.__init__()
+                book = WordBook()
         for trie in tries.values():
             yield from _run(book, *trie.spill(0))
-        if 1 in widths:
-            yield from singles()
 
-    runs = docs.mapInArrow(run, _RUNS)
-    # the runs meet by prefix; tasks have added up their own phrases already
-    return runs.repartition("lang", "prefix").groupBy("lang", "prefix", "rest", "words").agg(F.sum("n").alias("n"))
+    return _merged(docs.mapInArrow(run, _RUNS))
 
 
-def _filter_of(counted: DataFrame) -> bytes:
-    """The bit filter of counted phrases, by the hash that tasks compute for theirs."""
+def _filter_of(counted: DataFrame, width: int) -> bytes:
+    """The bit filter of counted phrases of ``width`` words, by the hash that tasks compute for theirs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = np.zeros(batch.num_rows, np.uint64)
-            for i, (lang, phrase) in enumerate(zip(*batch.columns)):
-                lang = lang.as_py().encode()
-                words = [word_hash(lang, w) for w in phrase.as_py().encode().split(b" ")]
-                keys[i] = words[0] if len(words) == 1 else phrase_hashes(np.array([words], np.uint64))[0]
+            if not batch.num_rows:
+                continue
+            langs = batch.column(0).dictionary_encode()
+            of = np.array([lang_hash(x.encode()) for x in langs.dictionary.to_pylist()], np.uint64)[langs.indices.to_numpy()]
+            words = pc.split_pattern(batch.column(1).cast(pa.binary()), b" ").flatten()
+            keys = word_hashes(words, np.repeat(of, width))
+            keys = keys if width == 1 else phrase_hashes(keys.reshape(-1, width))
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], ["key"])
 
     return _filter(counted.select("lang", "phrase").mapInArrow(run, "key bigint"))
@@ -297,7 +335,7 @@ def collocations(
 
     Widths are counted one after another, four and more words together: a phrase is counted only if its parts may be
     frequent, which a filter of fixed size tells; it passes too much rather than too little, and the counts decide. A task
-    counts in a trie of bounded size and spills whole subtrees as sorted runs, which meet by their first two words. So
+    counts in a trie of bounded size and spills whole subtrees as sorted runs, which meet by their first words. So
     frequent words and phrases are added up before the shuffle, and a common one fills no partition.
 
     A null text counts as empty, a null language as ``und``, as do all rows if ``lang_col`` is null. Repeated rows count as
@@ -308,11 +346,15 @@ def collocations(
     context, filters, tables = docs.sparkSession.sparkContext, [], []
     steps = [[w] for w in range(1, min(3, most_words) + 1)] + ([list(range(4, most_words + 1))] if most_words > 3 else [])
     for widths in steps:
-        counted = _counts(texts, widths, filters).filter((F.col("n") >= least) | (F.col("prefix") == ""))
-        phrase = F.when(F.col("rest") == "", F.col("prefix")).otherwise(F.concat_ws(" ", "prefix", "rest"))
-        tables.append(materialize(counted.select("lang", phrase.alias("phrase"), "words", "n")))
+        counted = _word_counts(texts) if widths == [1] else _phrase_counts(texts, widths, filters)
+        first = F.substring_index("prefix", "\n", -1)
+        counted = counted.filter((F.col("n") >= least) | (first == "")).withColumn("first", first)
+        lang = F.expr("left(prefix, char_length(prefix) - char_length(first) - 1)")
+        phrase = F.when(F.col("rest") == "", F.col("first")).otherwise(F.concat_ws(" ", "first", "rest"))
+        counted = counted.select(lang.alias("lang"), phrase.alias("phrase"), "n").withColumn("words", F.size(F.split("phrase", " ")))
+        tables.append(materialize(counted))
         if widths != steps[-1]:
-            filters.append(context.broadcast(_filter_of(tables[-1].filter("phrase <> ''"))))
+            filters.append(context.broadcast(_filter_of(tables[-1].filter("phrase <> ''"), widths[0])))
     frequent = tables[0]
     for table in tables[1:]:
         frequent = frequent.unionByName(table)
