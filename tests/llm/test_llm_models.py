@@ -1,7 +1,9 @@
 """Toxicity, licences, language: held-out accuracy and edge cases; the pipeline as a whole."""
 
+import math
 import random
 import zlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ import corpus_pipeline
 from vernissage.llm.language import fit_text_model, identify, page_parts
 from vernissage.llm.licences import TEMPLATES, best_template, fit_licences, scan_licences, tokens
 from vernissage.llm.queries import REGISTRY
-from vernissage.llm.toxicity import fit_toxicity, score_toxicity
+from vernissage.llm.toxicity import _fit_language_models, fit_toxicity, score_toxicity, text_ratios, words_of
 
 SF = "/root/testdata/sf0.01"
 
@@ -53,6 +55,59 @@ def test_toxicity_without_one_class(spark, toxic):
     assert fit_toxicity(docs, ones) == 1.0
 
 
+def plain_ratios(rows, texts):
+    """The two smoothed models by the formulas, on Python dictionaries."""
+    counts = [Counter(), Counter()]
+    for text, label in rows:
+        words = words_of(text)
+        counts[label].update(set(zip(["", *words], words)))
+    every = set(counts[0]) | set(counts[1])
+    follow = [Counter(b for _, b in c) for c in counts]
+    ahead = [Counter(), Counter()]
+    for c in (0, 1):
+        for (a, _), n in counts[c].items():
+            ahead[c][a] += n
+    taken = [Counter(), Counter()]
+    for c in (0, 1):
+        for (a, _), n in counts[c].items():
+            taken[c][a] += min(n, 2.0)
+    seconds = {b for _, b in every}
+    size = [sum(follow[c].values()) for c in (0, 1)]
+    off = [sum(min(follow[c][b], 2.0) for b in seconds) for c in (0, 1)]
+    shared = sum(min(follow[0][b] + follow[1][b], 4.0) for b in seconds)
+
+    def single(c, w):
+        return (max(follow[c][w] - 2.0, 0) + off[c] * min(max(follow[0][w] + follow[1][w], 1), 4.0) / shared) / size[c]
+
+    def back(c, a):
+        return taken[c][a] / ahead[c][a] if ahead[c][a] else 1.0
+
+    def ratio(a, b):
+        own = math.log(single(1, b) / single(0, b))
+        context = math.log(back(1, b) / back(0, b))
+        if b not in seconds and not any(x == b for x, _ in every):
+            own, context = math.log(off[1] / size[1] / (off[0] / size[0])), 0.0
+        if (a, b) not in every:
+            return own + context
+        n = [counts[c][a, b] for c in (0, 1)]
+        limited = lambda p: min(max(counts[0][p] + counts[1][p] - 2.0, 0), 4.0)
+        apart = sum(limited(p) for p in every if p[0] == a) + 4.0
+        full = [max(n[c] - 2.0, 0) / max(ahead[c][a], 1) + back(c, a) * (limited((a, b)) + 4.0 * single(c, b)) / apart for c in (0, 1)]
+        return own + context + math.log(full[1] / full[0]) - math.log(back(1, a) / back(0, a)) - math.log(single(1, b) / single(0, b))
+
+    return [sorted(ratio(a, b) for a, b in set(zip(["", *words_of(t)], words_of(t)))) for t in texts]
+
+
+def test_ratios_match_plain_counting(spark):
+    rng = random.Random(6)
+    rows = [(invented(rng, ["ta", "ro", "mi"], rng.randint(1, 30)) + (" vile word" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(60)]
+    texts = [t for t, _ in rows[:20]] + ["", "unseen words here", "vile vile word ta", "Ta ro 12 mi"]
+    model = _fit_language_models(spark.createDataFrame(rows, "text string, label int"))
+    ratios, owner = text_ratios(texts, (model.words, model.pairs, model.unknown))
+    for i, want in enumerate(plain_ratios(rows, texts)):
+        assert sorted(ratios[owner == i].tolist()) == pytest.approx(want, abs=1e-5)
+
+
 @pytest.fixture(scope="module")
 def licences(spark):
     return fit_licences(spark.read.parquet(f"{SF}/documents.parquet"), most_paragraphs=1500)

@@ -6,13 +6,13 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from vernissage.llm.common import carried, named, tidy, whole
+from vernissage.llm.collocations import phrase_hashes, word_hashes
+from vernissage.llm.common import carried, named, slices, tidy, whole
 from vernissage.session import materialize
 
 RESULTS = ["score", "predicted"]
@@ -30,10 +30,13 @@ FEATURES = ["mean", "size", "peak", *[f"strong{i}" for i in range(len(_STRONG))]
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """What a word, and what a known pair of words beyond its words, adds to the log-likelihood ratio; and the calibration."""
+    """What a word, and what a known pair of words beyond its words, adds to the log-likelihood ratio; and the calibration.
 
-    words: dict[str, float]
-    pairs: dict[tuple[str, str], float]
+    Words and pairs are looked up by 64-bit hashes, which are held in ascending order beside their values.
+    """
+
+    words: tuple[np.ndarray, np.ndarray]
+    pairs: tuple[np.ndarray, np.ndarray]
     unknown: float
     weights: tuple[float, ...] = (0.0, 1.0, 0.0, 0.0, 0.0, 0.0)
 
@@ -69,52 +72,95 @@ def _counted(rows: DataFrame) -> DataFrame:
     return found.groupBy("first", "second").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
-def _log_ratio(top: np.ndarray, low: np.ndarray) -> np.ndarray:
-    return np.log(top) - np.log(low)
+def _pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return phrase_hashes(np.column_stack([first, second]))
+
+
+def _table(rows: DataFrame, *words: str) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the words, or pairs of words, of ``rows`` in ascending order, with their ``value``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = [word_hashes(batch.column(i).cast(pa.binary()), np.uint64(0)) for i in range(len(words))]
+            keys = hashes[0] if len(hashes) == 1 else _pair_hashes(*hashes)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column(len(words)).cast(pa.float32())], ["key", "value"])
 
+    found = rows.select(*words, "value").mapInArrow(run, "key bigint, value float").toArrow()
+    keys = found.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(keys, kind="stable")
+    return keys[order], found.column("value").to_numpy()[order]
 
-def _fit_language_models(rows: DataFrame, most_entries: int) -> ToxicityModel:
-    """Both models from pair counts; each table is cut to its ``most_entries`` most frequent entries."""
+
+def _limited() -> Column:
+    """What a pair counts in the backoff of both classes: discounted like any count, and limited."""
+    return F.least(F.greatest(F.col("n0") + F.col("n1") - _DISCOUNT, F.lit(0.0)), F.lit(_SHARED))
+
+
+def _fit_language_models(rows: DataFrame) -> ToxicityModel:
+    """Both models from the pair counts of the bounded sample ``rows``; every word and pair that adds anything is kept."""
     counts = materialize(_counted(rows))
     seen = [(F.col(f"n{c}") > 0).cast("bigint") for c in (0, 1)]
     before = counts.groupBy(F.col("first").alias("word")).agg(
         *[F.sum(f"n{c}").alias(f"n{c}") for c in (0, 1)], *[F.sum(F.least(f"n{c}", F.lit(_DISCOUNT))).alias(f"t{c}") for c in (0, 1)],
-        F.sum(F.least(F.col("n0") + F.col("n1"), F.lit(_SHARED))).alias("shared"),
+        F.sum(_limited()).alias("shared"),
     )
     after = counts.groupBy(F.col("second").alias("word")).agg(*[F.sum(seen[c]).alias(f"k{c}") for c in (0, 1)])
     total = after.agg(
         *[F.sum(f"k{c}") for c in (0, 1)], *[F.sum(F.least(f"k{c}", F.lit(_DISCOUNT))) for c in (0, 1)],
         F.sum(F.least(F.col("k0") + F.col("k1"), F.lit(_SHARED))),
     ).first()
-    size, taken = (np.array([[max(1.0, total[i] or 0)], [max(1.0, total[i + 1] or 0)]], float) for i in (0, 2))
-    shared = max(1.0, total[4] or 0)
-
-    def unigram(k: np.ndarray) -> np.ndarray:
-        """Continuation probabilities of either class, backing off to the limited counts of both classes together."""
-        both = np.clip(k.sum(axis=0), 1, _SHARED) / shared
-        return (np.maximum(k - _DISCOUNT, 0) + taken * both) / size
-
-    table = before.join(after, "word", "full").fillna(0)
-    frequent = table.orderBy(F.desc(F.col("k0") + F.col("k1") + F.col("n0") + F.col("n1")), "word").limit(most_entries).toPandas()
-    single = unigram(frequent[["k0", "k1"]].to_numpy(float).T)
-    n, t = frequent[["n0", "n1"]].to_numpy(float).T, frequent[["t0", "t1"]].to_numpy(float).T
-    back = np.where(n > 0, t / np.maximum(n, 1), 1.0)
-    word, context = _log_ratio(single[1], single[0]), _log_ratio(back[1], back[0])
-    nothing = unigram(np.zeros((2, 1)))
-    unknown = float(_log_ratio(nothing[1], nothing[0])[0])
-
-    often = counts.filter(F.col("n0") + F.col("n1") >= 3).orderBy(F.desc(F.col("n0") + F.col("n1")), "first", "second").limit(most_entries).toPandas()
-    at = {w: i for i, w in enumerate(frequent["word"])}
-    often = often[[a in at and b in at for a, b in zip(often["first"], often["second"])]]
-    i, j = (np.array([at[w] for w in often[c]], int) for c in ("first", "second"))
-    counted = often[["n0", "n1"]].to_numpy(float).T
+    size, taken, shared = *((max(1.0, total[i] or 0), max(1.0, total[i + 1] or 0)) for i in (0, 2)), max(1.0, total[4] or 0)
+
+    # continuation probabilities of either class, backing off to the limited counts of both classes together
+    both = F.greatest(F.lit(1.0), F.least(F.col("k0") + F.col("k1"), F.lit(_SHARED))) / shared
+    single = [(F.greatest(F.col(f"k{c}") - _DISCOUNT, F.lit(0.0)) + taken[c] * both) / size[c] for c in (0, 1)]
+    back = [F.when(F.col(f"n{c}") > 0, F.col(f"t{c}") / F.col(f"n{c}")).otherwise(1.0) for c in (0, 1)]
+    words = before.join(after, "word", "full").fillna(0).select(
+        "word", "n0", "n1", "shared", *[single[c].alias(f"s{c}") for c in (0, 1)], *[back[c].alias(f"b{c}") for c in (0, 1)]
+    )
+    words = words.withColumn("own", F.log("s1") - F.log("s0")).withColumn("context", F.log("b1") - F.log("b0"))
+    words = materialize(words)
+    unknown = float(np.log(taken[1] / size[1]) - np.log(taken[0] / size[0]))
+
+    heads = words.select(F.col("word").alias("first"), F.col("n0").alias("m0"), F.col("n1").alias("m1"), "shared", "b0", "b1", "context")
+    pairs = counts.join(heads, "first").join(words.select(F.col("word").alias("second"), "s0", "s1", "own"), "second")
     # a pair that one class lacks backs off to the limited counts of both, so a passage copied in one class weighs little
-    together = frequent["shared"].to_numpy(float)[i] + _SINGLE
-    rest = (np.minimum(counted.sum(axis=0), _SHARED) + _SINGLE * single[:, j]) / together
-    full = np.maximum(counted - _DISCOUNT, 0) / np.maximum(n[:, i], 1) + back[:, i] * rest
-    extra = _log_ratio(full[1], full[0]) - context[i] - word[j]
-    scores = dict(zip(frequent["word"], (word + context).tolist()))
-    return ToxicityModel(scores, dict(zip(zip(often["first"], often["second"]), extra.tolist())), unknown)
+    full = [
+        F.greatest(F.col(f"n{c}") - _DISCOUNT, F.lit(0.0)) / F.greatest(F.col(f"m{c}"), F.lit(1))
+        + F.col(f"b{c}") * (_limited() + _SINGLE * F.col(f"s{c}")) / (F.col("shared") + _SINGLE)
+        for c in (0, 1)
+    ]
+    # whatever is seen no more often than the discount backs off to its words in both classes alike, and adds nothing to them
+    pairs = pairs.filter(F.col("n0") + F.col("n1") > _DISCOUNT).withColumn("value", F.log(full[1]) - F.log(full[0]) - F.col("context") - F.col("own"))
+    return ToxicityModel(_table(words.withColumn("value", F.col("own") + F.col("context")), "word"), _table(pairs, "first", "second"), unknown)
+
+
+def _look_up(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray, missing: float) -> np.ndarray:
+    known, values = table
+    if not len(known):
+        return np.full(len(keys), missing)
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return np.where(known[at] == keys, values[at].astype(np.float64), missing)
+
+
+def text_ratios(texts: list[str], model: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """The log-likelihood ratio of each distinct pair of words of each text, and the text's number."""
+    words, pairs, unknown = model
+    tokens = [words_of(text) for text in texts]
+    sizes = np.array([len(t) for t in tokens], np.int64)
+    kinds = pa.array([w for t in tokens for w in t], pa.string()).dictionary_encode()
+    hashes = word_hashes(kinds.dictionary.cast(pa.binary()), np.uint64(0))
+    which, owner = kinds.indices.to_numpy(), np.repeat(np.arange(len(texts)), sizes)
+    second = hashes[which] if len(which) else np.zeros(0, np.uint64)
+    first = np.append(np.uint64(0), second[:-1])[: len(second)]  # the hash of no word
+    first[(np.cumsum(sizes) - sizes)[sizes > 0]] = 0
+    keys = _pair_hashes(first, second)
+    order = np.lexsort((keys, owner))
+    keys, owner, which = keys[order], owner[order], which[order]
+    new = np.ones(len(keys), bool)  # a pair counts once: repeats say no more
+    new[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
+    single = _look_up(words, hashes, unknown)
+    return single[which[new]] + _look_up(pairs, keys[new], 0.0), owner[new]
 
 
 def _ratios(rows: DataFrame, model: ToxicityModel, columns: list[str]) -> DataFrame:
@@ -128,18 +174,16 @@ def _ratios(rows: DataFrame, model: ToxicityModel, columns: list[str]) -> DataFr
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, pairs, unknown = shared.value
-        for batch in batches:
-            found = []
-            for text in batch.column(batch.num_columns - 1):
-                tokens = words_of(text.as_py())
-                kinds = list(set(zip(["", *tokens], tokens)))  # a pair counts once: repeats say no more
-                ratios = np.array([words.get(word, unknown) for _, word in kinds]) + np.array(list(map(pairs.get, kinds, repeat(0.0))))
-                strong = [ratios[ratios > bar].sum() for bar in _STRONG]
-                mean, peak = (ratios.mean(), ratios.max()) if kinds else (0.0, 0.0)
-                found.append([mean, np.log1p(len(kinds)), peak, *np.log1p(strong)])
-            columns_found = np.array(found, float).reshape(-1, len(FEATURES)).T
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *map(pa.array, columns_found)], [*columns, *FEATURES])
+        for batch in slices(batches, 2 << 20):
+            ratios, owner = text_ratios(batch.column(batch.num_columns - 1).to_pylist(), shared.value)
+            n = np.bincount(owner, minlength=batch.num_rows)
+            total = lambda values: np.bincount(owner, weights=values, minlength=batch.num_rows)
+            peak = np.zeros(batch.num_rows)
+            if len(owner):
+                peak[np.flatnonzero(n)] = np.maximum.reduceat(ratios, np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]))
+            strong = [np.log1p(total(np.where(ratios > bar, ratios, 0.0))) for bar in _STRONG]
+            found = [total(ratios) / np.maximum(n, 1), np.log1p(n), peak, *strong]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *map(pa.array, found)], [*columns, *FEATURES])
 
     kinds = dict(rows.dtypes)
     schema = "".join(f"{c} {kinds[c]}, " for c in columns)
@@ -162,12 +206,13 @@ def _calibrate(features: np.ndarray, labels: np.ndarray, steps: int = 50) -> tup
 
 def fit_toxicity(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    most_documents: int = 10_000, most_entries: int = 150_000,
+    most_documents: int = 10_000,
 ) -> ToxicityModel | float:
     """A model from labelled documents; the share of toxic labels if one class has none.
 
     Of four fifths of the labelled rows, drawn by hash, the two classes give equally many documents, at most
-    ``most_documents``, to the language models; the rest, under the same bound, gives the calibration. A document with
+    ``most_documents``, to the language models, which keep all their counts; the rest, under the same bound, gives the
+    calibration. A document with
     several labels counts as toxic if one says so; null labels and identifiers are ignored.
     """
     labels = labels.select(named(id_col).alias("id"), named(label_col).cast("int").alias("label")).filter("id is not null and label in (0, 1)")
@@ -183,7 +228,7 @@ def fit_toxicity(
     part = [labels.filter(~F.col("tune") & (F.col("label") == c)).orderBy("draw", "id").limit(equal) for c in (0, 1)]
     drawn = materialize(part[0].unionByName(part[1]).select("id", "label"))
     texts_drawn = texts.join(F.broadcast(drawn), "id").dropDuplicates(["text"])  # at most 2 x most_documents rows
-    model = _fit_language_models(texts_drawn, most_entries)
+    model = _fit_language_models(texts_drawn)
     tune = materialize(labels.filter("tune").orderBy("draw", "id").limit(most_documents).select("id", "label"))
     scored = _ratios(texts.join(F.broadcast(tune), "id"), model, ["label"]).toPandas()
     if scored["label"].nunique() < 2:
