@@ -1,16 +1,21 @@
 """Toxicity, licences, language: held-out accuracy and edge cases; the pipeline as a whole."""
 
 import math
+import pickle
 import random
+import subprocess
+import sys
+import textwrap
 import zlib
 from collections import Counter
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from vernissage.llm.language import fit_text_model, identify, page_parts
-from vernissage.llm.licences import TEMPLATES, best_template, fit_licences, scan_licences, tokens
+from vernissage.llm.licences import TEMPLATES, best_template, fit_licences, probabilities, scan_licences, tokens
 from vernissage.llm.queries import REGISTRY
 from vernissage.llm.toxicity import _fit_language_models, fit_toxicity, score_toxicity, text_ratios, words_of
 
@@ -128,6 +133,34 @@ def test_every_family_is_found_and_nothing_else(spark, licences):
     assert scan_licences(docs.limit(0), licences).collect() == []
 
 
+@pytest.mark.parametrize("width, mark", [(72, ""), (40, "# "), (60, " * ")])
+def test_wrapped_notices_are_found(spark, licences, width, mark):
+    rng, rows = random.Random(width), []
+    for family, texts in TEMPLATES.items():
+        for text in texts:
+            body = "\n".join(mark + line for line in textwrap.wrap(text, width))
+            rows.append((family, f"{invented(rng, ['ba', 'de', 'no'], 200)}\n\n{body}\n\n{invented(rng, ['ba', 'de'], 30)}"))
+    both = "\n".join(textwrap.wrap(TEMPLATES["MIT"][1], width)) + "\n" + "\n".join(textwrap.wrap(TEMPLATES["BSD"][1], width))
+    rows.append(("BSD,MIT", both))
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id bigint, text string")
+    found = {r.doc_id: r for r in scan_licences(docs, licences).collect()}
+    assert [(rows[i][0], r.licences) for i, r in sorted(found.items()) if ",".join(r.licences) != rows[i][0]] == []
+    assert found[0].spans[0].paragraph == 2
+
+
+def test_scan_needs_no_package_on_the_workers(licences, tmp_path):
+    values = (licences.families, licences.features, licences.weights, licences.bias, licences.temperature)
+    (tmp_path / "model.pickle").write_bytes(pickle.dumps(values))  # as a broadcast travels
+    (tmp_path / "run.pickle").write_bytes(cloudpickle.dumps(probabilities))
+    code = (
+        "import pickle, importlib.util as u; assert u.find_spec('vernissage') is None;"
+        f"m = pickle.load(open({str(tmp_path / 'model.pickle')!r}, 'rb')); f = pickle.load(open({str(tmp_path / 'run.pickle')!r}, 'rb'));"
+        "p = f(m, 'released under the mit license'.split()); print(m[0][int(p[:-1].argmax())])"
+    )
+    out = subprocess.run([sys.executable, "-I", "-c", code], cwd=tmp_path, capture_output=True, text=True)
+    assert out.stdout.strip() == "MIT", out.stderr
+
+
 def test_unseen_variants_and_fragments(spark, licences):
     """Held-out accuracy on reworded notices (not among the training examples) and on unrelated text."""
     rng, right, n = random.Random(11), 0, 0

@@ -39,6 +39,8 @@ TEMPLATES = {
 }
 UNKNOWN = "unknown"
 _WORD = re.compile(r"[^\W_]+")
+#: Known n-grams at most so many words apart belong to one stretch, which is classified with as many words around.
+_APART, _AROUND = 12, 4
 
 
 def tokens(paragraph: str) -> list[str]:
@@ -60,13 +62,26 @@ class LicenceModel:
     bias: np.ndarray
     temperature: float
 
-    def probabilities(self, words: list[str]) -> np.ndarray:
-        """Of every family and, last, of the unknown class."""
-        found = grams(words)
-        hits = [i for g in found if (i := self.features.get(g)) is not None]
-        score = self.weights[hits].sum(axis=0) / np.sqrt(max(1, len(found))) + self.bias
-        score = np.exp((score - score.max()) / self.temperature)
-        return score / score.sum()
+
+def probabilities(model: tuple, words: list[str]) -> np.ndarray:
+    """Of every family and, last, of the unknown class; ``model`` holds the values of a ``LicenceModel`` in order."""
+    _, features, weights, bias, temperature = model
+    found = grams(words)
+    hits = [i for g in found if (i := features.get(g)) is not None]
+    score = weights[hits].sum(axis=0) / np.sqrt(max(1, len(found))) + bias
+    score = np.exp((score - score.max()) / temperature)
+    return score / score.sum()
+
+
+def stretches(words: list[str], pairs: frozenset) -> list[tuple[int, int]]:
+    """The parts of a paragraph that known pairs of words stand in, with a few words around."""
+    hits, out = [i for i, pair in enumerate(zip(words, words[1:])) if pair in pairs], []
+    for i in hits:
+        if out and i - out[-1][1] <= _APART:
+            out[-1][1] = i + 2
+        else:
+            out.append([i, i + 2])
+    return [(max(0, a - _AROUND), min(len(words), b + _AROUND)) for a, b in out]
 
 
 def best_template(words: list[str], templates: list[list[str]]) -> tuple[float, int, int]:
@@ -89,12 +104,22 @@ def best_template(words: list[str], templates: list[list[str]]) -> tuple[float,
 def fit_licences(docs: DataFrame, text_col: str = "text", most_paragraphs: int = 4000, copies: int = 60, seed: int = 5) -> LicenceModel:
     """A classifier from varied templates and, as unknown, at most ``most_paragraphs`` paragraphs of ``docs``.
 
-    The paragraphs are drawn by hash of their text; those that contain a template are left out. A third of all
-    examples is kept apart to set the temperature at which the probabilities, the unknown class included, fit best.
+    The paragraphs are lines of 10 to 2,000 characters, drawn by hash of their text; those that contain a template are
+    left out. A third of all examples is kept apart to set the temperature at which the probabilities, the unknown class
+    included, fit best.
     """
     lines = docs.select(F.explode(F.split(whole(text_col), "\n")).alias("line")).filter(F.length("line").between(10, 2000))
-    drawn = lines.orderBy(F.xxhash64(F.lit("licences"), "line"), "line").limit(most_paragraphs)
-    plain = [tokens(r["line"]) for r in drawn.select("line").toLocalIterator()]  # bounded by most_paragraphs
+    lines = lines.withColumn("draw", F.xxhash64(F.lit("licences"), "line"))
+    # only lines with low hashes are sorted: a few times as many as are drawn, by a count of all
+    total, times = lines.count(), 4
+    while True:
+        bar = min(1 << 63, -(1 << 63) + int(2**64 * min(1.0, times * most_paragraphs / max(1, total))))
+        low = lines if bar == 1 << 63 else lines.filter(F.col("draw") < bar)
+        drawn = low.orderBy("draw", "line").limit(most_paragraphs).select("line").collect()  # bounded by most_paragraphs
+        if len(drawn) == most_paragraphs or bar == 1 << 63:
+            break
+        times *= 4
+    plain = [tokens(r["line"]) for r in drawn]
     rng, families = np.random.default_rng(seed), sorted(TEMPLATES)
     own = {f: [tokens(t) for t in TEMPLATES[f]] for f in families}
     plain = [w for w in plain if w and max(best_template(w, own[f])[0] for f in families) < 0.8]
@@ -146,12 +171,14 @@ def fit_licences(docs: DataFrame, text_col: str = "text", most_paragraphs: int =
 def scan_licences(
     docs: DataFrame, model: LicenceModel, text_col: str = "text", carry: list[str] | None = None, least: float = 0.5, confirm: float = 0.8
 ) -> DataFrame:
-    """The ``carry`` columns (default all) with ``n_paragraphs``, ``licences`` (sorted families) and ``spans``.
+    """The ``carry`` columns (default all) with ``n_paragraphs`` (lines), ``licences`` (sorted families) and ``spans``.
 
-    Every paragraph (line) of every whole text is classified by its word n-grams. Where a family reaches the probability
-    ``least``, its templates are compared: one of them must stand there with at least the share ``confirm`` of its n-grams.
-    A paragraph may name several licences: the part found is taken out and the rest is looked at again. ``spans`` holds
-    ``family, paragraph, probability`` of each find. A paragraph without any n-gram of the templates is unknown at once.
+    Lines without a blank one between them are read as one block, so that notices may be wrapped. Stretches of a block in
+    which n-grams of the templates stand are classified by their word n-grams. Then the templates are compared, family by
+    family in the order of its probability: one must stand there with at least the share ``confirm`` of its n-grams, and
+    the part found must have its family as the likeliest, by ``least`` at least. A stretch may name several licences: the
+    part found is taken out and the rest is looked at again. ``spans`` holds ``family, paragraph, probability`` of each
+    find, the paragraph being the line it starts in.
 
     A null text counts as one empty paragraph. Repeated rows repeat their result. An empty table gives an empty result.
     Columns of ``docs`` named like a result column are replaced by it.
@@ -161,21 +188,26 @@ def scan_licences(
     rows = docs.select(row, whole(text_col).alias("text"))
     own = {f: [tokens(t) for t in TEMPLATES[f]] for f in model.families}
     pairs = frozenset(g for g in model.features if len(g) == 2)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def finds(paragraph: str, model: LicenceModel) -> Iterator[tuple[str, float]]:
-        words = tokens(paragraph)
-        while not pairs.isdisjoint(zip(words, words[1:])):
-            chance = model.probabilities(words)
-            # long paragraphs hide a notice: look at the part around the template that fits best
-            family = max(model.families, key=lambda f: best_template(words, own[f])[0])
-            share, start, stop = best_template(words, own[family])
-            part = model.probabilities(words[start:stop])
-            best = int(part[:-1].argmax())
-            if share < confirm or model.families[best] != family or max(part[best], chance[best]) < least:
-                return
-            yield family, float(max(part[best], chance[best]))
-            words = [*words[:start], "", *words[stop:]]
+    plain = (model.families, model.features, model.weights, model.bias, model.temperature)
+    shared = docs.sparkSession.sparkContext.broadcast(plain)  # built-in types and arrays: executors need no package
+
+    def finds(words: list[str], model: tuple) -> Iterator[tuple[str, int, float]]:
+        """Families in a block of words, with the word where each starts."""
+        open_parts = stretches(words, pairs)
+        while open_parts:
+            low, high = open_parts.pop()
+            part = words[low:high]
+            chance = probabilities(model, part)[:-1]
+            for best in np.argsort(-chance, kind="stable").tolist():
+                share, start, stop = best_template(part, own[model[0][best]])
+                if share < confirm:
+                    continue
+                inside = probabilities(model, part[start:stop])[:-1]
+                if int(inside.argmax()) == best and max(inside[best], chance[best]) >= least:
+                    yield model[0][best], low + start, float(max(inside[best], chance[best]))
+                    for a, b in ((low, low + start), (low + stop, high)):
+                        open_parts += [(a + x, a + y) for x, y in stretches(words[a:b], pairs)]
+                    break
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,9 +215,17 @@ def scan_licences(
         for batch in batches:
             sizes, names, spans = [], [], []
             for text in batch.column(1):
-                paragraphs = text.as_py().split("\n")
-                found = [(family, i, p) for i, line in enumerate(paragraphs) for family, p in finds(line, model)]
-                sizes.append(len(paragraphs))
+                lines, found, words, starts = text.as_py().split("\n"), [], [], []
+                for number, line in enumerate([*lines, ""]):
+                    if fresh := tokens(line):
+                        starts += [number] * len(fresh)
+                        words += fresh
+                    if words and not line.strip():  # a blank line ends a block
+                        if not pairs.isdisjoint(zip(words, words[1:])):
+                            found += [(family, starts[at], p) for family, at, p in finds(words, model)]
+                        words, starts = [], []
+                found.sort(key=lambda f: (f[1], f[0]))
+                sizes.append(len(lines))
                 names.append(sorted({f for f, _, _ in found}))
                 spans.append([dict(zip(("family", "paragraph", "probability"), f)) for f in found])
             kind = pa.list_(pa.struct([("family", pa.string()), ("paragraph", pa.int64()), ("probability", pa.float64())]))
