@@ -6,6 +6,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from vernissage.llm.byte_bpe import decode, encode, merge_long, merge_pairs, read_ranks
@@ -126,3 +127,16 @@ def test_neighbours_of_copies_and_unusable_vectors(spark):
     few = frame.filter("vec_id in (0, 20)")
     assert sorted((r.query_id, r.vec_id) for r in nearest_neighbours(few, few).collect()) == [(0, 20), (20, 0)]
     assert nearest_neighbours(frame.limit(0), frame.limit(0)).collect() == []
+
+
+def test_smaller_ids_win_among_many_vectors_of_one_direction(spark):
+    rng = np.random.default_rng(9)
+    rows = [(int(i), [float(x) for x in v]) for i, v in enumerate(rng.standard_normal((300, 8)), 1000)]
+    rows += [(int(i), [2.0 ** (n % 7 - 3), 2.0 ** (n % 7 - 2), 0.0, 0.0, 0.0, 0.0, 0.0, float(n % 2) * 0.0]) for n, i in enumerate(rng.permutation(600)[:60])]
+    rows = [(i, [x * (1 + (i % 5)) for x in v]) if i < 600 else (i, v) for i, v in rows]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    asked = sorted(i for i, _ in rows if i < 600)[-3:] + [1000, 1001]
+    found = nearest_neighbours(frame, frame.filter(F.col("vec_id").isin(asked)), leaf=64, rounds=3).collect()
+    exact = {(q, n): round(s, 9) for q, n, i, s in brute_neighbours(rows, asked, 5)}
+    assert {(r.query_id, r["rank"]): round(r.score, 9) for r in found} == exact
+    assert all(r.vec_id < 600 for r in found if r.query_id < 600)

@@ -94,7 +94,8 @@ def _compared(groups: DataFrame, k: int) -> DataFrame:
                 sims[ids[:, None] == ids[None, :]] = -np.inf
                 sims[~(new[:, None] | new[None, :])] = -np.inf
                 if len(ids) > k + 1:
-                    order = np.argpartition(-sims, k, axis=1)[:, :k]
+                    rank = np.argsort(np.argsort(ids)) / (len(ids) + 1)  # products are whole numbers: smaller ids win ties
+                    order = np.argpartition(rank - sims, k, axis=1)[:, :k]
                 else:
                     order = np.tile(np.arange(len(ids)), (len(ids), 1))
                 best = np.take_along_axis(sims, order, 1)
@@ -109,8 +110,9 @@ def _compared(groups: DataFrame, k: int) -> DataFrame:
 
 def _ranked(pairs: DataFrame, k: int) -> DataFrame:
     """``id, near``: the ``k`` nearest of each identifier, nearest first, from rows ``id, other, sim, new``."""
-    pairs = pairs.groupBy("id", "other").agg(F.max("sim").alias("sim"), F.min("new").alias("new"))
-    return pairs.groupBy("id").agg(_top(k, "sim", "other", "new").alias("near"))
+    pairs = pairs.groupBy("id", "other").agg(F.max("sim").alias("sim"), F.min("new").alias("new")).withColumn("least", -F.col("other"))
+    near = pairs.groupBy("id").agg(_top(k, "sim", "least", "new").alias("near"))  # smaller identifiers first on ties
+    return near.withColumn("near", F.transform("near", lambda e: F.struct(e["sim"].alias("sim"), (-e["least"]).alias("other"), e["new"].alias("new"))))
 
 
 def _leaves(points: DataFrame, trees: int, leaf: int, seed: int) -> DataFrame:
@@ -227,12 +229,12 @@ def search(
         if pool is not None:
             scored = scored.unionByName(pool.select("query", F.explode("near").alias("e")).select("query", "e.id", "e.sim", "e.fresh"))
             scored = scored.groupBy("query", "id").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"))
-        ranked = scored.groupBy("query").agg(_top(beam, "sim", "id", "fresh").alias("near"))
-        # the nearest fresh ones are followed now, and are no longer fresh in the pool
+        ranked = scored.withColumn("least", -F.col("id")).groupBy("query").agg(_top(beam, "sim", "least", "fresh").alias("near"))
+        # the nearest fresh ones, smaller identifiers first on ties, are followed now and are no longer fresh in the pool
         follow = F.slice(F.filter("near", lambda e: e["fresh"]), 1, step)
         near = F.transform("near", lambda e: F.struct(
-            e["sim"].alias("sim"), e["id"].alias("id"), (e["fresh"] & ~F.array_contains("follow", e["id"])).alias("fresh")))
-        ranked = ranked.withColumn("follow", F.transform(follow, lambda e: e["id"])).withColumn("near", near)
+            e["sim"].alias("sim"), (-e["least"]).alias("id"), (e["fresh"] & ~F.array_contains("follow", -e["least"])).alias("fresh")))
+        ranked = ranked.withColumn("follow", F.transform(follow, lambda e: -e["least"])).withColumn("near", near)
         pool = materialize(ranked)
         front = pool.select("query", F.explode("follow").alias("id"))
         if front.isEmpty():
