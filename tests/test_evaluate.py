@@ -97,11 +97,21 @@ def test_detail_lines_show_the_first_and_all_failures(spark):
 
 
 def test_report_layout(spark, tmp_path):
-    summary = spark.createDataFrame([("wall", 97.25, 3.0, 10.511, 15.349)], "transform string, accuracy double, fallbacks double, avg_ms double, p95_ms double")
-    want = "  " + "wall".ljust(12) + "97.3".rjust(13) + "%" + "3.0".rjust(13) + "%" + "10.51".rjust(13) + "15.35".rjust(13)
-    assert ev.report_lines(summary).first().line == want
-    ev.write_report(summary, str(tmp_path))
-    assert spark.read.option("header", True).csv(f"{tmp_path}/summary_csv").first().transform == "wall"
+    columns = "transform string, n long, correct long, accuracy double, fallbacks double, avg_ms double, p95_ms double"
+    stored = spark.createDataFrame([(12345,)], "n_images long")
+    lines = lambda rows: [r.line for r in ev.report_lines(spark.createDataFrame(rows, columns), stored).orderBy("n").collect()]
+    wall, aged = ("wall", 400, 389, 97.25, 3.0, 10.511, 15.349), ("aged", 400, 400, 100.0, 0.0, 9.0, 12.005)
+    row = "  " + "wall".ljust(12) + "97.3".rjust(13) + "%" + "3.0".rjust(13) + "%" + "10.51".rjust(13) + "15.35".rjust(13)
+    table = lines([wall, aged])
+    assert table[0] == table[-1] == "=" * 56 and table[2] == "  " + "-" * 64 and table[4] == row and table[3].startswith("  aged")
+    assert table[1] == f"  {'Transform':<12}{'Accuracy':>13}{'Fallback%':>13}{'Avg ms':>13}{'p95 ms':>13}" and len(table) == 6
+    assert lines([wall]) == [
+        "=" * 56, "  Transform:         wall", "  Vault size:        12,345 images", "  Evaluated:         400 samples",
+        "  Accuracy:          389/400  (97.25%)", "  Fallbacks used:    3.0%", "  Avg latency:       10.51 ms", "  p95 latency:       15.35 ms", "=" * 56,
+    ]
+    ev.write_report(spark.createDataFrame([wall, aged], columns), str(tmp_path), stored)
+    assert spark.read.option("header", True).csv(f"{tmp_path}/summary_csv").count() == 2
+    assert [r.value for r in spark.read.text(f"{tmp_path}/summary_text").collect()] == table
 
 
 # ---- lookup
