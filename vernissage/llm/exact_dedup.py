@@ -10,8 +10,6 @@ from vernissage.session import materialize
 RESULTS = ["keep_id", "group_size", "kept", "text_sha256"]
 #: Bytes of the normalised text that lead the range key; the sort itself compares whole texts.
 LEAD = 32
-#: At most so many groups of copies are looked up by broadcast, about 100 bytes each.
-MOST_HOT = 100_000
 
 
 def without_spaces(text: Column) -> Column:
@@ -36,8 +34,8 @@ def exact_dedup(
     group the row with the most code points, then the smallest identifier, is kept.
 
     A group of over ``hot_rows`` rows is cut into parts by a hash of the identifier, so that it spreads over ranges; its
-    totals come from a count that is combined before its shuffle. The bar is raised to a 100,000th of all rows, which
-    bounds the broadcast list of such groups.
+    totals come from a count that is combined before its shuffle. There is one such group for every ``hot_rows`` rows at
+    most; they are a written table, which the planner broadcasts as long as its measured size allows.
 
     Null texts count as empty and equal each other. A null identifier sorts last. Of rows that repeat both the identifier
     and the length of the kept one, one is kept. An empty table gives an empty result. Columns of ``docs`` that have the
@@ -49,12 +47,11 @@ def exact_dedup(
         named(id_col).alias("id"), without_spaces(text).alias("norm"), F.char_length(text).alias("size"),
     ).withColumns({"lead": F.substring("norm", 1, LEAD), "hash": F.xxhash64("norm")})
 
-    bar = max(hot_rows, docs.count() // MOST_HOT)
-    hot = rows.groupBy("hash").agg(F.count("*").alias("n")).filter(F.col("n") > bar)
+    hot = rows.groupBy("hash").agg(F.count("*").alias("n")).filter(F.col("n") > hot_rows)
     hot = materialize(hot.select("hash", F.ceil(F.col("n") / hot_rows).cast("int").alias("parts")))
     totals, keys = None, ["lead", "hash"]
     if not hot.isEmpty():
-        marked = rows.join(F.broadcast(hot), "hash", "left")
+        marked = rows.join(hot, "hash", "left")
         totals = materialize(
             marked.filter("parts is not null").groupBy("norm")
             .agg(F.min(_better(F.col("size"), F.col("id"))).alias("best"), F.count("*").alias("total"))
@@ -77,7 +74,7 @@ def exact_dedup(
     )
     if totals is not None:
         totals = totals.withColumnsRenamed({"best": "all_best", "total": "all_total"})
-        found = found.join(F.broadcast(totals), "digest", "left").withColumns(
+        found = found.join(totals, "digest", "left").withColumns(
             {"best": F.coalesce("all_best", "best"), "total": F.coalesce("all_total", "total")}
         )
     return found.select(
