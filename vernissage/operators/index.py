@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vernissage.operators.sampling import sample_n
 from vernissage.operators.skew import first_n, with_ordinal
-from vernissage.operators.vectors import PROBE_BYTES, Pile, best_hits, coded, cosine, matrix, nearest, signature, slice_rows, unit
+from vernissage.operators.vectors import PROBE_BYTES, Pile, best_hits, coded, cosine, matrix, scan_hits, signature, slice_rows, unit
 from vernissage.schema import UNKNOWN_LABEL, SearchConfig
 from vernissage.session import materialize
 from vernissage.sources.bucketed import MOST_BUCKETS, open_segments, write_segment
@@ -73,9 +73,17 @@ def train_kmeans(vectors: DataFrame, cells: int, seed: int = 42, rounds: int = 2
 
 def _center_slices(centroids: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Numbers and unit vectors of all centroids, in slices of bounded size, one after another."""
-    stored = materialize(centroids.select("cell", "vec"))
-    size = stored.agg(F.count("*"), F.max(F.size("vec"))).first()
-    slices = -(-size[0] * 8 * (size[1] or 1) // CENTER_BYTES)
+    stored = centroids.select("cell", "vec")
+    first = stored.select(F.size("vec").alias("width")).first()
+    if first is None:
+        return
+    most = max(1, CENTER_BYTES // (8 * max(1, first["width"])))
+    rows = stored.limit(most + 1).toArrow()
+    if rows.num_rows <= most:
+        yield rows.column("cell").to_numpy().astype(np.int64), unit(matrix(rows.column("vec")))
+        return
+    stored = materialize(stored)
+    slices = -(-stored.count() // most)
     for i in range(slices):
         rows = stored.filter(F.pmod("cell", F.lit(slices)) == i).toArrow()
         if rows.num_rows:
@@ -263,16 +271,19 @@ def search_cells(index: CellIndex, queries: DataFrame, config: SearchConfig = Se
         "qid", F.lit(UNKNOWN_LABEL).alias("label"), F.lit(0.0).alias("confidence"), F.lit(True).alias("fallback_used")
     )
     rows = index.postings.select("id", F.col("vec").alias("key"), "slot").filter("id is not null and key is not null")
-    width = (placed.agg(F.max(F.size("key"))).first() or [0])[0] or 1
+    width = (placed.select(F.size("key")).first() or [1])[0]
+    most = slice_rows(max(1, width), probe_bytes)
     slots = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1), lambda p: F.shiftleft(F.col("cell").cast("bigint"), _PART_BITS).bitwiseOR(p))
 
     def one_pass(asked: DataFrame, probes: int) -> DataFrame:
         probed = asked.select("qid", "key", F.explode(F.slice("cells", 1, probes)).alias("cell"))
         probed = probed.join(index.cells.filter("parts > 0"), "cell").select("qid", "key", F.explode(slots).alias("slot"))
-        probed = materialize(probed)
-        if probed.count() > slice_rows(width, probe_bytes):
+        few = probed.limit(most + 1).withColumnRenamed("slot", "cell").toArrow()
+        if few.num_rows > most:
             return search_slots(probed, rows).select("qid", "id", "score")
-        return nearest(probed.withColumnRenamed("slot", "cell"), rows.withColumnRenamed("slot", "cell"), width=width).select("qid", "id", "score")
+        if not few.num_rows:
+            return probed.sparkSession.createDataFrame([], "qid string, id string, score double")
+        return best_hits(scan_hits(few, rows.withColumnRenamed("slot", "cell"), cosine, 1), 1).select("qid", "id", "score")
 
     first = materialize(placed.select("qid").join(one_pass(placed, config.nprobe_fast), "qid", "left"))
     sure = first.filter(F.col("score") >= config.confidence_threshold)

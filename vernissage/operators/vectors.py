@@ -189,6 +189,17 @@ def slice_rows(width: int, probe_bytes: int = PROBE_BYTES) -> int:
     return max(TILE_QUERIES, probe_bytes // (8 * width + 64))  # 64 bytes stand for the id and its cells
 
 
+def scan_hits(asked: pa.Table, rows: DataFrame, kernel: Kernel, k: int) -> DataFrame:
+    """One pass over ``rows`` with a slice of queries (``qid``, ``key``, with or without ``cell``): the best of every task."""
+    by_cell = None
+    if "cell" in asked.column_names:
+        cells = asked.column("cell").to_numpy()
+        by_cell = {int(c): np.flatnonzero(cells == c) for c in np.unique(cells)}
+        rows = rows.filter(F.col("cell").isin(list(by_cell)))
+    names = asked.column("qid").combine_chunks()
+    return rows.mapInArrow(_scan(names, matrix(asked.column("key")), by_cell, kernel, k), _HITS)
+
+
 def nearest(
     queries: DataFrame,
     rows: DataFrame,
@@ -221,26 +232,17 @@ def nearest(
         width = len(first["key"]) if isinstance(first["key"], list) else 1
     most = slice_rows(width, probe_bytes)
 
-    def scan(table: pa.Table) -> DataFrame:
-        by_cell, near = None, r
-        if celled:
-            cells = table.column("cell").to_numpy()
-            by_cell = {int(c): np.flatnonzero(cells == c) for c in np.unique(cells)}
-            near = r.filter(F.col("cell").isin(list(by_cell)))
-        names = table.column("qid").combine_chunks()
-        return near.mapInArrow(_scan(names, matrix(table.column("key")), by_cell, kernel, k), _HITS)
-
     table = q.limit(most + 1).toArrow()
     if not table.num_rows:
         return q.sparkSession.createDataFrame([], _HITS + ", rank int")
     if table.num_rows <= most:
-        return best_hits(scan(table), k)
+        return best_hits(scan_hits(table, r, kernel, k), k)
     q = materialize(q.distinct().withColumn("_deal", F.xxhash64(*q.columns)))
     slices, hits = -(-5 * q.count() // (4 * most)), None  # some room, since slices are dealt by a hash
     for i in range(slices):
         table = q.filter(F.pmod("_deal", F.lit(slices)) == i).drop("_deal").toArrow()
         if table.num_rows:
-            found = materialize(scan(table))  # one slice at a time on the driver and in the tasks
+            found = materialize(scan_hits(table, r, kernel, k))  # one slice at a time on the driver and in the tasks
             hits = found if hits is None else hits.unionByName(found)
     return best_hits(hits, k)
 
