@@ -251,6 +251,19 @@ def test_signatures_within_a_radius(spark, radius, chunk_bits):
     assert got == {(q, r, d) for q, (d, r) in want.items() if d <= radius and back[int(r[1:])][1] == q}
 
 
+def test_listed_signatures_are_not_broadcast(spark):
+    """A list holds hundreds of rows for each signature, which its planned size does not show."""
+    frame = spark.createDataFrame([(f"v{i}", [i * 7919, i * 104729]) for i in range(50)], "id string, sig array<bigint>")
+    pairs = vx.within_hamming(frame.select("sig"), frame.select("sig"), 11, 2)
+    for df in (pairs, vx.mutual_nearest(frame, frame, 11), vx.nearest_hamming(frame.withColumnRenamed("id", "qid"), frame, 11)):
+        plan = df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple")
+        assert "SortMergeJoin [chunk" in plan and "BroadcastHashJoin [chunk" not in plan
+    close = {(tuple(r.a), tuple(r.b)) for r in pairs.collect()}
+    bits = lambda a, b: sum((x ^ y).bit_count() for x, y in zip(a, b))
+    sigs = [(i * 7919, i * 104729) for i in range(50)]
+    assert close == {(a, b) for a in sigs for b in sigs if bits(a, b) <= 11}
+
+
 def test_signatures_of_two_lengths_are_an_error(spark):
     frame = spark.createDataFrame([("a", [1]), ("b", [1, 2])], "id string, sig array<bigint>")
     with pytest.raises(ValueError):

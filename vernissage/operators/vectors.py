@@ -257,14 +257,16 @@ def within_hamming(left: DataFrame, right: DataFrame, radius: int, words: int, c
 
     Both sides have a column ``sig`` of ``words`` words, each signature once. Signatures are cut into chunks of
     ``chunk_bits`` bits (16, 8 or 4: the widest that takes at most a few hundred look-ups). Among ``n`` chunks one differs in
-    at most ``radius // n`` bits, so every signature of the right is listed under each of its chunks, and every one of the
-    left asks for all values so close to each of its own. No pair is lost, and only pairs that share such a chunk are
-    compared, bit by bit in generated code.
+    at most ``radius // n`` bits, so every signature is listed under all values near its chunks, the right up to half so many
+    bits away and the left up to the rest: chunks so close meet in a value between them. No pair is lost, and only pairs
+    that share such a value are compared, bit by bit in generated code.
+
+    The lists are many times what they come from, which the planner does not see: they are never broadcast.
     """
     count = lambda bits: words * SIGNATURE_BITS // bits
     few = lambda bits: sum(comb(bits, n) for n in range(radius // count(bits) + 1)) <= 700
     chunk_bits = chunk_bits or next((bits for bits in (16, 8) if few(bits)), 4)
-    near = _flips(chunk_bits, radius // count(chunk_bits))
+    far = radius // count(chunk_bits)
     mask = (1 << chunk_bits) - 1
 
     def keys(df: DataFrame, name: str, flips: list[int]) -> DataFrame:
@@ -280,7 +282,8 @@ def within_hamming(left: DataFrame, right: DataFrame, radius: int, words: int, c
 
     bits = sum((F.bit_count(F.element_at("a", w + 1).bitwiseXOR(F.element_at("b", w + 1))) for w in range(words)), F.lit(0))
     # a pair may share several chunks: counted once or more, it stays one pair for a smallest distance
-    pairs = keys(left, "a", near).join(keys(right, "b", [0]), "chunk").drop("chunk")
+    listed = keys(right, "b", _flips(chunk_bits, far // 2)).hint("merge")
+    pairs = keys(left, "a", _flips(chunk_bits, far - far // 2)).join(listed, "chunk").drop("chunk")
     return pairs.withColumn("distance", bits.cast("int")).filter(F.col("distance") <= radius)
 
 
@@ -307,7 +310,8 @@ def nearest_hamming(queries: DataFrame, rows: DataFrame, radius: int, chunk_bits
     words = _words(forms, stored)
     if not words:
         return queries.sparkSession.createDataFrame([], "qid string, id string, distance int")
-    pairs = within_hamming(forms, stored, radius, words, chunk_bits).join(stored.select(F.col("sig").alias("b"), "id"), "b")
+    pairs = within_hamming(forms, stored, radius, words, chunk_bits)
+    pairs = pairs.join(stored.select(F.col("sig").alias("b"), "id").hint("merge"), "b")
     best = pairs.groupBy(F.col("a").alias("sig")).agg(F.min(F.struct("distance", "id")).alias("best"))
     return asked.select("qid", "sig").join(best, "sig").groupBy("qid").agg(F.min("best").alias("best")).select(
         "qid", F.col("best.id").alias("id"), F.col("best.distance").alias("distance")
@@ -325,8 +329,8 @@ def mutual_nearest(left: DataFrame, right: DataFrame, max_hamming: int, chunk_bi
     if not words:
         return left.sparkSession.createDataFrame([], "left_id string, right_id string, distance int")
     pairs = within_hamming(one, two, max_hamming, words, chunk_bits)
-    pairs = pairs.join(one.select(F.col("sig").alias("a"), F.col("id").alias("left_id")), "a")
-    pairs = pairs.join(two.select(F.col("sig").alias("b"), F.col("id").alias("right_id")), "b")
+    pairs = pairs.join(one.select(F.col("sig").alias("a"), F.col("id").alias("left_id")).hint("merge"), "a")
+    pairs = pairs.join(two.select(F.col("sig").alias("b"), F.col("id").alias("right_id")).hint("merge"), "b")
     # the closest of either side, whoever shares a chunk: added up before the shuffle
     forth = pairs.groupBy("left_id").agg(F.min(F.struct("distance", "right_id")).alias("best"))
     back = pairs.groupBy("right_id").agg(F.min(F.struct("distance", "left_id")).alias("best"))
