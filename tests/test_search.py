@@ -47,6 +47,41 @@ def test_nearest_scanned_and_tiled(spark, data, k, probe_bytes, monkeypatch):
     assert len(got) == len(hits) and got == _brute(*data, k)
 
 
+def test_many_queries_do_not_pass_through_the_driver(spark, data, monkeypatch):
+    """More queries than may travel meet the rows in tiles: with copies of vectors and of ids, ties, and every kernel."""
+    monkeypatch.setattr(vx, "TILE_QUERIES", 16)
+    monkeypatch.setattr(vx, "TILE_ROWS", 40)
+    monkeypatch.setattr(vx, "TILE_BYTES", 1 << 15)
+    ids, stored, names, asked = data
+    stored = np.concatenate([stored, stored[:100], np.repeat(stored[17:18], 90, axis=0), np.round(stored[100:200], 3)])
+    ids = ids + ids[:100] + [f"w{i:02d}" for i in range(90)] + ids[100:200]
+    q = _frame(spark, names, asked, "qid", "key").repartition(3)
+    rows = _frame(spark, ids, stored, "id", "key").repartition(5)
+    seen = []
+    monkeypatch.setattr(vx, "scan_hits", lambda *a: seen.append(a))
+    score = vx.cosine(asked, stored)
+    best = {}
+    for i, j in np.ndindex(score.shape):
+        at = names[i], ids[j]
+        best[at] = max(best.get(at, -2), score[i, j])
+    want = set()
+    for name in names:
+        order = sorted({i for i in ids}, key=lambda j: (-best[name, j], j))[:7]
+        want |= {(name, j, best[name, j], r + 1) for r, j in enumerate(order)}
+    hits = vx.nearest(q, rows, k=7, probe_bytes=0).collect()
+    assert {(r.qid, r.id, r.score, r["rank"]) for r in hits} == want and len(hits) == len(want) and not seen
+
+
+def test_tiles_keep_to_their_cells(spark, data, monkeypatch):
+    monkeypatch.setattr(vx, "TILE_QUERIES", 16)
+    ids, stored, names, asked = data
+    q = _frame(spark, names, asked, "qid", "key").withColumn("cell", F.crc32("qid") % 3)
+    rows = _frame(spark, ids, stored, "id", "key").withColumn("cell", F.crc32("id") % 4)
+    few, many = ({tuple(r) for r in vx.nearest(q, rows, k=3, probe_bytes=b).collect()} for b in (vx.PROBE_BYTES, 0))
+    monkeypatch.setattr(vx, "TILE_QUERIES", 100)
+    assert many == {tuple(r) for r in vx.nearest(q, rows, k=3).collect()} == few and len(many) == 180
+
+
 def test_tiles_hold_when_one_id_has_many_copies(spark, monkeypatch):
     monkeypatch.setattr(vx, "TILE_ROWS", 10)
     rows = _frame(spark, ["a"] * 200 + ["b"], [[1, 0]] * 200 + [[0, 1]], "id", "key")

@@ -1,30 +1,36 @@
 """Nearest stored vector for many queries at once.
 
-Scores come from matrix products on Arrow batches. Queries travel to the stored
-rows, which are scanned where they lie, in slices of bounded size; a task keeps
-only its best rows per query, and only those are shuffled. Signatures close to
-one another meet by equal or nearly equal parts of theirs.
+Scores come from matrix products on Arrow batches. Few queries travel to the stored
+rows, which are scanned where they lie; more of them meet the rows in tiles of
+bounded size. A task keeps only its best rows per query, and only those are
+shuffled. Signatures close to one another meet by equal or nearly equal parts of theirs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from itertools import combinations
-from math import comb
+from math import comb, isqrt
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from vernissage.session import materialize
+from vernissage.session import has_at_most, materialize
 
 PROBE_BYTES = 64 << 20
+#: Queries of :func:`nearest` that travel through the driver, at most; more meet the rows in tiles.
+SCAN_BYTES = 8 << 20
+#: Vectors on either side of a tile, at most.
+TILE_BYTES = 32 << 20
 TILE_QUERIES = 1024
 TILE_ROWS = 8192
 SIGNATURE_BITS = 32
 #: Hits that a task piles up before it keeps the best of them.
 _PILE = 1 << 19
+#: Pairs that are scored in double precision at once.
+_PAIRS = 1 << 16
 _HITS = "qid string, id string, score double"
 
 Kernel = Callable[[np.ndarray, np.ndarray], np.ndarray]
@@ -200,6 +206,93 @@ def scan_hits(asked: pa.Table, rows: DataFrame, kernel: Kernel, k: int) -> DataF
     return rows.mapInArrow(_scan(names, matrix(asked.column("key")), by_cell, kernel, k), _HITS)
 
 
+def _closest(asked: np.ndarray, rows: np.ndarray, codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Queries by place, ids by code and cosines: for each of ``asked`` the k best different ids of ``rows``.
+
+    Single precision rules out what is clearly below the k-th best so far; what is left is scored in double precision.
+    """
+    asked, rows = unit(asked), unit(rows)
+    # of equal vectors no more than the k lowest ids can be an answer
+    _, same = np.unique(rows.view(f"V{rows.strides[0]}").ravel(), return_inverse=True)
+    kept = np.sort(_best(same, codes, np.zeros(len(rows)), k))
+    rows, codes = rows[kept], codes[kept]
+    small = rows.astype(np.float32)
+    slack = np.float32(1e-6 + 1.2e-7 * (rows.shape[1] + 4))  # rounding, and the error of a product in single precision
+    most = k * int(np.bincount(codes).max())
+    down, across = max(1, TILE_QUERIES // 2), max(1, TILE_ROWS // 2)  # products that stay in the cache
+    room, found = np.empty(down * across, np.float32), []
+    for left in range(0, len(asked), down):
+        mine = asked[left : left + down]
+        rough, bar = mine.astype(np.float32), np.full(len(mine), -np.inf, np.float32)
+        parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+
+        def merge() -> None:
+            q, code, score = (np.concatenate(x) for x in zip(*parts))
+            keep = _best(q, code, score, k)
+            q, score = q[keep], score[keep]
+            parts[:] = [(q, code[keep], score)]
+            last = np.flatnonzero(np.r_[q[1:] != q[:-1], True]) if len(q) else np.zeros(0, np.int64)
+            full = last[np.diff(np.r_[-1, last]) == k]
+            bar[q[full]] = score[full].astype(np.float32) - slack
+
+        for start in range(0, len(rows), across):
+            these = small[start : start + across]
+            products = room[: len(mine) * len(these)].reshape(len(mine), len(these))
+            np.matmul(rough, these.T, out=products)
+            floor = bar
+            if products.shape[1] > most and np.isneginf(bar).any():
+                floor = np.maximum(bar, np.partition(products, -most, axis=1)[:, -most] - 2 * slack)
+            at = np.flatnonzero(products >= floor[:, None])
+            for first in range(0, len(at), _PAIRS):
+                q, r = np.divmod(at[first : first + _PAIRS], products.shape[1])
+                r += start
+                parts.append((q, codes[r], np.round(np.einsum("ij,ij->i", mine[q], rows[r]), 6) + 0.0))
+                if sum(len(p[0]) for p in parts) > max(_PAIRS, 4 * k * len(mine)):
+                    merge()
+            if np.isneginf(bar).any() or sum(len(p[0]) for p in parts) > 2 * k * len(mine):
+                merge()
+        merge()
+        found.append((parts[0][0] + left, *parts[0][1:]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _meet(queries: DataFrame, rows: DataFrame, kernel: Kernel, k: int, width: int) -> DataFrame:
+    """Every tile of queries with every tile of rows of its cell, each pair as one piece of work: the best of every piece.
+
+    Tiles hold at most ``TILE_BYTES`` and are dealt row by row, so copies of an id or a vector do no harm.
+    """
+    if "cell" not in queries.columns:
+        side = isqrt(4 * queries.sparkSession.sparkContext.defaultParallelism) + 1  # enough pieces for all cores
+        queries, rows = queries.withColumn("cell", F.lit(0)), rows.withColumn("cell", F.lit(0))
+    else:
+        side = 1
+    size = max(TILE_QUERIES, TILE_BYTES // (8 * width + 64))
+    count = F.count("*")
+    tiles = F.greatest(F.ceil(count / size), F.least(F.lit(side), F.ceil(count / TILE_QUERIES))).cast("int")
+    left, right = (materialize(df.withColumn("n", F.monotonically_increasing_id())) for df in (queries, rows))
+    grid = left.groupBy("cell").agg(tiles.alias("down")).join(right.groupBy("cell").agg(tiles.alias("across")), "cell")
+    grid = F.broadcast(materialize(grid))  # one row for each cell
+    deal = lambda n: F.pmod(F.xxhash64("n"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = left.join(grid, "cell").withColumn("i", deal("down")).withColumn("j", every("across")).select("cell", "i", "j", "qid", "key")
+    right = right.join(grid, "cell").withColumn("j", deal("across")).withColumn("i", every("down")).select("cell", "i", "j", "id", "key")
+
+    def run(asked: pa.Table, stored: pa.Table) -> pa.Table:
+        pile = Pile(kernel, k)
+        names = asked.column("qid").combine_chunks()
+        if asked.num_rows and stored.num_rows:
+            codes, ids = coded(stored.column("id"))
+            wanted, kept = matrix(asked.column("key")), matrix(stored.column("key"))
+            if kernel is cosine and all(np.isfinite(x).all() and np.isfinite((x * x).sum(axis=1)).all() for x in (wanted, kept)):
+                q, code, score = _closest(wanted.astype(np.float64), kept.astype(np.float64), codes, k)
+                return pa.table({"qid": names.take(pa.array(q)), "id": ids.take(pa.array(code)), "score": pa.array(score)})
+            pile.add(wanted, np.arange(len(names)), kept, codes, ids)
+        return pile.hits(names)
+
+    keys = "cell", "i", "j"
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, _HITS)
+
+
 def nearest(
     queries: DataFrame,
     rows: DataFrame,
@@ -217,9 +310,10 @@ def nearest(
     listed several times counts once, with its best score; so does a query that
     is asked with several vectors. Null keys and ids take no part.
 
-    The rows are neither moved nor written: queries travel to them in slices of
-    at most ``probe_bytes`` or ``TILE_QUERIES`` queries, one pass over the rows
-    for each slice, with a filter on the cells that the slice asks for.
+    Queries of at most ``probe_bytes`` and ``SCAN_BYTES``, or ``TILE_QUERIES``
+    of them, travel through the driver to the rows, which are neither moved nor
+    written. More of them are dealt into tiles, as the rows are, and every tile
+    of queries meets every tile of rows of its cell as one piece of work.
     """
     celled = "cell" in queries.columns
     columns = ["id", "key", "cell"] if celled else ["id", "key"]
@@ -230,21 +324,13 @@ def nearest(
         if first is None:
             return q.sparkSession.createDataFrame([], _HITS + ", rank int")
         width = len(first["key"]) if isinstance(first["key"], list) else 1
-    most = slice_rows(width, probe_bytes)
 
-    table = q.limit(most + 1).toArrow()
+    if not has_at_most(q, slice_rows(width, min(probe_bytes, SCAN_BYTES))):
+        return best_hits(_meet(q, r, kernel, k, width), k)
+    table = q.toArrow()
     if not table.num_rows:
         return q.sparkSession.createDataFrame([], _HITS + ", rank int")
-    if table.num_rows <= most:
-        return best_hits(scan_hits(table, r, kernel, k), k)
-    q = materialize(q.distinct().withColumn("_deal", F.xxhash64(*q.columns)))
-    slices, hits = -(-5 * q.count() // (4 * most)), None  # some room, since slices are dealt by a hash
-    for i in range(slices):
-        table = q.filter(F.pmod("_deal", F.lit(slices)) == i).drop("_deal").toArrow()
-        if table.num_rows:
-            found = materialize(scan_hits(table, r, kernel, k))  # one slice at a time on the driver and in the tasks
-            hits = found if hits is None else hits.unionByName(found)
-    return best_hits(hits, k)
+    return best_hits(scan_hits(table, r, kernel, k), k)
 
 
 def _flips(bits: int, most: int) -> list[int]:
