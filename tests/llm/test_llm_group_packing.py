@@ -8,6 +8,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
+from vernissage.llm import group_packing
 from vernissage.llm.group_packing import byte_encoder, first_fit, pack_groups, place
 
 WORDS = public_tokenizers.path("byte_bpe_50k.json")
@@ -101,3 +102,23 @@ def test_every_token_is_placed_once(spark, library):
 def test_nothing_to_pack(spark):
     assert pack_groups(spark.createDataFrame([], "doc_id bigint, text string"), WORDS).collect() == []
     assert pack_groups(spark.createDataFrame([(None, None)], "doc_id bigint, text string"), WORDS).first()[1:5] == (0, 1, zlib.crc32(b"\1\0\0\0"), 1)
+
+
+def test_a_worker_keeps_its_encoder(spark, library, monkeypatch):
+    """One task after the other finds what the worker has met, and it starts again when that is much."""
+    def run(batches):
+        from vernissage.llm.group_packing import kept_encoder
+
+        words = open(WORDS).read()
+        for batch in batches:
+            kept_encoder(words)
+        builds = kept_encoder.cache_info().misses
+        yield type(batch).from_pydict({"id": [builds]})
+
+    docs = spark.createDataFrame([(i, text) for i, text in enumerate(ODD)], "doc_id bigint, text string")
+    pack_groups(docs.repartition(9), WORDS, capacity=64).count()
+    assert {r[0] for r in spark.range(40).repartition(12).mapInArrow(run, "id bigint").collect()} == {1}
+    monkeypatch.setattr(group_packing, "_REMEMBERED", 3)
+    encode = group_packing.kept_encoder(open(WORDS).read())
+    for text in ODD * 2:
+        assert np.frombuffer(encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids

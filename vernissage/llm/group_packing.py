@@ -7,6 +7,7 @@ import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -20,8 +21,8 @@ from vernissage.session import materialize
 
 #: White space of the tokenizer's pattern (\s).
 _WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Distinct chunks that a task remembers before it starts again, and the longest of them.
-_REMEMBERED, _LONGEST = 500_000, 64
+#: Distinct chunks that a worker remembers before it starts again, and the longest of them.
+_REMEMBERED, _LONGEST = 1_000_000, 64
 #: From this character on, tables of letters and digits differ between versions of Unicode.
 _OWN_TABLES = "\u0250"
 
@@ -116,6 +117,12 @@ def byte_encoder(vocabulary: str) -> Callable[[str], bytes]:
     return encode_all
 
 
+@lru_cache(maxsize=1)
+def kept_encoder(vocabulary: str) -> Callable[[str], bytes]:
+    """The encoder of a worker: built once, and what it remembers serves all its tasks, as most of the time goes to new chunks."""
+    return byte_encoder(vocabulary)
+
+
 def first_fit(sizes: list[int], capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """Bin and offset of each item, in the given order: the first bin with room, found from the root of a tournament tree.
 
@@ -186,7 +193,7 @@ def _pieces(rows: DataFrame, vocabulary: str, capacity: int, end_id: int) -> Dat
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = byte_encoder(vocabulary), struct.pack("<I", end_id)
+        encode, end = kept_encoder(vocabulary), struct.pack("<I", end_id)
         for batch in slices(batches):
             row, start, length, crc, tokens = [], [], [], [], []
             for i, text in enumerate(batch.column(3)):
@@ -210,7 +217,7 @@ def _sums(rows: DataFrame, spans: DataFrame, vocabulary: str, end_id: int) -> Da
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = byte_encoder(vocabulary), struct.pack("<I", end_id)
+        encode, end = kept_encoder(vocabulary), struct.pack("<I", end_id)
         for batch in slices(batches):
             row, start, length, crc = [], [], [], []
             for i, (text, spans) in enumerate(zip(batch.column(2), batch.column(3))):
