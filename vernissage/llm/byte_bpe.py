@@ -5,9 +5,8 @@ from __future__ import annotations
 import base64
 import heapq
 import json
-import re
-from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -16,19 +15,18 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from vernissage.llm.common import named, tidy, whole
+from vernissage.llm.common import named, slices, tidy, whole
 from vernissage.session import materialize
 
 #: What the pattern takes as white space (\s).
 _WHITE = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
-#: A space next to other white space or at an end: such texts are cut by a pattern instead of at spaces.
-_UNEVEN = re.compile(f"^ | $|[{_WHITE}] | [{_WHITE}]")
-_RUNS = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
-#: Words of more bytes are merged outside the fold, whose cost grows with the square of the length.
+#: A space next to other white space or at an end: such texts are matched whole instead of being cut at spaces.
+_UNEVEN = rf"\A | \z|[{_WHITE}] | [{_WHITE}]"
+#: Words of more bytes are merged by a heap: the cost of merging in rounds grows with the square of the length.
 _LONG = 256
 _BUCKETS = 1 << 17
-_HOLE = 0xFFFFFFFF
-_REMEMBERED = 200_000
+#: So many bytes of text are held in pieces at a time.
+_SLICE = 16 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -126,12 +124,79 @@ def merge_long(ids: list[int], pairs: dict[tuple[int, int], int]) -> list[int]:
     return [x for x in ids if x >= 0]
 
 
-def cut(text: str) -> list[str]:
-    """Pieces of a text that start with white space: no match of the pattern crosses from a word into white space."""
-    if _UNEVEN.search(text):
-        return _RUNS.findall(text)
-    first, *rest = text.split(" ")
-    return [first, *[" " + part for part in rest]]
+def merge_many(words: pa.Array, single: np.ndarray, keys: np.ndarray, ranks: np.ndarray) -> pa.ListArray:
+    """The same merges for many words at once, each in rounds of one merge; ``keys`` are the sorted pairs ``a << 20 | b``."""
+    none = np.iinfo(np.int64).max
+
+    def look(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = (a << 20) + b
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        return np.where(keys[at] == key, ranks[at], none)
+
+    sizes, number = pc.binary_length(words).to_numpy().astype(np.int64), np.arange(len(words))
+    done = [(number[sizes == 0], sizes[sizes == 0], single[:0])]
+    number, sizes = number[sizes > 0], sizes[sizes > 0]
+    ids = single[np.frombuffer(b"".join(words.cast(pa.binary()).to_pylist()), np.uint8)]
+    left = np.full(len(ids), none)  # the rank of the pair that begins here; none where a word ends
+    inner = np.ones(len(ids), bool)
+    inner[np.cumsum(sizes) - 1] = False
+    begin = np.flatnonzero(inner)
+    left[begin] = look(ids[begin], ids[begin + 1])
+    while len(number):
+        starts = np.cumsum(sizes) - sizes
+        low = np.minimum.reduceat(left, starts)
+        ended = low == none
+        if ended.any():
+            mine = np.repeat(ended, sizes)
+            done.append((number[ended], sizes[ended], ids[mine]))
+            ids, left, number, sizes, low = ids[~mine], left[~mine], number[~ended], sizes[~ended], low[~ended]
+        if not len(number):
+            break
+        hits = np.flatnonzero(left == np.repeat(low, sizes))
+        owner = np.searchsorted(np.cumsum(sizes), hits, "right")
+        at = hits[np.append(True, owner[1:] != owner[:-1])]  # the leftmost of each word
+        ids[at] = low
+        stay = np.ones(len(ids), bool)
+        stay[at + 1] = False
+        left[at] = left[at + 1]  # none if the word ends there now
+        ids, left, sizes, at = ids[stay], left[stay], sizes - 1, at - np.arange(len(at))
+        starts = np.cumsum(sizes) - sizes
+        after, before = at[at + 1 < starts + sizes], at[at > starts] - 1
+        left[after], left[before] = look(ids[after], ids[after + 1]), look(ids[before], ids[before + 1])
+    number, sizes, ids = map(np.concatenate, zip(*done))
+    return lists(ids, sizes).take(pa.array(np.argsort(number)))
+
+
+def lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    """Numbers, cut into lists of the given sizes."""
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(values, pa.int32()))
+
+
+def binaries(data: pa.Buffer | None, ends: np.ndarray) -> pa.Array:
+    """Bytes, cut into values at the given places."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), data or pa.py_buffer(b"")])
+
+
+def cut(texts: pa.Array, find: Callable[[str], list[str]]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of some texts, the numbers of all words in their order, and how many each text has.
+
+    No match of the pattern crosses from a word into white space, so a text is cut at its spaces first, and each
+    distinct piece is matched once; a piece keeps the space before it.
+    """
+    marked = pc.binary_join_element_wise("\n", texts, "")  # a text's first piece has no space before it
+    uneven = pc.match_substring_regex(texts, _UNEVEN)
+    pieces = pc.split_pattern(marked.filter(pc.invert(uneven)), " ")
+    if len(pieces) < len(texts):
+        kept = marked.filter(uneven)
+        order = np.argsort(uneven.to_numpy(zero_copy_only=False), kind="stable")
+        pieces = pa.concat_arrays([pieces, pa.ListArray.from_arrays(pa.array(range(len(kept) + 1), pa.int32()), kept)])
+        pieces = pieces.take(pa.array(np.argsort(order)))
+    numbered = pieces.flatten().dictionary_encode()
+    found = [find(p[1:] if p[0] == "\n" else " " + p) for p in numbered.dictionary.to_numpy(zero_copy_only=False)]
+    words = pa.array(chain.from_iterable(found), pa.string()).dictionary_encode()
+    of_piece = lists(words.indices.to_numpy(), np.fromiter(map(len, found), np.int64, len(found))).take(numbered.indices)
+    ends = of_piece.offsets.to_numpy()[pieces.offsets.to_numpy()]
+    return words.dictionary, of_piece.flatten().to_numpy(), np.diff(ends)
 
 
 def count_words(docs: DataFrame, pattern: str) -> DataFrame:
@@ -139,22 +204,10 @@ def count_words(docs: DataFrame, pattern: str) -> DataFrame:
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, pieces = regex.compile(pattern).findall, Counter()
-
-        def counted() -> pa.RecordBatch:
-            words = Counter()
-            for piece, n in pieces.items():
-                for word in find(piece):
-                    words[word] += n
-            pieces.clear()
-            return pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], ["word", "n"])
-
-        for batch in batches:
-            for text in batch.column(0):
-                pieces.update(cut(text.as_py()))
-                if len(pieces) > 2 * _REMEMBERED:
-                    yield counted()
-        yield counted()
+        find = regex.compile(pattern).findall
+        for batch in slices(batches, _SLICE):
+            words, numbers, _ = cut(batch.column(0), find)
+            yield pa.RecordBatch.from_arrays([words, pa.array(np.bincount(numbers, minlength=len(words)))], ["word", "n"])
 
     return docs.select("text").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -180,8 +233,9 @@ def encode(
 
     Spark counts the distinct words (matches of ``pattern``) of all texts. Higher-order functions fold the ranked merges
     over the bytes of the frequent ones, against a literal rank map; the at most ``dictionary`` results, of at most 64
-    bytes each, are broadcast. A text's other words are folded in its own row, so no text is shuffled and no word is left
-    out. Words of over 256 bytes are merged by a heap. ``with_text`` adds ``decoded``, the decoded bytes.
+    bytes each, are broadcast. A task merges the other words of its texts once per slice, all of them in the same rounds
+    over arrays, so no text is shuffled and no word is left out. Words of over 256 bytes are merged by a heap.
+    ``with_text`` adds ``decoded``, the decoded bytes.
 
     A null or empty text has no ids. A null identifier is kept, repeated rows repeat their result, an empty table gives an
     empty result. Other columns are not read, whatever their names.
@@ -202,83 +256,42 @@ def encode(
     words = frequent_words(materialize(count_words(rows, pattern)), dictionary)
     words = words.mapInArrow(as_bytes, "word string, state array<int>").select("word", fold(F.col("state")).alias("ids"))
     known = materialize(words).toArrow()
-    names, ids = known["word"].combine_chunks(), known["ids"].combine_chunks()
-    sizes = [pc.binary_length(names).to_numpy(), ids.value_lengths().to_numpy()] if len(known) else [np.zeros(0), np.zeros(0)]
-    table = (b"".join(names.cast(pa.binary()).to_pylist()), ids.flatten().to_numpy().astype("<u4").tobytes(), *[x.astype("<u2").tobytes() for x in sizes])
-    shared = docs.sparkSession.sparkContext.broadcast({"table": table})
-    del known, names, ids, table
-
-    def dictionary_of(held: dict) -> tuple[dict[str, bytes], dict[str, bytes]]:
-        """The words' ids and the pieces met so far, built once in a worker's life in place of the packed table."""
-        if "words" not in held:
-            names, ids, *sizes = held.pop("table")
-            ends = [np.cumsum(np.frombuffer(s, "<u2"), dtype=np.int64) * size for s, size in zip(sizes, (1, 4))]
-            words, a, b = {}, 0, 0
-            for c, d in zip(*[e.tolist() for e in ends]):
-                words[names[a:c].decode()], a, b = ids[b:d], c, d
-            held |= {"words": words, "pieces": {}}
-        return held["words"], held["pieces"]
+    names, known = known["word"].combine_chunks(), known["ids"].combine_chunks()
+    known = lists(known.flatten().to_numpy(), known.value_lengths().to_numpy())
+    merges = np.array(sorted(((a << 20) + b, rank) for (a, b), rank in pairs.items()), np.int64).reshape(-1, 2)
+    table = {"names": names, "known": known, "keys": merges[:, 0].copy(), "ranks": merges[:, 1].copy(), "tokens": pa.array(tokens, pa.binary())}
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+    del names, known, merges, table, pairs, tokens, ranks
 
     @tidy
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, pieces = dictionary_of(shared.value)
-        find, hole = regex.compile(pattern).findall, np.array([_HOLE], "<u4").tobytes()
-        rare: list[list[int]] = []
-
-        def new_piece(piece: str) -> bytes:
-            whole_piece, parts = True, []
-            for word in find(piece):
-                found = ids_of.get(word)
-                if found is None:
-                    data = word.encode()
-                    if len(data) > _LONG:
-                        found = np.array(merge_long([single[b] for b in data], pairs), "<u4").tobytes()
-                    else:
-                        rare.append(list(data))
-                        whole_piece, found = False, hole
-                parts.append(found)
-            joined = b"".join(parts)
-            if whole_piece and len(pieces) < _REMEMBERED:
-                pieces[piece] = joined
-            return joined
-
-        for batch in batches:
-            encoded, states = [], []
-            for text in batch.column(1):
-                parts = cut(text.as_py())
-                found = list(map(pieces.get, parts))
-                if None in found:
-                    found = [new_piece(part) if ids is None else ids for part, ids in zip(parts, found)]
-                encoded.append(b"".join(found))
-                states.append(rare.copy())
-                rare.clear()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(encoded, pa.binary()), pa.array(states, pa.list_(pa.list_(pa.int32())))], ["id", "ids", "rare"]
-            )
-
-    @tidy
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            full, texts = [], []
-            for ids, rare in zip(batch.column(1), batch.column(2)):
-                ids, rare = ids.as_py(), rare.as_py()
-                if rare:
-                    flat = np.frombuffer(ids, "<u4")
-                    holes = np.flatnonzero(flat == _HOLE)
-                    repeat = np.ones(len(flat), np.int64)
-                    repeat[holes] = [len(r) for r in rare]
-                    flat = np.repeat(flat, repeat)
-                    flat[flat == _HOLE] = np.concatenate([np.array(r, "<u4") for r in rare])
-                    ids = flat.tobytes()
-                full.append(ids)
-                if with_text:
-                    texts.append(b"".join([tokens[i] for i in np.frombuffer(ids, "<u4").tolist()]))
-            columns = [batch.column(0), pa.array(full, pa.binary()), *([pa.array(texts, pa.binary())] if with_text else [])]
+        held, find = shared.value, regex.compile(pattern).findall
+        names, known, keys, ranks = held["names"], held["known"], held["keys"], held["ranks"]
+
+        def ids_of(words: pa.Array) -> tuple[pa.ListArray, np.ndarray]:
+            """Lists of ids, and which of them is whose: those of the dictionary, then those that are merged here."""
+            own = pc.index_in(words, value_set=names).fill_null(-1).to_numpy().copy()
+            size = pc.binary_length(words).to_numpy()
+            short, long = np.flatnonzero((own < 0) & (size <= _LONG)), np.flatnonzero((own < 0) & (size > _LONG))
+            if len(long) and "pairs" not in held:
+                held["pairs"] = dict(zip(zip((keys >> 20).tolist(), (keys & (1 << 20) - 1).tolist()), ranks.tolist()))
+            heaped = [merge_long([single[b] for b in word.encode()], held["pairs"]) for word in words.take(long).to_pylist()]
+            own[short], own[long] = len(known) + np.arange(len(short)), len(known) + len(short) + np.arange(len(long))
+            merged = merge_many(words.take(short), np.array(single), keys, ranks)
+            return pa.concat_arrays([known, merged, pa.array(heaped, known.type)]), own
+
+        for batch in slices(batches, _SLICE):
+            words, numbers, sizes = cut(batch.column(1), find)
+            found, own = ids_of(words)
+            found = found.take(pa.array(own[numbers]))
+            ends, ids = found.offsets.to_numpy()[np.append(0, np.cumsum(sizes))], found.flatten()
+            columns = [batch.column(0), binaries(pa.py_buffer(ids.to_numpy().astype("<u4")), 4 * ends)]
+            if with_text:
+                _, offsets, data = held["tokens"].take(ids).buffers()
+                columns.append(binaries(data, np.frombuffer(offsets, np.int32)[ends]))
             yield pa.RecordBatch.from_arrays(columns, ["id", "ids", "decoded"][: len(columns)])
 
-    found = rows.mapInArrow(look_up, f"id {kind}, ids binary, rare array<array<int>>")
-    found = found.withColumn("rare", F.transform("rare", fold))
-    found = found.mapInArrow(fill, f"id {kind}, ids binary" + ", decoded binary" * with_text)
+    found = rows.mapInArrow(look_up, f"id {kind}, ids binary" + ", decoded binary" * with_text)
     return found.withColumnRenamed("id", id_col)
 
 
